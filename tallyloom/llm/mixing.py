@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Mapping
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.session import written
 
-#: Tokens of a block, slots of an epoch, documents of a bucket, and most sources of a mix.
-BLOCK_TOKENS, EPOCH_SLOTS, BUCKET_DOCS, MOST_SOURCES = 8192, 10_000, 50_000, 10_000
+#: Tokens of a block, most slots of a period of the schedule, documents of a bucket, and most sources of a mix.
+BLOCK_TOKENS, MOST_SLOTS, BUCKET_DOCS, MOST_SOURCES = 8192, 50_000, 50_000, 1000
 
 
 def source_name(c):
@@ -36,34 +36,23 @@ def budgets(shares: Mapping[str, float], supply: Mapping[str, int], repeats: Map
     return drawn
 
 
-def done_by(t: int, blocks: list[int], n: int) -> list[int]:
-    """Blocks of each source done after ``t`` of ``n`` slots: those that are due, then of those released the ones due first."""
-    due = [t * b // n for b in blocks]
-    part = sorted((-(-(k + 1) * n // b), i) for i, (k, b) in enumerate(zip(due, blocks)) if b and t * b % n)
-    for _, i in part[: t - sum(due)]:
-        due[i] += 1
-    return due
+def earliest_deadline_first(blocks: list[int]) -> list[tuple[int, int, int]]:
+    """(slot, source, block) of a mix of ``blocks`` blocks of each source.
 
-
-def schedule(blocks: list[int], first: int, last: int) -> list[tuple[int, int, int]]:
-    """(slot, source, block) for the slots first <= slot < last of the mix of ``blocks`` blocks of each source.
-
-    Block k of a source with b of the n blocks is released at slot floor(k n / b) and due by ceil((k + 1) n / b); in each slot, of the released blocks the one due first is taken. A source is
-    never as much as a block away from its share. An epoch begins and ends with the counts that the windows force there, so that epochs can be scheduled apart from each other.
+    Block k of a source with b of the n blocks is released at slot floor(k n / b) and due by ceil((k + 1) n / b); each slot takes, of the released blocks, the one due first. A source is
+    then never as much as a block away from its share.
     """
     n = sum(blocks)
-    at, until, out = done_by(first, blocks, n), done_by(last, blocks, n), []
-    for t in range(first, last):
-        best = None
-        for i, b in enumerate(blocks):
-            if at[i] < until[i]:
-                k = at[i]
-                key = (max(0, k * n // b - t), -(-(k + 1) * n // b), i)
-                if best is None or key < best:
-                    best = key
-        i = best[2]
-        out.append((t, i, at[i]))
-        at[i] += 1
+    due = lambda i, k: -(-(k + 1) * n // blocks[i])
+    waiting, ready, out = [(0, i, 0) for i, b in enumerate(blocks) if b], [], []
+    for t in range(n):
+        while waiting and (waiting[0][0] <= t or not ready):
+            _, i, k = heapq.heappop(waiting)
+            heapq.heappush(ready, (due(i, k), i, k))
+        _, i, k = heapq.heappop(ready)
+        out.append((t, i, k))
+        if k + 1 < blocks[i]:
+            heapq.heappush(waiting, ((k + 1) * n // blocks[i], i, k + 1))
     return out
 
 
@@ -76,7 +65,8 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, bl
     exceed its share by less than its own length. Repeated rows are documents of their own.
 
     The source's tokens are prefix-summed in hash buckets of bounded size and cut to blocks of ``block_tokens``; each block has a release and a deadline from its source's share, and slots are given earliest
-    deadline first, by epochs of bounded length.
+    deadline first. Up to MOST_SLOTS blocks that schedule is exact, with less than one block of deviation; a longer mix is cut to periods of about so many slots, over which each source's blocks
+    are spread evenly, so that only one period is ever scheduled in a row, with less than two blocks of deviation.
     """
     spark = docs.sparkSession
     wanted = targets.select(source_name("source").alias("source"), "target_share", "max_repeats").where("source IS NOT NULL AND target_share > 0").groupBy("source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
@@ -94,7 +84,7 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, bl
     repeats = {r["source"]: int(r["max_repeats"] if r["max_repeats"] is not None else 1) for r in rows}
     drawn = budgets(shares, supply, repeats, sum(supply.values()) if total_tokens is None else total_tokens)
     blocks = [-(-int(drawn[s]) // block_tokens) for s in names]
-    plan = spark.createDataFrame([(s, i, supply[s], -(-int(drawn[s]) // supply[s]), int(drawn[s])) for i, s in enumerate(names) if drawn.get(s, 0) >= 1], "source string, source_no int, supply long, copies int, draw long")
+    plan = spark.createDataFrame([(s, i, supply[s], -(-int(drawn[s]) // supply[s]), int(drawn[s]), blocks[i]) for i, s in enumerate(names) if drawn.get(s, 0) >= 1], "source string, source_no int, supply long, copies int, draw long, blocks long")
 
     inside = Window.partitionBy("source", "bucket").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     starts = hashed.withColumn("start", F.sum("n_tokens").over(inside) - F.col("n_tokens")).join(F.broadcast(before) if buckets <= 1000 else before, ["source", "bucket"])
@@ -106,15 +96,18 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, bl
         .withColumn("block", F.floor(F.col("source_start") / block_tokens))
     )
     n = sum(blocks)
-    epochs = spark.range(0, max(1, -(-n // EPOCH_SLOTS)), 1, max(1, min(1000, -(-n // EPOCH_SLOTS))))
-
-    def slots(batches):
-        for b in batches:
-            for e in b["id"].tolist():
-                yield pd.DataFrame(schedule(blocks, e * EPOCH_SLOTS, min(n, (e + 1) * EPOCH_SLOTS)), columns=["slot", "source_no", "block"])
-
-    timed = epochs.mapInPandas(slots, "slot long, source_no int, block long")
-    return copies.join(timed, ["source_no", "block"]).select("slot", "source", "doc_id", (F.col("copy") + 1).alias("copy_no"), "n_tokens", "source_start")
+    # Blocks of each source in a period of the schedule; the blocks of a longer mix are spread evenly over its periods.
+    periods = max(1, -(-n // MOST_SLOTS))
+    pattern = earliest_deadline_first([-(-b // periods) for b in blocks])
+    slots = spark.createDataFrame(pattern or [(0, -1, 0)], "turn long, source_no int, place long")
+    period = F.floor(F.col("block") * periods / F.col("blocks"))
+    timed = (
+        copies.withColumn("period", period)
+        .withColumn("place", F.col("block") - F.ceil(F.col("period") * F.col("blocks") / periods))
+        .join(F.broadcast(slots), ["source_no", "place"])
+        .withColumn("slot", F.col("period") * max(1, len(pattern)) + F.col("turn"))
+    )
+    return timed.select("slot", "source", "doc_id", (F.col("copy") + 1).alias("copy_no"), "n_tokens", "source_start")
 
 
 def shares_reached(mixed: DataFrame, targets: DataFrame) -> DataFrame:
