@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tallyloom.session import written
 
 #: An entity with more than this share of all events is heavy; there can't be more than 1 / HEAVY_SHARE of them.
 HEAVY_SHARE = 0.001
+#: Days since the latest event of an entity without one.
+NEVER = 2**31 - 1
 
 
 def heavy_entities(events: DataFrame, entity: str) -> DataFrame:
@@ -31,39 +37,47 @@ def feature_table(
     entities are left out; repeated entities count once.
 
     Two stages: the events of heavy entities are spread over ``salts`` groups by a hash of the column ``spread`` and summed there; then the partial statistics are merged
-    per entity, of which one can have at most types x salts. ``heavy`` gives the heavy entities where they can be had more cheaply than from the events.
+    per entity, of which one can have at most types x salts, while the complete type list is laid out. ``heavy`` gives the heavy entities where they can be had more cheaply than from the events.
     """
-    other = "other"
-    while other in kinds:
-        other += "_"
+    kinds = list(kinds)
+    width = len(kinds) + 1  # the last place is for events of no listed type
+    spark = events.sparkSession
+    listed = spark.createDataFrame([(k, i) for i, k in enumerate(kinds)], "_kind string, _no int")
     heavy = heavy_entities(events, entity) if heavy is None else heavy
     salted = (
         events.where(F.col(entity).isNotNull())
-        .select(entity, F.when(F.col(kind).isin(*kinds), F.col(kind)).otherwise(F.lit(other)).alias("_kind"), F.col(day).alias("_day"), F.col(value).alias("_value"), F.col(spread).alias("_spread"))
-        .join(F.broadcast(heavy), F.col(entity) == F.col("_heavy"), "left")
+        .select(F.col(entity).alias("_entity"), F.col(kind).alias("_kind"), F.datediff(F.lit(as_of), F.col(day)).alias("_ago"), F.col(value).alias("_value"), F.col(spread).alias("_spread"))
+        .join(F.broadcast(listed), "_kind", "left")
+        .join(F.broadcast(heavy), F.col("_entity") == F.col("_heavy"), "left")
         .withColumn("_salt", F.when(F.col("_heavy").isNotNull(), F.pmod(F.xxhash64("_spread"), F.lit(salts))).otherwise(F.lit(0)))
     )
-    partial = salted.groupBy(entity, "_kind", "_salt").agg(F.count(F.lit(1)).alias("n"), F.max("_day").alias("last"), F.sum("_value").alias("total")).drop("_salt")
-    known = entities.select(entity).where(F.col(entity).isNotNull()).distinct()
-    bare = known.select(entity, F.lit(other).alias("_kind"), F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("date").alias("last"), F.lit(None).cast("bigint").alias("total"))
-    merged = partial.unionByName(bare).repartition(entity)  # by the entity alone, so that neither the merge nor the pivot shuffles again
-    listed = [*kinds, other]
-    wide = merged.groupBy(entity).pivot("_kind", listed).agg(F.sum("n").alias("n"), F.max("last").alias("last"), F.sum("total").alias("total"))
-
-    def col(k: str, what: str) -> Column:
-        return F.col("`" + f"{k}_{what}".replace("`", "``") + "`")
-
-    def count(c: Column) -> Column:
-        return F.coalesce(c, F.lit(0).cast("bigint"))
+    partial = salted.groupBy("_entity", F.coalesce("_no", F.lit(width - 1)).alias("k"), "_salt").agg(
+        F.count(F.lit(1)).alias("n"), F.min("_ago").alias("d"), F.coalesce(F.sum("_value"), F.lit(0)).cast("bigint").alias("t")
+    )
+    known = entities.select(F.col(entity).alias("_entity")).where(F.col("_entity").isNotNull()).distinct()
+    bare = known.select("_entity", F.lit(width - 1).alias("k"), F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("int").alias("d"), F.lit(0).cast("bigint").alias("t"))
+    held = partial.drop("_salt").unionByName(bare).groupBy("_entity").agg(F.collect_list(F.struct("k", "n", F.coalesce("d", F.lit(NEVER)).alias("d"), "t")).alias("s"))
 
-    def summed(what: str) -> Column:
-        return F.aggregate(F.array(*[col(k, what) for k in listed]), F.lit(0).cast("bigint"), lambda a, x: a + count(x))
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1024):
+                batch = whole.slice(lo, 1024)
+                k, n, d, t = (batch.column(i) for i in range(1, 5))
+                row = np.repeat(np.arange(batch.num_rows), np.diff(k.offsets.to_numpy()))
+                at = (k.flatten().to_numpy(), row)
+                counts, sums = np.zeros((width, batch.num_rows), np.int64), np.zeros((width, batch.num_rows), np.int64)
+                ago = np.full((width, batch.num_rows), NEVER, np.int32)
+                np.add.at(counts, at, n.flatten().to_numpy())
+                np.add.at(sums, at, t.flatten().to_numpy())
+                np.minimum.at(ago, at, d.flatten().to_numpy())
+                days = lambda x: pa.array(x, mask=x == NEVER)
+                cols = [batch.column(0), pa.array(counts.sum(axis=0)), days(ago.min(axis=0)), pa.array(sums.sum(axis=0))]
+                for i in range(width - 1):
+                    cols += [pa.array(counts[i]), days(ago[i]), pa.array(sums[i])]
+                yield pa.RecordBatch.from_arrays(cols, schema=layout)
 
-    since = lambda c: F.datediff(F.lit(as_of), c)
-    return wide.select(
-        entity,
-        summed("n").alias("n"),
-        since(F.array_max(F.array(*[col(k, "last") for k in listed]))).alias("days"),
-        summed("total").alias("total"),
-        *[c for k in kinds for c in (count(col(k, "n")).alias(f"n_{k}"), since(col(k, "last")).alias(f"days_{k}"), count(col(k, "total")).alias(f"total_{k}"))],
-    )
+    names = [entity, "n", "days", "total", *[f"{what}_{k}" for k in kinds for what in ("n", "days", "total")]]
+    types = [T.LongType(), T.IntegerType(), T.LongType()]
+    schema = T.StructType([T.StructField(x, events.schema[entity].dataType if i == 0 else types[(i - 1) % 3]) for i, x in enumerate(names)])
+    layout = to_arrow_schema(schema)
+    return held.select("_entity", "s.k", "s.n", "s.d", "s.t").mapInArrow(expand, schema)
