@@ -185,7 +185,7 @@ def rp_17_entity_types(t):
     return t.entities.groupBy(F.upper(F.trim("type")).alias("type")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.length("description")), 6).alias("mean_length"), F.sum("frequency").alias("mentions"))
 
 
-@query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), x -> x <> '') AS w FROM documents WHERE text IS NOT NULL), s AS (SELECT doc_id, w, unnest(generate_series(0, greatest(0, len(w) - 11), 90)) AS start FROM w WHERE len(w) > 0)
+@query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL), s AS (SELECT doc_id, w, unnest(generate_series(0, greatest(0, len(w) - 11), 90)) AS start FROM w WHERE len(w) > 0)
 SELECT doc_id, CAST(start // 90 AS INT) AS chunk_no, len(list_slice(w, start + 1, start + 100)) AS n_words FROM s""")
 def gx_01_chunks(t):
     """Chunks of a hundred words with an overlap of ten, over the whole texts."""
