@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tallyloom.session import written
 
-#: Items that one task packs in a row.
-SHARD_ITEMS = 20_000
+#: Items that one task packs in a row, and most capacities that are tried.
+SHARD_ITEMS, MOST_SPECS = 20_000, 100
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -51,7 +51,7 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
 def pack(items: DataFrame, specs: DataFrame, shard_items: int = SHARD_ITEMS) -> DataFrame:
     """The place of each piece of each item in a container, for each capacity: spec_id, container_id, doc_id, piece_no, tok_start, tok_end.
 
-    ``items`` has doc_id and n_tokens, ``specs`` spec_id and capacity_tokens (few rows; null or non-positive capacities give nothing). An item is split only if it alone exceeds the
+    ``items`` has doc_id and n_tokens, ``specs`` spec_id and capacity_tokens (at most MOST_SPECS rows; null or non-positive capacities give nothing). An item is split only if it alone exceeds the
     capacity: into full pieces, each a container of its own, and a rest that is packed like an item. Empty items (0 tokens or null) take no room and come out with a null container. Repeated rows
     are items of their own.
 
@@ -61,7 +61,12 @@ def pack(items: DataFrame, specs: DataFrame, shard_items: int = SHARD_ITEMS) ->
     n_items = items.count()
     shards = max(1, -(-n_items // shard_items))
     sized = items.select("doc_id", F.coalesce(F.col("n_tokens"), F.lit(0)).cast("long").alias("n"))
-    tried = sized.crossJoin(F.broadcast(specs.where("capacity_tokens > 0").select("spec_id", F.col("capacity_tokens").cast("long").alias("cap"))))  # a row of the item for each capacity tried
+    caps = specs.where("capacity_tokens > 0").select("spec_id", F.col("capacity_tokens").cast("long").alias("cap")).distinct().limit(MOST_SPECS + 1).collect()
+    if len(caps) > MOST_SPECS:
+        raise ValueError(f"more than {MOST_SPECS} capacities")
+    kind, spec = items.schema["doc_id"].dataType.simpleString(), specs.schema["spec_id"].dataType.simpleString()
+    each = F.array(*[F.struct(F.lit(r["spec_id"]).cast(spec).alias("spec_id"), F.lit(r["cap"]).cast("long").alias("cap")) for r in caps]) if caps else F.array().cast(f"array<struct<spec_id: {spec}, cap: bigint>>")
+    tried = sized.select("doc_id", "n", F.explode(each).alias("s")).select("doc_id", "n", "s.*")  # a row of the item for each capacity tried
     cut = tried.withColumn("full", F.floor(F.col("n") / F.col("cap"))).withColumn("rest", F.col("n") - F.col("full") * F.col("cap"))
     whole = cut.where("full > 0").select("spec_id", "doc_id", "cap", F.explode(F.sequence(F.lit(0), F.col("full") - 1)).alias("piece_no")).select(
         "spec_id",
@@ -78,7 +83,6 @@ def pack(items: DataFrame, specs: DataFrame, shard_items: int = SHARD_ITEMS) ->
         where, fill = sum_of_squares(part["rest"].to_numpy(), int(part["cap"].iloc[0]))
         return pd.DataFrame({"spec_id": part["spec_id"], "cap": part["cap"], "doc_id": part["doc_id"], "full": part["full"], "rest": part["rest"], "shard": part["shard"], "box": where, "fill": fill[where]})
 
-    kind, spec = items.schema["doc_id"].dataType.simpleString(), specs.schema["spec_id"].dataType.simpleString()
     rests = cut.where("rest > 0").withColumn("h", F.xxhash64("doc_id")).withColumn("shard", F.pmod("h", F.lit(shards)).cast("long"))
     packed = written(
         rests.groupBy("spec_id", "shard").applyInPandas(first_round, f"spec_id {spec}, cap long, doc_id {kind}, full long, rest long, shard long, box long, fill long"), "packed"
