@@ -99,7 +99,7 @@ def remap_relationships(relationships: DataFrame) -> DataFrame:
     best = F.min(F.struct(F.col("human_readable_id").isNull().alias("n"), "human_readable_id", "id"))
     edges = r.groupBy("source", "target").agg(best.alias("b"), F.round(F.avg("weight"), 6).alias("weight")).select("source", "target", F.col("b.id").alias("id"), F.col("b.human_readable_id").alias("human_readable_id"), "weight")
     out, into = edges.groupBy("source").agg(F.count(F.lit(1)).alias("o")), edges.groupBy("target").agg(F.count(F.lit(1)).alias("i"))
-    return edges.join(out, "source").join(into, "target").withColumn("combined_degree", F.col("o") + F.col("i")).drop("o", "i")
+    return edges.join(out, "source").join(into, "target").select("source", "target", "id", "human_readable_id", "weight", (F.col("o") + F.col("i")).alias("combined_degree"))
 
 
 def edge_labels(relationships: DataFrame) -> DataFrame:

@@ -81,13 +81,29 @@ def range_billing(w: Warehouse, keys: Sequence[str]) -> DataFrame:
 
 
 def unit_table(w: Warehouse, keys: Sequence[str]) -> DataFrame:
-    """The six KPIs that need no category."""
-    return outer([productivity(w, keys), order_level(w, keys), dropsize(w, keys), inventory_kpis(w, keys)], keys)
+    """The six KPIs that need no category: one aggregation of each fact table, then one outer join."""
+    visits = w.visits.groupBy(*keys).agg(F.count(F.lit(1)).alias("visits"), F.count_if(F.col("visit_outcome") == "Order Placed").alias("productive"))
+    lines = w.order_lines.groupBy(*keys).agg(F.count(F.lit(1)).alias("lines"), F.countDistinct("order_id").alias("orders"), F.sum("qty_ordered").alias("o"), F.sum("qty_delivered").alias("d"))
+    c = F.col
+    return outer([visits, lines, inventory_kpis(w, keys)], keys).select(
+        *keys,
+        ratio(c("productive"), c("visits")).alias("productivity"),
+        ratio(c("lines"), c("orders")).alias("skus_per_transaction"),
+        ratio(c("d"), c("o")).alias("service_level"),
+        ratio(c("o"), c("productive")).alias("dropsize"),
+        "inventory_turns",
+        "inventory_days",
+    )
 
 
 def category_table(w: Warehouse, keys: Sequence[str], with_oos: bool = True) -> DataFrame:
-    """The KPIs by category."""
-    return outer([distribution(w, keys), range_billing(w, keys), *([oos(w, keys)] if with_oos else [])], keys)
+    """The KPIs by category: what each outlet bought is aggregated once for distribution and range."""
+    unit = [k for k in keys if k not in ("month", "category_name")]
+    size = w.products.groupBy("category_name").agg(F.count(F.lit(1)).alias("size"))
+    per_outlet = w.facts.groupBy(*keys, "outlet_id", "outlet_tier").agg(F.countDistinct("sku_id").alias("n"))
+    billed = per_outlet.join(size, "category_name", "left").groupBy(*keys).agg(F.count(F.lit(1)).alias("b"), F.sum(_weight()).alias("bw"), F.round(F.avg(F.col("n") / F.col("size")), 6).alias("range_billing"))
+    measured = billed.join(active_outlets(w, unit), unit, "left").select(*keys, ratio(F.col("b"), F.col("outlets")).alias("numeric_distribution"), ratio(F.col("bw"), F.col("weights")).alias("acv"), "range_billing")
+    return outer([measured, oos(w, keys)], keys) if with_oos else measured
 
 
 def sku_sales(w: Warehouse, keys: Sequence[str]) -> DataFrame:
