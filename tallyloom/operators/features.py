@@ -16,6 +16,8 @@ from tallyloom.session import written
 
 #: An entity with more than this share of all events is heavy; there can't be more than 1 / HEAVY_SHARE of them.
 HEAVY_SHARE = 0.001
+#: Most types of a feature table.
+MOST_KINDS = 5_000
 #: Days since the latest event of an entity without one.
 NEVER = 2**31 - 1
 
@@ -40,6 +42,8 @@ def feature_table(
     per entity, of which one can have at most types x salts, while the complete type list is laid out. ``heavy`` gives the heavy entities where they can be had more cheaply than from the events.
     """
     kinds = list(kinds)
+    if len(kinds) > MOST_KINDS:
+        raise ValueError(f"more than {MOST_KINDS} types")
     width = len(kinds) + 1  # the last place is for events of no listed type
     spark = events.sparkSession
     listed = spark.createDataFrame([(k, i) for i, k in enumerate(kinds)], "_kind string, _no int")

@@ -19,7 +19,12 @@ LEAST_CHUNK, MOST_CHUNKS = 50_000, 10_000
 
 
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column] = (), first: int | None = None) -> DataFrame:
-    """``df`` with ``row_no``, the row's number from 0 within its keys.
+    """As ``numbered``, without the count of the rows."""
+    return numbered(df, keys, order, first)[0]
+
+
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column] = (), first: int | None = None) -> tuple[DataFrame, int]:
+    """``df`` with ``row_no``, the row's number from 0 within its keys, and the number of all its rows.
 
     With ``order`` the rows are range-partitioned and sorted by keys and order over the whole cluster, so that a large key is spread
     over many partitions, and the numbers follow that order (which should be total; equal rows are numbered in any order). Without it they
@@ -30,7 +35,9 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column] = ()
     """
     df = df.drop("row_no")
     by = [F.col(k).asc_nulls_first() for k in keys]
-    laid = df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order) if order else df.sortWithinPartitions(*by)
+    # The last range key tells equal rows apart, so that any number of them can be spread.
+    spread = df.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(*by, *order, "__tie") if order else df
+    laid = spread.sortWithinPartitions(*by, *order).select(*df.columns)
     at = F.monotonically_increasing_id()  # the partition above 33 bits of position
     rows = written(laid.select("*", F.shiftright(at, 33).cast("int").alias("__part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("__pos")), "rows")
     runs = written(rows.groupBy(*keys, "__part").agg(F.min("__pos").alias("__start"), F.count(F.lit(1)).alias("__n")), "runs")
@@ -42,19 +49,19 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column] = ()
     for i, k in enumerate(keys):
         same &= F.col(k).eqNullSafe(F.col(f"__k{i}"))
     out = rows.join(offsets, same).withColumn("row_no", F.col("__shift") + F.col("__pos")).select(*df.columns, "row_no")
-    return out if first is None else out.where(F.col("row_no") < first)
+    return (out if first is None else out.where(F.col("row_no") < first)), runs.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
 
 
-def chunked(numbered: DataFrame, chunk_rows: int | None = None) -> DataFrame:
+def chunked(df: DataFrame, keys: Sequence[str], order: Sequence[Column] = (), chunk_rows: int | None = None) -> DataFrame:
     """Numbered rows with ``chunk_no``: chunk_rows rows of a key share one. By default a chunk has LEAST_CHUNK rows, or more where that would give over MOST_CHUNKS."""
-    if chunk_rows is None:
-        chunk_rows = max(LEAST_CHUNK, -(-numbered.count() // MOST_CHUNKS))
-    return numbered.withColumn("chunk_no", F.floor(F.col("row_no") / chunk_rows))
+    rows, n = numbered(df, keys, order)
+    size = chunk_rows or max(LEAST_CHUNK, -(-n // MOST_CHUNKS))
+    return rows.withColumn("chunk_no", F.floor(F.col("row_no") / size))
 
 
 def key_totals(df: DataFrame, keys: Sequence[str], value: str, chunk_rows: int | None = None) -> DataFrame:
     """Per key: n_rows and the total of ``value`` (nulls add nothing; 0 if all are null), by exact offset chunking."""
-    chunks = chunked(number_rows(df.select(*keys, value), keys), chunk_rows)
+    chunks = chunked(df.select(*keys, value), keys, (), chunk_rows)
     states = chunks.groupBy(*keys, "chunk_no").agg(F.count(F.lit(1)).alias("__n"), F.sum(value).alias("__t"))
     return states.groupBy(*keys).agg(F.sum("__n").alias("n_rows"), F.coalesce(F.sum("__t"), F.lit(0)).alias("total"))
 
@@ -64,7 +71,7 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
 
     Each chunk is summed by itself; the chunks' totals, prefix-summed in order, are what a chunk starts from. Nulls add nothing.
     """
-    rows = chunked(number_rows(df, keys, order), chunk_rows)
+    rows = chunked(df, keys, order, chunk_rows)
     states = rows.groupBy(*keys, "chunk_no").agg(F.sum(F.coalesce(F.col(value), F.lit(0))).alias("__t"))
     before = Window.partitionBy(*keys).orderBy("chunk_no").rowsBetween(Window.unboundedPreceding, -1)
     base = states.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("chunk_no").alias("__c"), F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__base"))

@@ -40,3 +40,9 @@ def small(df: DataFrame, row_bytes: int = 64, limit: int = BROADCAST_BYTES) -> D
     ``df`` should be cheap to count, such as a written table.
     """
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the tables that this application has written to the shared folder; results that still read them can't be used any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

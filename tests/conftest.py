@@ -12,6 +12,8 @@ os.environ.setdefault("PYSPARK_PYTHON", sys.executable)
 def spark():
     from pyspark.sql import SparkSession
 
+    from tallyloom.session import release
+
     s = (
         SparkSession.builder.master("local[8]")
         .config("spark.sql.shuffle.partitions", "8")
@@ -23,4 +25,5 @@ def spark():
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    release(s)
     s.stop()
