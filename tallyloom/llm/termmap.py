@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.session import written
+from tallyloom.session import small, written
 
 # Fixed values -------------------------------------------------------------------------------------------------------------------------------
 #: Letters of other scripts that look like Latin ones.
@@ -299,9 +299,10 @@ def map_entities(entities: DataFrame, terms: DataFrame) -> DataFrame:
     types = map_values(rows.select(F.lit("TYPE").alias("kind"), F.col("type").alias("value")), terms)
     names = terms.where("kind = 'TYPE'").select(F.col("term_id").alias("type_id"), F.upper("term").alias("title_kind")).distinct()
     kinds = written(types.withColumnRenamed("term_id", "type_id").join(F.broadcast(names), "type_id", "left").select(F.col("value").alias("type"), "type_id", "title_kind"), "kinds")
-    typed = rows.join(kinds, "type")
+    typed = rows.join(small(kinds), "type")
     titled = typed.where(F.col("title_kind").isin(*_TITLE_KINDS)).select("entity_id", F.col("title_kind").alias("kind"), F.col("title").alias("value"))
-    titles = titled.join(map_values(titled, terms), ["kind", "value"]).select("entity_id", F.lit("title").alias("field_name"), "kind", "value", "term_id")
+    meant = written(map_values(titled, terms), "meant")
+    titles = titled.join(small(meant, 160), ["kind", "value"]).select("entity_id", F.lit("title").alias("field_name"), "kind", "value", "term_id")
     both = typed.select("entity_id", F.lit("type").alias("field_name"), F.lit("TYPE").alias("kind"), F.col("type").alias("value"), F.col("type_id").alias("term_id")).unionByName(titles)
     exact = terms.select("kind", F.col("term").alias("value"), F.lit(True).alias("exact")).distinct()
-    return both.join(exact, ["kind", "value"], "left").withColumn("exact", F.coalesce("exact", F.lit(False))).distinct()
+    return both.join(small(exact, 160), ["kind", "value"], "left").withColumn("exact", F.coalesce("exact", F.lit(False))).distinct()
