@@ -145,3 +145,29 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     for f in frames[1:]:
         out = out.unionByName(f)
     return out
+
+
+def source_consistency(docs: DataFrame) -> DataFrame:
+    """doc_id, the state of the file name, and status: ok, unparsable (no STATE_yyyy-MM_ID.txt), no_head, name_mismatch (with state_name), head_mismatch (with the text's State line)."""
+    parts = r"^(.+)_(\d{4}-\d{2})_(\d+)\.txt$"
+    named = F.replace(F.regexp_extract(F.coalesce("title", F.lit("")), parts, 1), F.lit("_"), F.lit(" "))
+    head = F.regexp_extract(F.coalesce("text", F.lit("")), r"(?m)^State:\s*(.+?)\s*$", 1)
+    status = (
+        F.when(named == "", "unparsable").when(~named.eqNullSafe(F.col("state_name")), "name_mismatch").when(head == "", "no_head").when(head != named, "head_mismatch").otherwise("ok")
+    )
+    return docs.select("doc_id", F.nullif(named, F.lit("")).alias("file_state"), status.alias("status"))
+
+
+def removable(entities: DataFrame, relationships: DataFrame) -> DataFrame:
+    """Entities of forbidden types with the edges at their folded title, and whether they can go: only those without any."""
+    e = entities.where(F.upper(F.trim("type")).isin(FORBIDDEN)).select("id", fold_title("title").alias("k")).distinct()
+    ends = relationships.select(F.explode(F.array_distinct(F.array(fold_title("source"), fold_title("target")))).alias("k"), "id").where("k IS NOT NULL").distinct()
+    n = ends.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    return e.join(n, "k", "left").select("id", F.coalesce("n", F.lit(0)).alias("n_edges"), F.col("n").isNull().alias("removed"))
+
+
+def backfill(entities: DataFrame, missing: DataFrame, kind: str) -> DataFrame:
+    """New entities for missing names (subject): id from the name, human_readable_ids on from the highest, in the names' order. The missing names are few: one per name of a bounded list."""
+    highest = entities.agg(F.coalesce(F.max("human_readable_id"), F.lit(0))).scalar()
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("subject"))
+    return missing.select(F.concat(F.lit("new-"), F.lower(F.replace(F.col("subject"), F.lit(" "), F.lit("-")))).alias("id"), (highest + place).alias("human_readable_id"), F.upper("subject").alias("title"), F.lit(kind).alias("type"))
