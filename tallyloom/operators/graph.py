@@ -73,9 +73,13 @@ def resolve_category(titles: DataFrame, terms: DataFrame) -> DataFrame:
     """title, category and reason: exact, state_prefix ('<STATE> <CATEGORY>'), or unresolved; three small vocabularies, looked up by join."""
     t = titles.select("title").where("title IS NOT NULL").distinct().withColumn("k", fold_title("title"))
     words = terms.where("kind = 'CATEGORY'").select(fold_title("term").alias("k"), F.col("term").alias("category"))
-    states = terms.where("kind = 'STATE'").select(fold_title("term").alias("state"))
-    pairs = states.join(words, F.lit(True)).select(F.concat_ws(" ", "state", "k").alias("k"), F.col("category").alias("prefixed"))
-    out = t.join(words, "k", "left").join(pairs, "k", "left")
+    states = terms.where("kind = 'STATE'").select(fold_title("term").alias("state")).distinct()
+    # Every way to cut the title in two at a blank, looked up by equality on both sides.
+    w = F.split("k", " ")
+    cuts = t.select("title", F.explode(F.sequence(F.lit(1), F.size(w) - 1)).alias("i"), w.alias("w")).where("i >= 1 AND i < size(w)")
+    halves = cuts.select("title", F.array_join(F.slice("w", F.lit(1), F.col("i")), " ").alias("state"), F.array_join(F.slice("w", F.col("i") + 1, F.size("w")), " ").alias("k"))
+    prefixed = halves.join(states, "state", "left_semi").join(words, "k").groupBy("title").agg(F.min("category").alias("prefixed"))
+    out = t.join(words, "k", "left").join(prefixed, "title", "left")
     reason = F.when(F.col("category").isNotNull(), "exact").when(F.col("prefixed").isNotNull(), "state_prefix").otherwise("unresolved")
     return out.select("title", F.coalesce("category", "prefixed").alias("category"), reason.alias("reason"))
 

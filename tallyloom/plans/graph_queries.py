@@ -44,9 +44,10 @@ def _units(t: Tables) -> DataFrame:
 
 @query()
 def gv_01_schema(t):
-    have = {name: getattr(t, name) for name in ("entities", "relationships", "documents")}
-    rows = graph.schema_violations(have)
-    return have["entities"].agg(F.count(F.lit(1)).alias("n_entities")).join(rows.agg(F.count(F.lit(1)).alias("n_missing_columns")), F.lit(True))
+    """The columns that each graph table lacks, with the table's rows."""
+    have = {name: getattr(t, name) for name in graph.REQUIRED}
+    sizes = graph.union_all([d.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(n).alias("subject"), "n_rows") for n, d in have.items()])
+    return sizes.join(graph.schema_violations(have).select("subject", "detail"), "subject", "left")
 
 
 _MISSING = f"SELECT 'missing_state' AS \"check\", 'high' AS severity, state_name AS subject, 'no entity' AS detail FROM (SELECT DISTINCT state_name FROM documents WHERE state_name IS NOT NULL) WHERE {_FOLD('state_name')} NOT IN (SELECT {_FOLD('title')} FROM entities WHERE upper(trim(type)) = 'STATE' AND {_FOLD('title')} IS NOT NULL)"
@@ -96,10 +97,9 @@ def gv_08_franchise_vocabulary(t):
     return graph.vocabulary(t.entities, t.reference_terms, "FRANCHISE")
 
 
-@query("SELECT (SELECT count(*) FROM entities) AS n_entities, (SELECT count(*) FROM relationships) AS n_relationships, (SELECT count(*) FROM documents) AS n_documents")
+@query("SELECT 'entities' AS name, count(*) AS n FROM entities UNION ALL SELECT 'relationships', count(*) FROM relationships UNION ALL SELECT 'documents', count(*) FROM documents")
 def gv_09_cardinality(t):
-    one = lambda d, n: d.agg(F.count(F.lit(1)).alias(n))
-    return one(t.entities, "n_entities").join(one(t.relationships, "n_relationships"), F.lit(True)).join(one(t.documents, "n_documents"), F.lit(True))
+    return graph.union_all([getattr(t, n).agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("name"), "n") for n in ("entities", "relationships", "documents")])
 
 
 _ALL = f"{_TITLES}, v AS ({_MISSING} UNION ALL {_ORPHANED} UNION ALL {_DANGLING} UNION ALL {_FORBIDDEN} UNION ALL {_vocabulary('CATEGORY')} UNION ALL {_vocabulary('FRANCHISE')})"
