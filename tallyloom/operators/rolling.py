@@ -34,14 +34,14 @@ def rolling_totals(events: DataFrame, entities: DataFrame, entity: str, day: str
     """Per entity of ``entities`` and day from ``start`` to ``end``: total_W and avg_W of ``value`` over the W days ending that day, for each W.
 
     Days without events count as 0, and events before ``start`` count where a period reaches them. Null entities, days and values add nothing; events of unknown
-    entities don't count. An average divides by W. Values are whole numbers. ``report_days`` restricts the rows to some days; totals are still over all events.
+    entities don't count. An average divides by W. Values are whole numbers. ``report_days`` restricts the rows to some days of the period; totals are still over all events.
     Events are first summed per entity and day, so that an entity brings at most one value a day into its row, however many events it has.
     Repeated entities count once; no entities give no rows.
     """
     lead = max(windows) - 1
     first, n = start - timedelta(days=lead), (end - start).days + 1 + lead
-    at = [(d - first).days for d in (report_days if report_days is not None else [start + timedelta(days=i) for i in range(n - lead)])]
-    at = [i for i in at if lead <= i < n]
+    wanted = range(lead, n) if report_days is None else {(d - first).days for d in report_days}
+    at = sorted(i for i in wanted if lead <= i < n)
     per_day = (
         events.where(F.col(entity).isNotNull() & F.col(value).isNotNull() & F.col(day).between(F.lit(first), F.lit(end)))
         .groupBy(F.col(entity).alias("entity"), F.datediff(F.col(day), F.lit(first)).alias("d"))
@@ -70,7 +70,7 @@ def rolling_totals(events: DataFrame, entities: DataFrame, entity: str, day: str
 
     kind = events.schema[entity].dataType.simpleString()
     sums = per_entity.mapInArrow(totals, ", ".join([f"entity {kind}", *[f"t{w} array<bigint>" for w in windows]]))
-    offsets = F.array(*[F.lit(i) for i in at]) if len(at) < 200 else F.sequence(F.lit(at[0]), F.lit(at[-1]))
+    offsets = F.array(*map(F.lit, at)).cast("array<int>")
     long = sums.select("entity", F.explode(F.arrays_zip(offsets.alias("i"), *[F.col(f"t{w}") for w in windows])).alias("r"))
     return long.select(
         F.col("entity").alias(entity),

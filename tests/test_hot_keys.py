@@ -1,4 +1,4 @@
-from datetime import date
+from datetime import date, timedelta
 
 import numpy as np
 import pytest
@@ -59,6 +59,9 @@ def test_rolling_totals_of_silent_unknown_and_null_entities(spark):
     want = [("a", date(2025, 1, 1), 0, 0.0, 5, 2.5), ("a", date(2025, 1, 2), 3, 3.0, 3, 1.5), ("a", date(2025, 1, 3), 0, 0.0, 3, 1.5)]
     assert rows(out) == want + [("b", date(2025, 1, d), 0, 0.0, 0, 0.0) for d in (1, 2, 3)]
     assert rows(rolling_totals(events, known, "o", "day", "q", date(2025, 1, 1), date(2025, 1, 3), (2,), [date(2025, 1, 2), date(2031, 1, 1)])) == [("a", date(2025, 1, 2), 3, 1.5), ("b", date(2025, 1, 2), 0, 0.0)]
+    assert rolling_totals(events, known, "o", "day", "q", date(2025, 1, 1), date(2025, 1, 3), (2,), []).count() == 0
+    far = rolling_totals(events, known, "o", "day", "q", date(2024, 1, 1), date(2025, 12, 31), (2,), [date(2024, 1, 1) + timedelta(days=2 * i) for i in range(365)])
+    assert far.count() == 730 and rows(far.where("total_2 > 0").select("day", "total_2")) == [(date(2025, 1, 1), 5), (date(2025, 1, 3), 3)]
     assert rolling_totals(events, known.limit(0), "o", "day", "q", date(2025, 1, 1), date(2025, 1, 3)).count() == 0
 
 
