@@ -13,18 +13,20 @@ from tallyloom.llm.survivors import surviving_observations
 from tallyloom.llm.termmap import map_entities
 from tallyloom.llm.tokens import sized
 from tallyloom.llm.topn import top_n
-from tallyloom.session import written
+from tallyloom.session import small, written
 from tallyloom.sources.tables import current_outlets, order_facts, table
 
 TOP = 5
 
 
 def _top_skus(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
-    states = current_outlets(spark, sf_dir, "state_name").where("state_name IS NOT NULL AND trim(state_name) <> ''")
+    states = written(current_outlets(spark, sf_dir, "state_name").where("state_name IS NOT NULL AND trim(state_name) <> ''"), "states")
     lines = order_facts(spark, sf_dir, "sku_id", "outlet_id", "order_date", "qty_delivered").where("sku_id IS NOT NULL AND outlet_id IS NOT NULL AND order_date IS NOT NULL")
-    # Summed per outlet before the join, so that what is shuffled for it doesn't grow with an outlet's or a SKU's lines in a month.
-    per_outlet = lines.groupBy("outlet_id", month_of("order_date").alias("month"), "sku_id").agg(F.sum("qty_delivered").alias("qty"))
-    items = per_outlet.join(states, "outlet_id").groupBy("state_name", "month", "sku_id").agg(F.sum("qty").alias("qty_delivered")).where("qty_delivered > 0")
+    sold = lines.select("outlet_id", month_of("order_date").alias("month"), "sku_id", F.col("qty_delivered").alias("qty"))
+    few = small(states)
+    if few is states:  # a shuffled join: summed per outlet first, so that it doesn't grow with an outlet's lines in a month
+        sold = sold.groupBy("outlet_id", "month", "sku_id").agg(F.sum("qty").alias("qty"))
+    items = sold.join(few, "outlet_id").groupBy("state_name", "month", "sku_id").agg(F.sum("qty").alias("qty_delivered")).where("qty_delivered > 0")
     return top_n(items, ["state_name", "month"], "qty_delivered", "sku_id", n)
 
 
