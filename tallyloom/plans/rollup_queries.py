@@ -88,10 +88,10 @@ def ag_23_min_max(w):
     return t.select("state_name", F.round((F.col("v") - F.min("v").over(every)) / (F.max("v").over(every) - F.min("v").over(every)), 6).alias("scaled"))
 
 
-@query("SELECT DISTINCT outlet_id, sku_id FROM facts f WHERE EXISTS (SELECT 1 FROM sd_visits v WHERE v.visit_id = f.order_id AND v.visit_outcome = 'Order Placed') AND channel_type = 'BUILDING'")
+@query("SELECT DISTINCT outlet_id, sku_id FROM facts f WHERE EXISTS (SELECT 1 FROM sd_visits v WHERE v.visit_id = f.order_id AND v.visit_outcome = 'Order Placed')")
 def j_14_semi_successful(w):
     placed = w.visits.where("visit_outcome = 'Order Placed'").select(F.col("visit_id").alias("order_id"))
-    return w.facts.where("channel_type = 'BUILDING'").join(placed, "order_id", "left_semi").select("outlet_id", "sku_id").distinct()
+    return w.facts.join(placed, "order_id", "left_semi").select("outlet_id", "sku_id").distinct()
 
 
 @query("SELECT z.unit_id AS zone_id, z.unit_name AS zone_name, z.state_name, d.unit_id AS wd_id, d.unit_name AS wd_name FROM geography z JOIN geography d ON d.parent_unit_id = z.unit_id WHERE z.unit_type = 'Zone' AND d.unit_type = 'WD'", False)
