@@ -9,11 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.session import BROADCAST_BYTES, written
+from tallyloom.session import BROADCAST_BYTES, small, written
 
 #: Bits of the filter for each parent key, and most bits in all (8 MB). A filter past the limit lets more references through to the exact join; results are the same.
 BITS_PER_KEY, MOST_BITS, HASHES = 12, 1 << 26, 6
-#: What a parent key may take in memory when the parents are broadcast, and how often the parents are copied when they are not.
+#: What a parent key may take in memory when the parents are broadcast, and how often doubtful keys are copied when they are too many for that.
 PARENT_BYTES, SALTS = 160, 8
 
 
@@ -53,8 +53,9 @@ def find_orphans(references: DataFrame, parents: DataFrame) -> DataFrame:
     known_from is later than made_at, deleted if the earliest known_until isn't later than made_at. References without a key, and parents without one, count for nothing; a null
     made_at can't be early or deleted. All further columns of the references are kept (but a column reason is replaced), one row for each reference row that is a case.
 
-    A Bloom filter of the parents, of bounded size, proves most missing references; the rest are verified by an exact join, broadcast if the parents are few enough, else
-    shuffled with the references salted, so that a key that a third of them name is met in SALTS places.
+    A Bloom filter of the parents, of bounded size, proves most missing references; the rest are verified by an exact join. If the parents are few enough, they are broadcast to the
+    references. Else the references are first summed up to their distinct keys with the first and last time each was made; those are verified, and only the keys that can be a case
+    come back to the references, broadcast if few, else with the references salted, so that a key that a third of them name is met in SALTS places.
     """
     spark = references.sparkSession
     kept = [c for c in references.columns if c != "reason"]
@@ -70,16 +71,26 @@ def find_orphans(references: DataFrame, parents: DataFrame) -> DataFrame:
         filt = bits.value
         return pd.Series(filt[_positions(h1.to_numpy(), h2.to_numpy(), len(filt))].all(axis=1))
 
-    h1, h2 = _hashes(F.col("target"), F.col("key"))
-    asked = references.where(F.col("key").isNotNull()).withColumn("__maybe", may_exist(h1, h2))
-    exact = terms.select(F.col("target").alias("__target"), F.col("key").alias("__key"), "__from", "__until", F.lit(True).alias("__there"))
-    # The filter's verdict goes into the join key: a reference it has ruled out is looked up nowhere and keeps its null, whatever the join.
-    on = (F.col("target") == F.col("__target")) & (F.when(F.col("__maybe"), F.col("key")) == F.col("__key"))
+    def verified(asked: DataFrame) -> DataFrame:
+        """``asked`` with the parent of each target and key, if there is one. The filter's verdict goes into the join key, so what it has ruled out is looked up nowhere."""
+        exact = terms.select(F.col("target").alias("__target"), F.col("key").alias("__key"), "__from", "__until", F.lit(True).alias("__there"))
+        exact = F.broadcast(exact) if n * PARENT_BYTES <= BROADCAST_BYTES else exact
+        probed = asked.withColumn("__maybe", may_exist(*_hashes(F.col("target"), F.col("key"))))
+        return probed.join(exact, (F.col("target") == F.col("__target")) & (F.when(F.col("__maybe"), F.col("key")) == F.col("__key")), "left")
+
+    asked = references.where(F.col("key").isNotNull())
     if n * PARENT_BYTES <= BROADCAST_BYTES:
-        joined = asked.join(F.broadcast(exact), on, "left")
+        joined = verified(asked)
     else:
-        salted = exact.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = asked.withColumn("__salt", F.pmod(F.xxhash64(*kept), F.lit(SALTS)).cast("int")).join(salted, on & (F.col("__salt") == F.col("__copy")), "left").drop("__salt", "__copy")
+        keys = verified(asked.groupBy("target", "key").agg(F.min("made_at").alias("lo"), F.max("made_at").alias("hi")))
+        doubtful = F.col("__there").isNull() | (F.col("lo") < F.col("__from")) | (F.col("hi") >= F.col("__until"))
+        troubled = written(keys.where(doubtful).select(F.col("target").alias("__target"), F.col("key").alias("__key"), "__from", "__until", "__there"), "troubled")
+        on = (F.col("target") == F.col("__target")) & (F.col("key") == F.col("__key"))
+        few = small(troubled, PARENT_BYTES)
+        if few is troubled:
+            few = troubled.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            on &= F.pmod(F.xxhash64(*kept), F.lit(SALTS)).cast("int") == F.col("__copy")
+        joined = asked.join(few, on)
     reason = (
         F.when(F.col("__there").isNull(), F.lit("missing")).when(F.col("__from") > F.col("made_at"), F.lit("early")).when(F.col("__until") <= F.col("made_at"), F.lit("deleted"))
     )

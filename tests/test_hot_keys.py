@@ -107,3 +107,6 @@ def test_orphans_by_shuffled_join_are_the_same(spark, monkeypatch):
     a = rows(find_orphans(asked, known))
     monkeypatch.setattr(orphans, "BROADCAST_BYTES", 0)
     assert rows(find_orphans(asked, known)) == a and len(a) > 1000
+    monkeypatch.setattr(orphans, "small", lambda df, *_: df)
+    assert rows(find_orphans(asked, known)) == a
+    assert find_orphans(asked.limit(0), known).count() == 0 and find_orphans(asked, known.limit(0)).count() == 4000
