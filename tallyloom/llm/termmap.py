@@ -171,6 +171,7 @@ class TermIndex:
     """Trees of the entries of each kind. An entry is a squeezed spelling of a term with the slips allowed in it."""
 
     def __init__(self, terms: Iterable[tuple[int, str, str]], firsts: frozenset[str] | None = None) -> None:
+        """``firsts`` are the first words that only one distributor of the whole list has; without them ``terms`` must be the whole list."""
         self.entries: dict[str, dict[str, list[tuple[int, int, tuple[str, ...]]]]] = {}
         terms = sorted({(i, k, t) for i, k, t in terms if k and t})
         self.states = sorted(("".join(words_of(fold(t))) for _, k, t in terms if k == "STATE"), key=len, reverse=True)
@@ -221,26 +222,30 @@ class TermIndex:
                     best = (d + spent, term_id)
         return best
 
-    def lookup(self, kind: str, value: str) -> tuple[int, int] | None:
-        """Slips and id of the term of the kind that the value means, or None."""
-        folded = fold(value).replace("®", "").strip().strip("\"'“”«»").strip()
-        forms = [folded] + [m.group(1).strip() for p in _AROUND.get(kind, []) if (m := p.fullmatch(folded))]
-        asked: list[tuple[tuple[str, ...], int]] = []
-        for form in forms:
-            words = words_of(form)
+    def lookup(self, kind: str, value: str, rests: Iterable[str] | None = None) -> tuple[int, int] | None:
+        """Slips and id of the term of the kind that the value means, or None. ``rests``: what follows a state's name in a category's value, if ``terms`` were only a part of the list."""
+        asked: list[tuple[tuple[str, ...], int]] = [((r,), 0) for r in (rests if rests is not None else ())]
+        for words in forms_of(kind, value):
             if kind == "DISTRIBUTOR":
                 if (firm := _firm(words)) is not None:
                     name = words[:-1] if "".join(words[:-1]) == firm[0] else words if "".join(words) == firm[0] else [firm[0]]
                     asked.append((tuple(name), firm[1]))
             else:
                 asked.append((tuple(words), 0))
-                if kind == "CATEGORY":
+                if kind == "CATEGORY" and rests is None:
                     whole = "".join(words)
                     asked += [((whole[len(s) :],), 0) for s in self.states if whole.startswith(s) and len(whole) > len(s)]
         found = [x for words, spent in dict.fromkeys(asked) if (x := self.closest(kind, words, spent)) is not None]
         return min(found) if found else None
 
 
+def forms_of(kind: str, value: str) -> list[list[str]]:
+    """The words of a value, and of the term in it where something is written around it."""
+    folded = fold(value).replace("®", "").strip().strip("\"'“”«»").strip()
+    found = [p.fullmatch(folded) for p in _AROUND.get(kind, [])]
+    return [words_of(form) for form in [folded, *(m.group(1).strip() for m in found if m)]]
+
+
 def single_firsts(terms: Iterable[tuple[int, str, str]]) -> frozenset[str]:
     """First words that only one distributor has."""
     first: dict[str, int] = {}
@@ -250,12 +255,46 @@ def single_firsts(terms: Iterable[tuple[int, str, str]]) -> frozenset[str]:
     return frozenset(w for w, n in first.items() if n == 1)
 
 
+def _with_single(known: DataFrame) -> DataFrame:
+    """Terms with ``single``: the first word of a distributor, if no other of the whole list has it; else null."""
+
+    def first_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b["first"] = [(words_of(fold(t)) or [None])[0] if k == "DISTRIBUTOR" else None for k, t in zip(b["kind"], b["term"])]
+            yield b
+
+    firsts = written(known.where("kind <> '' AND term <> ''").mapInPandas(first_words, "term_id long, kind string, term string, first string"), "firsts")
+    single = firsts.where("first IS NOT NULL").groupBy("first").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("first", F.col("first").alias("single"))
+    return firsts.join(single, "first", "left").select("term_id", "kind", "term", "single")
+
+
+def _with_rests(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """Values with ``rests``: what follows the name of any state of the whole list in a category's value; the value's beginnings are looked up among the states by equality."""
+
+    def names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"state": ["".join(words_of(fold(t))) for t in b["term"]]})
+
+    states = written(known.where("kind = 'STATE'").select("term").mapInPandas(names, "state string").where("state <> ''").distinct(), "states")
+    lengths = [r["n"] for r in states.select(F.length("state").alias("n")).distinct().collect()]  # as many as names have lengths
+
+    def halves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            wholes = [(v, w) for v in b["value"] for w in {"".join(f) for f in forms_of("CATEGORY", v)}]
+            yield pd.DataFrame([(v, w[:n], w[n:]) for v, w in wholes for n in lengths if n < len(w)], columns=["value", "state", "rest"])
+
+    cut = asked.where("kind = 'CATEGORY'").select("value").mapInPandas(halves, "value string, state string, rest string")
+    rests = cut.join(small(states), "state").groupBy("value").agg(F.collect_set("rest").alias("rests")).withColumn("kind", F.lit("CATEGORY"))
+    return asked.join(rests, ["kind", "value"], "left").withColumn("rests", F.coalesce("rests", F.array().cast("array<string>")))
+
+
 def map_values(values: DataFrame, terms: DataFrame, broadcast_terms: int = BROADCAST_TERMS, shard_terms: int = SHARD_TERMS) -> DataFrame:
     """For each distinct (kind, value): term_id of the entry of that kind it means, or 0, and ``slips``, the slips found (null for 0).
 
     ``values`` has kind and value, ``terms`` has term_id, kind, term. Null or blank values and null kinds are left out; kinds without terms match nothing; among equally close
     entries the lowest term_id counts. Distinct values are looked up once, however often they occur. Up to ``broadcast_terms`` terms are
-    broadcast as one index; more are dealt to shards of ``shard_terms``, each value asks every shard, and the closest answer counts.
+    broadcast as one index; more are dealt to shards of ``shard_terms``, each value asks every shard, and the closest answer counts. What depends on the whole list (first words that
+    only one distributor has, states before a category) is found before the terms are dealt, and goes along with the terms and the values.
     """
     spark = values.sparkSession
     asked = written(values.select("kind", "value").where(F.col("kind").isNotNull() & (F.trim(F.regexp_replace("value", r"(?U)\s+", " ")) != "")).distinct(), "values")
@@ -264,7 +303,7 @@ def map_values(values: DataFrame, terms: DataFrame, broadcast_terms: int = BROAD
     tasks = max(1, min(10_000, -(-n_values // TASK_VALUES)))
 
     def answers(index: TermIndex, b: pd.DataFrame) -> pd.DataFrame:
-        got = [index.lookup(k, v) for k, v in zip(b["kind"], b["value"])]
+        got = [index.lookup(k, v, r) for k, v, r in zip(b["kind"], b["value"], b["rests"] if "rests" in b else [None] * len(b))]
         return pd.DataFrame({"kind": b["kind"], "value": b["value"], "slips": pd.array([g[0] if g else None for g in got], "Int32"), "term_id": pd.array([g[1] if g else 0 for g in got], "int64")})
 
     schema = "kind string, value string, slips int, term_id long"
@@ -278,11 +317,11 @@ def map_values(values: DataFrame, terms: DataFrame, broadcast_terms: int = BROAD
 
         return asked.repartition(tasks).mapInPandas(by_batch, schema)
     shards = -(-n_terms // shard_terms)
-    dealt = known.withColumn("shard", F.pmod(F.xxhash64("term_id"), F.lit(shards)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
-    spread = asked.withColumn("part", F.pmod(F.xxhash64("value"), F.lit(tasks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    dealt = _with_single(known).withColumn("shard", F.pmod(F.xxhash64("term_id"), F.lit(shards)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
+    spread = _with_rests(asked, known).withColumn("part", F.pmod(F.xxhash64("value"), F.lit(tasks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
     def by_shard(v: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        return answers(TermIndex(t[["term_id", "kind", "term"]].itertuples(index=False, name=None)), v)
+        return answers(TermIndex(t[["term_id", "kind", "term"]].itertuples(index=False, name=None), frozenset(t["single"].dropna())), v)
 
     each = spread.groupBy("part", "shard").cogroup(dealt.groupBy("part", "shard")).applyInPandas(by_shard, schema)
     winner = F.min(F.struct(F.coalesce("slips", F.lit(99)).alias("s"), F.col("term_id").alias("t")))

@@ -68,6 +68,17 @@ def test_shards_give_the_same_as_the_broadcast_index(spark):
     assert {r.term_id for r in map_values(values, terms.limit(0)).collect()} == {0}
 
 
+def test_shards_know_first_words_and_states_of_the_whole_list(spark):
+    more = [(33, "DISTRIBUTOR", "Suldolda Marn Distributors"), (34, "DISTRIBUTOR", "Suldolda Tiv Distributors"), (51, "CATEGORY", "Softdrop"), (52, "CATEGORY", "Oral Care"), (12, "STATE", "Dakshin")]
+    terms = spark.createDataFrame(TERMS + more, "term_id long, kind string, term string")
+    asked = [("DISTRIBUTOR", v) for v in ("Suldolda", "SULDOLDA distributors", "Suldor", "Pantes", "M/s Pantes", "Suldor & Banuk")] + [("CATEGORY", v) for v in ("Meghvan Mintline", "DAKSHIN_SHILA softdrop", "Dakshin Oral Caer", "Category: Meghvan Softdrop", "Meghvan", "Paschim Mintline")]
+    values = spark.createDataFrame(asked, "kind string, value string")
+    whole = {(r.kind, r.value): (r.slips, r.term_id) for r in map_values(values, terms).collect()}
+    assert whole["DISTRIBUTOR", "Suldolda"] == (None, 0) and whole["DISTRIBUTOR", "Pantes"] == (0, 32) and whole["CATEGORY", "Meghvan Mintline"] == (0, 50) and whole["CATEGORY", "DAKSHIN_SHILA softdrop"] == (0, 51)
+    for shard_terms in (1, 4):
+        assert {(r.kind, r.value): (r.slips, r.term_id) for r in map_values(values, terms, broadcast_terms=0, shard_terms=shard_terms).collect()} == whole
+
+
 def test_entities_with_blank_repeated_and_clashing_rows(spark):
     rows = [("a", "state", "megvhan"), ("a", "state", "megvhan"), ("b", "STATE", "Meghvan"), ("c", None, "Meghvan"), ("d", " ", "Meghvan"), ("e", "STATES", None), ("f", "OBSERVATION", "Meghvan"), ("g", "???", "Meghvan")]
     entities = spark.createDataFrame([(*r, 7, "x") for r in rows], "id string, type string, title string, kind int, value string")
