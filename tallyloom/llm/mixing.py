@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.session import written
+from tallyloom.session import small, written
 
-#: Tokens of a block, most slots of a period of the schedule, documents of a bucket, and most sources of a mix.
+#: Tokens of a block, most slots of a slice of the schedule, documents of a bucket, and most sources of a mix.
 BLOCK_TOKENS, MOST_SLOTS, BUCKET_DOCS, MOST_SOURCES = 8192, 50_000, 50_000, 1000
 
 
@@ -36,24 +37,38 @@ def budgets(shares: Mapping[str, float], supply: Mapping[str, int], repeats: Map
     return drawn
 
 
-def earliest_deadline_first(blocks: list[int]) -> list[tuple[int, int, int]]:
-    """(slot, source, block) of a mix of ``blocks`` blocks of each source.
+def schedule(blocks: list[int], done: list[int], at: int, to: int) -> Iterator[tuple[int, int, int]]:
+    """(slot, source, block) of the slots from ``at`` to before ``to`` of a mix of ``blocks`` blocks of each source, of which ``done`` were taken before slot ``at``.
 
     Block k of a source with b of the n blocks is released at slot floor(k n / b) and due by ceil((k + 1) n / b); each slot takes, of the released blocks, the one due first. A source is
-    then never as much as a block away from its share.
+    then never as much as a block away from its share. What is taken from a slot on depends only on what was taken before it, so a schedule may be cut anywhere.
     """
     n = sum(blocks)
     due = lambda i, k: -(-(k + 1) * n // blocks[i])
-    waiting, ready, out = [(0, i, 0) for i, b in enumerate(blocks) if b], [], []
-    for t in range(n):
+    waiting, ready = [(k * n // blocks[i], i, k) for i, k in enumerate(done) if k < blocks[i]], []
+    heapq.heapify(waiting)
+    for t in range(at, to):
         while waiting and (waiting[0][0] <= t or not ready):
             _, i, k = heapq.heappop(waiting)
             heapq.heappush(ready, (due(i, k), i, k))
         _, i, k = heapq.heappop(ready)
-        out.append((t, i, k))
+        yield t, i, k
         if k + 1 < blocks[i]:
             heapq.heappush(waiting, ((k + 1) * n // blocks[i], i, k + 1))
-    return out
+
+
+def earliest_deadline_first(blocks: list[int]) -> list[tuple[int, int, int]]:
+    """(slot, source, block) of the whole mix; see schedule()."""
+    return list(schedule(blocks, [0] * len(blocks), 0, sum(blocks)))
+
+
+def slices(blocks: list[int], slots: int) -> Iterator[tuple[int, int, list[int]]]:
+    """First slot, end and blocks taken before of each slice of at most ``slots`` slots: one pass over the schedule that keeps a count per source."""
+    n, done = sum(blocks), [0] * len(blocks)
+    for t, i, _ in schedule(blocks, done[:], 0, n):
+        if t % slots == 0:
+            yield t, min(n, t + slots), done[:]
+        done[i] += 1
 
 
 def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -65,8 +80,8 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, bl
     exceed its share by less than its own length. Repeated rows are documents of their own.
 
     The source's tokens are prefix-summed in hash buckets of bounded size and cut to blocks of ``block_tokens``; each block has a release and a deadline from its source's share, and slots are given earliest
-    deadline first. Up to MOST_SLOTS blocks that schedule is exact, with less than one block of deviation; a longer mix is cut to periods of about so many slots, over which each source's blocks
-    are spread evenly, so that only one period is ever scheduled in a row, with less than two blocks of deviation.
+    deadline first, with less than one block of deviation however long the mix is. The driver runs through the schedule once, keeping a count per source, and notes the counts at the edges of slices of
+    MOST_SLOTS slots; the executors write each slice's slots from its counts, so that no list as long as the mix is ever held. That pass takes time in proportion to the blocks.
     """
     spark = docs.sparkSession
     wanted = targets.select(source_name("source").alias("source"), "target_share", "max_repeats").where("source IS NOT NULL AND target_share > 0").groupBy("source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
@@ -95,18 +110,14 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, bl
         .where("source_start < draw")
         .withColumn("block", F.floor(F.col("source_start") / block_tokens))
     )
-    n = sum(blocks)
-    # Blocks of each source in a period of the schedule; the blocks of a longer mix are spread evenly over its periods.
-    periods = max(1, -(-n // MOST_SLOTS))
-    pattern = earliest_deadline_first([-(-b // periods) for b in blocks])
-    slots = spark.createDataFrame(pattern or [(0, -1, 0)], "turn long, source_no int, place long")
-    period = F.floor(F.col("block") * periods / F.col("blocks"))
-    timed = (
-        copies.withColumn("period", period)
-        .withColumn("place", F.col("block") - F.ceil(F.col("period") * F.col("blocks") / periods))
-        .join(F.broadcast(slots), ["source_no", "place"])
-        .withColumn("slot", F.col("period") * max(1, len(pattern)) + F.col("turn"))
-    )
+    edges = spark.createDataFrame(slices(blocks, MOST_SLOTS), "at long, to long, done array<long>") if sum(blocks) else spark.createDataFrame([], "at long, to long, done array<long>")
+
+    def slots_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at, to, done in zip(b["at"].tolist(), b["to"].tolist(), b["done"]):
+                yield pd.DataFrame(schedule(blocks, [int(x) for x in done], at, to), columns=["slot", "source_no", "block"])
+
+    timed = copies.join(small(written(edges.repartition(max(1, min(10_000, -(-sum(blocks) // MOST_SLOTS)))).mapInPandas(slots_of, "slot long, source_no int, block long"), "slots")), ["source_no", "block"])
     return timed.select("slot", "source", "doc_id", (F.col("copy") + 1).alias("copy_no"), "n_tokens", "source_start")
 
 

@@ -141,6 +141,30 @@ def test_schedule_is_never_a_block_off():
             assert all(abs(a * n - (t + 1) * b) < n for a, b in zip(at, blocks))
 
 
+@pytest.mark.parametrize("blocks", [[400] + [16] * 40, [3, 1, 777, 20, 20, 0, 500], [1]])
+def test_slices_give_the_whole_schedule(blocks):
+    from tallyloom.llm.mixing import schedule, slices
+
+    for slots in (1, 50, 333, 10_000):
+        assert [x for at, to, done in slices(blocks, slots) for x in schedule(blocks, done, at, to)] == earliest_deadline_first(blocks)
+
+
+def test_a_long_mix_of_many_sources_is_never_a_block_off(spark, monkeypatch):
+    from tallyloom.llm import mixing
+
+    monkeypatch.setattr(mixing, "MOST_SLOTS", 100)
+    names = [f"s{i}" for i in range(41)]
+    n_docs = [800] + [31] * 40
+    docs = spark.createDataFrame([(1000 * i + k, names[i], 10) for i, n in enumerate(n_docs) for k in range(n)], "doc_id long, source string, n_tokens long")
+    targets = spark.createDataFrame([(s, n / sum(n_docs), 1) for s, n in zip(names, n_docs)], "source string, target_share double, max_repeats int")
+    rows = sorted(mix(docs, targets, block_tokens=10).collect(), key=lambda r: r.slot)
+    assert [r.slot for r in rows] == list(range(sum(n_docs)))
+    so_far = dict.fromkeys(names, 0)
+    for r in rows:
+        so_far[r.source] += 1
+        assert all(abs(so_far[s] - (r.slot + 1) * n / sum(n_docs)) < 1 for s, n in zip(names, n_docs))
+
+
 def test_budgets_pass_on_what_a_source_lacks():
     assert budgets({"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 100, "b": 10, "c": 100}, {"a": 1, "b": 2, "c": 1}, 100) == pytest.approx({"a": 80 * 5 / 7, "b": 20, "c": 80 * 2 / 7})
     assert budgets({"a": 1.0, "b": 0.0}, {"a": 5}, {"a": 2, "b": 9}, 100) == {"a": 10.0, "b": 0.0}
