@@ -84,17 +84,44 @@ def resolve_category(titles: DataFrame, terms: DataFrame) -> DataFrame:
     return out.select("title", F.coalesce("category", "prefixed").alias("category"), reason.alias("reason"))
 
 
+def survivors(entities: DataFrame) -> DataFrame:
+    """title (folded), id and human_readable_id of the entity that survives among those of the title: lowest human_readable_id, nulls last, then id. One minimum a title, merged from partial ones."""
+    row = F.struct(F.col("human_readable_id").isNull().alias("n"), "human_readable_id", "id")
+    g = entities.select(fold_title("title").alias("title"), row.alias("r")).where("title IS NOT NULL").groupBy("title").agg(F.min("r").alias("r"))
+    return g.select("title", F.col("r.id").alias("id"), F.col("r.human_readable_id").alias("human_readable_id"))
+
+
+def merged_texts(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Long form of the joined descriptions: a row for each key and distinct description (trimmed, not blank), with ``first``, by which a key's descriptions are ordered."""
+    first = F.struct(F.col("human_readable_id").isNull().alias("n"), "human_readable_id", "id", F.col("description").alias("d"))
+    return rows.select(*keys, F.nullif(F.trim("description"), F.lit("")).alias("description"), first.alias("f")).where("description IS NOT NULL").groupBy(*keys, "description").agg(F.min("f").alias("first"))
+
+
+def merged_units(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Long form of the merged text units: a row for each key and distinct unit, with ``first``, by which a key's units are ordered."""
+    each = rows.select(*keys, "human_readable_id", "id", F.posexplode("text_unit_ids").alias("at", "unit")).where("unit IS NOT NULL")
+    first = F.struct(F.col("human_readable_id").isNull().alias("n"), "human_readable_id", "id", "at", F.col("unit").alias("u"))
+    return each.groupBy(*keys, "unit").agg(F.min(first).alias("first"))
+
+
+def unit_counts(entities: DataFrame) -> DataFrame:
+    """title (folded) and frequency, its number of distinct text units: spread by title and unit, then counted."""
+    units = entities.select(fold_title("title").alias("title"), F.explode("text_unit_ids").alias("unit")).where("title IS NOT NULL AND unit IS NOT NULL").distinct()
+    return units.groupBy("title").agg(F.count(F.lit(1)).cast("int").alias("frequency"))
+
+
 def merge_entities(entities: DataFrame) -> DataFrame:
     """Entities merged by folded title: the survivor's id and human_readable_id (lowest, nulls last, then id), distinct descriptions joined in that order, distinct text units, and frequency.
 
-    A title's copies differ in little, so a group holds few distinct rows; they are made distinct before they are gathered.
+    A row holds its title's distinct descriptions and units, made distinct before they are gathered. Where a title may have too many for a row, take survivors() and unit_counts(), and
+    the values from merged_texts() and merged_units(), which gather nothing.
     """
-    e = entities.select(fold_title("title").alias("title"), "id", "human_readable_id", "description", "text_unit_ids").where("title IS NOT NULL").distinct()
-    row = F.struct(F.col("human_readable_id").isNull().alias("n"), "human_readable_id", "id", "description", F.coalesce("text_unit_ids", F.array()).alias("u"))
-    g = e.groupBy("title").agg(F.array_sort(F.collect_set(row)).alias("r"))
-    units = F.array_distinct(F.flatten(F.transform("r", lambda x: x["u"])))
-    texts = F.array_distinct(F.filter(F.transform("r", lambda x: F.nullif(F.trim(x["description"]), F.lit(""))), lambda d: d.isNotNull()))
-    return g.select(F.col("r")[0]["id"].alias("id"), F.col("r")[0]["human_readable_id"].alias("human_readable_id"), "title", F.array_join(texts, " | ").alias("description"), units.alias("text_unit_ids"), F.size(units).alias("frequency"))
+    e = entities.withColumn("title", fold_title("title")).where("title IS NOT NULL")
+    texts = merged_texts(e, ["title"]).groupBy("title").agg(F.array_sort(F.collect_list(F.struct("first", "description"))).alias("t"))
+    units = merged_units(e, ["title"]).groupBy("title").agg(F.array_sort(F.collect_list(F.struct("first", "unit"))).alias("u"))
+    found = survivors(entities).join(texts, "title", "left").join(units, "title", "left")
+    listed = F.coalesce(F.col("u.unit"), F.array().cast("array<string>"))
+    return found.select("id", "human_readable_id", "title", F.coalesce(F.array_join("t.description", " | "), F.lit("")).alias("description"), listed.alias("text_unit_ids"), F.size(listed).alias("frequency"))
 
 
 def remap_relationships(relationships: DataFrame) -> DataFrame:

@@ -132,7 +132,8 @@ def gv_10_resolve_category(t):
 SELECT id, human_readable_id, title, coalesce(frequency, 0) AS frequency FROM (SELECT *, row_number() OVER (PARTITION BY title ORDER BY human_readable_id NULLS LAST, id) AS k FROM e) LEFT JOIN u USING (title) WHERE k = 1""")
 def gc_01_merge(t):
     """Survivors of entities with the same folded title."""
-    return graph.merge_entities(t.entities).select("id", "human_readable_id", "title", "frequency")
+    merged = graph.survivors(t.entities).join(graph.unit_counts(t.entities), "title", "left")
+    return merged.select("id", "human_readable_id", "title", F.coalesce("frequency", F.lit(0)).alias("frequency"))
 
 
 _EDGES = f"e AS (SELECT DISTINCT {_FOLD('source')} AS source, {_FOLD('target')} AS target, id, human_readable_id, weight FROM relationships WHERE {_FOLD('source')} IS NOT NULL AND {_FOLD('target')} IS NOT NULL)"
@@ -147,7 +148,7 @@ def gc_02_remap(t):
 def _mapping(t):
     """Old id to surviving id."""
     e = t.entities.select("id", fold_title("title").alias("title")).where("title IS NOT NULL").distinct()
-    return e.join(graph.merge_entities(t.entities).select("title", F.col("id").alias("survivor")), "title").select("id", "survivor")
+    return e.join(graph.survivors(t.entities).select("title", F.col("id").alias("survivor")), "title").select("id", "survivor")
 
 
 @query(f"""WITH e AS (SELECT DISTINCT {_FOLD('title')} AS title, id, human_readable_id FROM entities WHERE {_FOLD('title')} IS NOT NULL), m AS (SELECT id, first_value(id) OVER (PARTITION BY title ORDER BY human_readable_id NULLS LAST, id) AS survivor FROM e),

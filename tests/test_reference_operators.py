@@ -129,6 +129,23 @@ def test_graph_checks_and_merge(spark):
     assert rows(graph.schema_violations({"entities": e.drop("degree")}).where("subject = 'entities'").select("detail")) == [("lacks degree",)]
 
 
+def test_merging_gathers_no_copies_of_a_title(spark):
+    from tallyloom.plans import graph_queries
+
+    class Tables:
+        entities = spark.range(3000).select(F.concat(F.lit("e"), "id").alias("id"), (F.col("id") + 1).alias("human_readable_id"), F.lit("Gold_1").alias("title"), F.lit("x").alias("description"), F.array(F.concat(F.lit("u"), F.col("id") % 700)).alias("text_unit_ids"))
+
+    for q in (graph_queries.gc_01_merge, graph_queries.gc_03_list_remap):
+        df = getattr(q, "__wrapped__", q)(Tables)
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "collect_set" not in plan and "collect_list" not in plan
+        if q is graph_queries.gc_01_merge:
+            assert rows(df) == [("e0", 1, "GOLD 1", 700)]
+    long = graph.merged_units(Tables.entities, ["title"])
+    assert long.count() == 700 and [r.unit for r in long.orderBy("first").limit(3).collect()] == ["u0", "u1", "u2"]
+    assert [tuple(r)[:2] for r in graph.merged_texts(Tables.entities, ["title"]).collect()] == [("Gold_1", "x")]
+
+
 def test_components_against_union_find(spark):
     rng = random.Random(7)
     edges = [(f"n{rng.randint(0, 120):03d}", f"n{rng.randint(0, 120):03d}") for _ in range(90)] + [(f"p{i:03d}", f"p{i + 1:03d}") for i in range(200)] + [("hub", f"x{i}") for i in range(100)] + [(None, "x1"), ("solo", "solo")]
