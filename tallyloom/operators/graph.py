@@ -133,6 +133,17 @@ def remap_relationships(relationships: DataFrame) -> DataFrame:
     return edges.join(out, "source").join(into, "target").select("source", "target", "id", "human_readable_id", "weight", (F.col("o") + F.col("i")).alias("combined_degree"))
 
 
+def folded_edges(relationships: DataFrame) -> DataFrame:
+    """Relationships with both ends folded, and without those that lack one: the rows that remap_relationships collapses; merged_texts and merged_units keep what they say."""
+    return relationships.withColumns({c: fold_title(c) for c in ("source", "target")}).where("source IS NOT NULL AND target IS NOT NULL")
+
+
+def remap_list(table: DataFrame, key: str, column: str, mapping: DataFrame) -> DataFrame:
+    """Long form of a list column with its ids remapped: a row for each key and distinct new id, with ``at``, the first place it has in the list. Ids that ``mapping`` (id, survivor) lacks stay as they are."""
+    held = table.select(F.col(key).alias("key"), F.posexplode(column).alias("at", "id")).join(mapping, "id", "left")
+    return held.groupBy("key", F.coalesce("survivor", "id").alias("ref")).agg(F.min("at").alias("at"))
+
+
 def edge_labels(relationships: DataFrame) -> DataFrame:
     """Edges by the label their description begins with."""
     label = F.coalesce(F.nullif(F.regexp_extract(F.coalesce("description", F.lit("")), EDGE_LABEL, 1), F.lit("")), F.lit("(unlabeled)"))

@@ -145,6 +145,21 @@ def gc_02_remap(t):
     return graph.remap_relationships(t.relationships)
 
 
+_ENDS = f"{_FOLD('source')} AS source, {_FOLD('target')} AS target"
+
+
+@query(f"SELECT DISTINCT {_ENDS}, trim(description) AS description FROM relationships WHERE {_FOLD('source')} IS NOT NULL AND {_FOLD('target')} IS NOT NULL AND trim(description) <> ''")
+def gc_02_edge_texts(t):
+    """The distinct descriptions of collapsed edges, a row for each."""
+    return graph.merged_texts(graph.folded_edges(t.relationships), ["source", "target"]).select("source", "target", "description")
+
+
+@query(f"SELECT DISTINCT source, target, unit FROM (SELECT {_ENDS}, unnest(text_unit_ids) AS unit FROM relationships) WHERE source IS NOT NULL AND target IS NOT NULL AND unit IS NOT NULL")
+def gc_02_edge_units(t):
+    """The distinct text units of collapsed edges, a row for each."""
+    return graph.merged_units(graph.folded_edges(t.relationships), ["source", "target"]).select("source", "target", "unit")
+
+
 def _mapping(t):
     """Old id to surviving id."""
     e = t.entities.select("id", fold_title("title").alias("title")).where("title IS NOT NULL").distinct()

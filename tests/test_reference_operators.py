@@ -129,6 +129,20 @@ def test_graph_checks_and_merge(spark):
     assert rows(graph.schema_violations({"entities": e.drop("degree")}).where("subject = 'entities'").select("detail")) == [("lacks degree",)]
 
 
+def test_collapsed_edges_keep_texts_and_units_and_lists_are_remapped(spark):
+    r = spark.createDataFrame(
+        [("r1", 5, "gold 1", "zed", "x", ["u1", "u2"]), ("r2", 4, "Gold_1", "ZED", " y ", ["u2", "u9"]), ("r2", 4, "Gold_1", "ZED", "y", None), ("r3", None, "gold 1", "zed", None, [None, "u0"]), ("r4", 1, None, "zed", "lost", ["u5"])],
+        "id string, human_readable_id long, source string, target string, description string, text_unit_ids array<string>",
+    )
+    edges = graph.folded_edges(r)
+    texts, units = graph.merged_texts(edges, ["source", "target"]), graph.merged_units(edges, ["source", "target"])
+    assert [tuple(x) for x in texts.orderBy("first").select("source", "target", "description").collect()] == [("GOLD 1", "ZED", "y"), ("GOLD 1", "ZED", "x")]
+    assert [x.unit for x in units.orderBy("first").collect()] == ["u2", "u9", "u1", "u0"]
+    lists = spark.createDataFrame([("t1", ["b", "a", "c", "b"]), ("t2", []), ("t3", ["c", "a"])], "id string, entity_ids array<string>")
+    mapping = spark.createDataFrame([("a", "b"), ("b", "b")], "id string, survivor string")
+    assert [tuple(x) for x in graph.remap_list(lists, "id", "entity_ids", mapping).orderBy("key", "at").select("key", "ref").collect()] == [("t1", "b"), ("t1", "c"), ("t3", "c"), ("t3", "b")]
+
+
 def test_merging_gathers_no_copies_of_a_title(spark):
     from tallyloom.plans import graph_queries
 
