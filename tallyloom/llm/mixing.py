@@ -90,7 +90,7 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, bl
         raise ValueError(f"more than {MOST_SOURCES} target sources")
     known = docs.select(source_name("source").alias("source"), "doc_id", F.col("n_tokens").cast("long").alias("n_tokens")).where("n_tokens > 0").join(F.broadcast(wanted.select("source")), "source")
     buckets = max(1, -(-known.count() // BUCKET_DOCS))
-    hashed = written(known.withColumn("h", F.xxhash64("doc_id")).withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int")), "mixed")
+    hashed = written(known.withColumn("h", F.xxhash64("doc_id", F.monotonically_increasing_id())).withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int")), "mixed")
     sums = hashed.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("t"))
     before = sums.select("source", "bucket", (F.sum("t").over(Window.partitionBy("source").orderBy("bucket")) - F.col("t")).alias("base"))
     supply = {r["source"]: int(r["t"]) for r in sums.groupBy("source").agg(F.sum("t").alias("t")).collect()}  # a row for each target source

@@ -83,7 +83,7 @@ def pack(items: DataFrame, specs: DataFrame, shard_items: int = SHARD_ITEMS) ->
         where, fill = sum_of_squares(part["rest"].to_numpy(), int(part["cap"].iloc[0]))
         return pd.DataFrame({"spec_id": part["spec_id"], "cap": part["cap"], "doc_id": part["doc_id"], "full": part["full"], "rest": part["rest"], "shard": part["shard"], "box": where, "fill": fill[where]})
 
-    rests = cut.where("rest > 0").withColumn("h", F.xxhash64("doc_id")).withColumn("shard", F.pmod("h", F.lit(shards)).cast("long"))
+    rests = cut.where("rest > 0").withColumn("h", F.xxhash64("doc_id", F.monotonically_increasing_id())).withColumn("shard", F.pmod("h", F.lit(shards)).cast("long"))
     packed = written(
         rests.groupBy("spec_id", "shard").applyInPandas(first_round, f"spec_id {spec}, cap long, doc_id {kind}, full long, rest long, shard long, box long, fill long"), "packed"
     )

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyloom.llm.mixing import budgets, earliest_deadline_first, mix, shares_reached
 from tallyloom.llm.packing import pack, packing_report, sum_of_squares
@@ -201,3 +202,11 @@ def test_sizes_of_null_empty_and_long_texts(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "Depot 4"), (4, "Depot 4 " * 20_000)], "doc_id long, text string")
     got = {r.doc_id: r.n_tokens for r in sized(df).collect()}
     assert got[1] == got[2] == 0 and 2 <= got[3] <= 6 and got[4] >= 40_000
+
+
+def test_rows_of_one_doc_id_are_dealt_to_many_shards(spark):
+    items = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(50).alias("n_tokens"))
+    packed = pack(items, spark.createDataFrame([(1, 100)], "spec_id int, capacity_tokens int"), shard_items=100)
+    rows = packed.collect()
+    shards = {r.container_id.split("-")[2] for r in rows if r.container_id.startswith("a-")}
+    assert len(rows) == 3000 and len({r.container_id for r in rows}) == 1500 and len(shards) > 20
