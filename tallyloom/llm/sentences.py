@@ -1,9 +1,12 @@
 """Sentence boundaries in spaced and spaceless scripts.
 
 A text is cut into blocks at empty lines and before list marks. In a block, passages in quotes and brackets are paired first; a terminator inside a pair ends nothing by
-itself. Spaced scripts: every cluster of terminators with its closing marks is a node of a small lattice of readings (end of sentence, abbreviation, ordinal, decimal,
-ellipsis), and the token before and the opening word after it choose the reading. Spaceless scripts: the runs on both sides of a gap without terminator are segmented by a lattice
-over a dictionary of function words, and the final particle before and the opening word after it decide.
+itself. What may end a sentence then are the columns of a lattice: each cluster of terminators with its closing marks, and each gap between letters of a spaceless script. A column has
+two readings, that a sentence ends there and the cheapest of those by which it goes on (abbreviation, ordinal, initials, decimal, ellipsis, mere word), each with a cost that adds up evidence
+from both sides. The block's sentences are the cheapest path through the columns; a sentence without a word costs extra, so that readings depend on one another.
+
+Spaced scripts take their evidence from the token before and the opening word after a terminator. Spaceless ones segment the runs on both sides by a lattice over a dictionary of function
+words; the final particle before the gap and the opening word after it, or what can't stand there, are weighed against how strong the gap itself is.
 """
 
 from __future__ import annotations
@@ -16,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.llm.lexicon import CHINESE, JAPANESE, THAI, Lexicon
+
 # Fixed values -------------------------------------------------------------------------------------------------------------------------------
 #: Abbreviations that are followed by what they belong to, so that they end no sentence.
 BOUND = frozenset(
@@ -34,11 +39,6 @@ GOING_ON = frozenset("Annexe Annex Branch Building Block Depot Division Works Un
 BEFORE_ORDINAL = frozenset("am zum vom beim im dem den der des das die bis seit ab jeder jeden jedes el".split())
 #: Words a sentence with a capital abbreviation before it may open with.
 OPENERS = frozenset("The A An This That These Those It He She We They In On At For From By With According Since After Before During Along Across Between Most Two".split())
-#: Thai, Chinese and Japanese function words: final particles, and words that open a sentence.
-THAI_FINAL = "แล้ว ครับ ค่ะ คะ นะ เท่านั้น หรือไม่ หน้า ด้วย ไหม เลย ก่อน เหตุผล".split()
-THAI_OPENING = "ใน หลัง ก่อน ตาม เมื่อ แต่ และ ถ้า เพราะ สินค้า ไฟล์ ร้าน ราคา ยอดขาย คลัง พนักงาน ทีมงาน ตัวแทน ส่วนต่าง".split()
-CJK_FINAL = "です ます でした ました だった だろうか ない た だ か ね よ 了 吗 呢 吧 的".split()
-CJK_OPENING = "しかし また そして ただし 雨 第 店主 倉庫 倉庫の表 担当班 ファイル 但 但是 而且 因此 按 雨后 团队 文件 单价 几家店主 新来的 店主说".split()
 # --------------------------------------------------------------------------------------------------------------------------------------------
 
 _EMPTY_LINE = re.compile(r"\n[^\S\n]*\n")
@@ -51,38 +51,79 @@ _PAIRS = {"(": ")", "[": "]", "（": "）", "「": "」", "『": "』", "«": "
 _CLOSERS = frozenset(")]）」』»”“\"’'》")
 _OPENING = frozenset("([（「『«“„\"¿¡《")
 _MARKS = re.compile("[" + re.escape("".join(_PAIRS) + "".join(_PAIRS.values()) + '"') + "]")
-_THAI = re.compile(r"[ก-ฺเ-๎]")
+_SPACELESS = re.compile(r"[ก-ฺเ-๎]+|[぀-ヿ㐀-鿿]+")
+_KANA = re.compile(r"[぀-ヿ]")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
-_THAI_GAP = re.compile(r"(?<=[ก-ฺเ-๎])\s+(?=[ก-ฺเ-๎])")
-_CJK_GAP = re.compile(r"(?<=[぀-ヿ㐀-鿿])\s+(?=[぀-ヿ㐀-鿿])")
+_GAP = re.compile(r"(?<=[ก-ฺเ-๎])\s+(?=[ก-ฺเ-๎])|(?<=[぀-ヿ㐀-鿿])\s+(?=[぀-ヿ㐀-鿿])")
 _WORD = re.compile(r"[^\W_]+(?:[-'’_][^\W_]+)*")
-
-
-def word_lattice(run: str, words: frozenset[str]) -> list[str]:
-    """The cheapest path through the lattice of ``run``: dictionary words cost 1, any other character 2, so longer and more words win."""
-    longest = max(map(len, words))
-    best: list[tuple[int, int]] = [(0, 0)]
-    for end in range(1, len(run) + 1):
-        cost, start = best[end - 1][0] + 2, end - 1
-        for n in range(1, min(longest, end) + 1):
-            if run[end - n : end] in words and best[end - n][0] + 1 <= cost:
-                cost, start = best[end - n][0] + 1, end - n
-        best.append((cost, start))
-    out, end = [], len(run)
-    while end:
-        out.append(run[best[end][1] : end])
-        end = best[end][1]
-    return out[::-1]
-
-
-_THAI_WORDS, _CJK_WORDS = frozenset(THAI_FINAL + THAI_OPENING), frozenset(CJK_FINAL + CJK_OPENING)
-_CJK_FINAL, _CJK_OPENING = frozenset(CJK_FINAL), frozenset(CJK_OPENING)
-
-
-def _spaceless_gap(text: str, at: int, to: int) -> bool:
-    """Whether the gap text[at:to] between Chinese or Japanese characters ends a sentence: a final particle before it and an opening word after it."""
-    left, right = word_lattice(text[max(0, at - 16) : at], _CJK_WORDS), word_lattice(text[to : to + 16], _CJK_WORDS)
-    return bool(left and right) and left[-1] in _CJK_FINAL and right[0] in _CJK_OPENING
+_SOME_WORD = re.compile(r"[^\W\d_]{2}|[぀-ヿ㐀-鿿]")
+_NUMBER_THEN_WORD = re.compile(r"[\d.,]+\s+[^\W\d_]")
+_INITIALS = re.compile(r"(?:[^\W\d_]\.)+[^\W\d_]")
+
+#: How much speaks for an end at a gap of a spaceless script, before words are looked at: a blank between Thai letters always ends a sentence, a full stop nearly always, a blank or
+#: line break between Chinese or Japanese characters only with evidence.
+THAI_BLANK, FULL_STOP, OTHER_STOP, CJK_BLANK = 9.0, 6.0, 1.8, -1.5
+#: What a sentence without a word costs, and the end of a sentence by what follows: U capital, N letter without case, D digit, O only opening marks, l small letter, - other.
+WORDLESS, FOLLOWED_BY = 1.5, {"U": 0.0, "N": 0.0, "D": 0.0, "O": 3.0, "l": 4.0, "-": 3.0, "": 0.0}
+
+
+class _Runs:
+    """First and last words of the runs of spaceless letters in a text, each run segmented once."""
+
+    def __init__(self, text: str, lo: int, hi: int) -> None:
+        self.text, self.kana = text, bool(_KANA.search(text, lo, hi))
+        self.runs = [(m.start(), m.end()) for m in _SPACELESS.finditer(text, lo, hi)]
+        self.starts, self.ends = [a for a, _ in self.runs], [b for _, b in self.runs]
+        self.known: dict[int, list[str]] = {}
+
+    def _words(self, n: int) -> tuple[list[str], Lexicon]:
+        a, b = self.runs[n]
+        lexicon = THAI if "ก" <= self.text[a] <= "๎" else JAPANESE if self.kana else CHINESE
+        if n not in self.known:
+            self.known[n] = lexicon.segment(self.text[a:b])
+        return self.known[n], lexicon
+
+    def closing(self, at: int) -> float:
+        """What the last word of the run that ends at ``at`` says for an end there."""
+        n = bisect_left(self.ends, at)
+        if n == len(self.ends) or self.ends[n] != at:
+            return 0.0
+        words, lexicon = self._words(n)
+        return lexicon.after.get(words[-1], 0.0)
+
+    def opening(self, at: int) -> float:
+        """What the first word of the run that begins at ``at`` says for an end before it."""
+        n = bisect_left(self.starts, at)
+        if n == len(self.starts) or self.starts[n] != at:
+            return 0.0
+        words, lexicon = self._words(n)
+        return lexicon.before.get(words[0], 0.0)
+
+
+def cheapest_path(columns: list[tuple[int, float, float]], text: str, lo: int, hi: int) -> list[int]:
+    """Where sentences end in text[lo:hi], hi included. A column is a position, the cost of an end there and the cost of going on.
+
+    The lattice's states are whether the sentence so far has a word; each keeps its cheapest path, so the search is linear in the columns. Of equal costs, going on wins.
+    """
+    far = float("inf")
+    costs, paths, at = [0.0, far], [None, None], lo  # [no word yet, some word]
+    for position, end, on in columns:
+        if _SOME_WORD.search(text, at, position):
+            best = 0 if costs[0] < costs[1] else 1
+            costs, paths = [far, costs[best]], [None, paths[best]]
+        stop = (costs[0] + WORDLESS, 0) if costs[0] + WORDLESS < costs[1] else (costs[1], 1)
+        ended, going = stop[0] + end, costs[0] + on
+        first = (ended, (position, paths[stop[1]])) if ended < going else (going, paths[0])
+        costs, paths, at = [first[0], costs[1] + on], [first[1], paths[1]], position
+    if _SOME_WORD.search(text, at, hi):
+        last = 0 if costs[0] < costs[1] else 1
+    else:
+        last = 0 if costs[0] + WORDLESS < costs[1] else 1
+    ends, link = [hi], paths[last]
+    while link:
+        ends.append(link[0])
+        link = link[1]
+    return ends[::-1]
 
 
 def _pairs(text: str, lo: int, hi: int) -> list[tuple[int, int]]:
@@ -150,46 +191,56 @@ def _token_before(text: str, lo: int, at: int) -> str:
     return text[i:at].lstrip("([（「『«“„\"¿¡'’")
 
 
-def _point_ends(text: str, lo: int, at: int, after: int, hi: int) -> bool:
-    """Whether the single point at text[at], with what closes it up to ``after``, ends a sentence that goes on before ``hi``."""
+def _point(text: str, lo: int, at: int, after: int, hi: int) -> tuple[float, float]:
+    """Costs of the readings of the single point at text[at], closed up to ``after``: that a sentence ends there, and that it goes on."""
     nxt = _skip(text, after, hi)
-    gap = nxt > after
     kind = _kind_at(text, nxt, hi)
     before = text[at - 1] if at > lo else " "
     token = _token_before(text, lo, at)
     small = token.lower()
-    closed = after > at + 1
-    if not gap:
-        if kind == "D" and (before.isdigit() or not before.isalpha()):
-            return False
+    end = FOLLOWED_BY[kind]
+    if nxt == after:  # no white space: a decimal, a file name or a domain, unless both sides look like sentences
+        end += 3.0 + 3.0 * (small in BOUND)
         if kind == "U":
             follows = text[nxt + 1 : nxt + 2]
-            proper = follows.islower() or follows.isspace() or text[nxt].islower() or text[nxt] in _OPENING or token.isalpha() and len(token) > 2 or before in "%)]”»\""
-            return proper and (before.islower() or before.isdigit() or before in "%)]”»\"" or "a" > before > "Z") and small not in BOUND and (small in OPEN or "." not in token[-4:])
-        if kind == "D":
-            digits = re.compile(r"[\d.,]+\s+[^\W\d_]").match(text, nxt)
-            return bool(digits) and before.islower() and len(token) >= 3 and small not in BOUND
-        return kind == "N" and (_opens(text, at - 1, at) == "N" or before.isdigit()) and not _CJK.match(text[nxt]) and small not in BOUND
-    if closed:
-        return kind in ("U", "D", "N")
-    word = _WORD.match(text, nxt)
-    word = word.group() if word else ""
+            closes = before in "%)]”»\""
+            opened = follows.islower() or follows.isspace() or text[nxt].islower() or text[nxt] in _OPENING or token.isalpha() and len(token) > 2 or closes
+            end -= 1.5 * opened + 1.5 * (before.islower() or before.isdigit() or closes) - 3.0 * (small not in OPEN and "." in token[-4:])
+        elif kind == "D":
+            end -= 1.5 * bool(_NUMBER_THEN_WORD.match(text, nxt)) + 1.5 * (before.islower() and len(token) >= 3)
+        elif kind == "N":
+            end -= 1.5 * (_opens(text, at - 1, at) == "N" or before.isdigit()) + 1.5 * (not _CJK.match(text[nxt]))
+        return end, 1.0
+    if after > at + 1:  # closing marks: no abbreviation
+        return end, 2.5
+    word = m.group() if (m := _WORD.match(text, nxt)) else ""
+    opener = word in OPENERS
     if small in OPEN:
-        return kind in ("U", "D", "N") and word not in GOING_ON
+        return end + 4.0 * (word in GOING_ON), 2.5
     if token.isdigit():
-        if kind != "U":
-            return kind == "D" or kind == "N" and not "ऀ" <= text[nxt] <= "ॿ"
         prior = _token_before(text, lo, max(lo, _back(text, lo, at - len(token)))).lower()
-        return prior not in BEFORE_ORDINAL
-    if small == "no" and kind == "U" and word in OPENERS:
-        return True
+        ordinal = kind == "U" and prior in BEFORE_ORDINAL or kind == "N" and "ऀ" <= text[nxt] <= "ॿ"
+        return end + 4.0 * (kind == "O"), -1.0 if ordinal else 1.3
     if small in BOUND:
-        return False
-    if len(token) == 1 and token.isupper() and token.isascii():
-        return word in OPENERS
-    if re.fullmatch(r"(?:[^\W\d_]\.)+[^\W\d_]", token):
-        return word in OPENERS
-    return kind in ("U", "D", "N")
+        return end + (1.0 if small == "no" else 3.0) - 2.0 * opener, 0.0
+    if len(token) == 1 and token.isupper() and token.isascii() or _INITIALS.fullmatch(token):
+        return end + 2.0 - 2.0 * opener, 1.0
+    return end, 2.5
+
+
+def _cluster(text: str, lo: int, at: int, marks: str, after: int, hi: int, runs: _Runs) -> tuple[float, float]:
+    """Costs of the readings of a cluster of terminators at text[at], closed up to ``after``."""
+    nxt = _skip(text, after, hi)
+    kind = _kind_at(text, nxt, hi)
+    if any(c in "।॥۔|" for c in marks):
+        return 0.0, FULL_STOP
+    if any(c in "。！？｡" for c in marks):
+        return 0.0, (FULL_STOP if any(c in "。｡" for c in marks) else OTHER_STOP) + runs.opening(nxt)
+    if any(c in _STRONG for c in marks):
+        return (4.0 if kind == "l" or nxt == after and kind in "D-" else 0.0), 2.5
+    if len(marks) > 1 or marks == "…":
+        return (0.0 if kind == "U" or kind == "D" and nxt > after else 4.0), 2.5
+    return _point(text, lo, at, after, hi)
 
 
 def _back(text: str, lo: int, at: int) -> int:
@@ -200,18 +251,18 @@ def _back(text: str, lo: int, at: int) -> int:
 
 def _block_ends(text: str, lo: int, hi: int) -> list[int]:
     """Positions in text[lo:hi] after which a sentence has ended, in order; hi is the last."""
-    ends: list[int] = []
     pairs = _pairs(text, lo, hi)
-    opens = {a for a, _ in pairs}
-    k, gaps = 0, []
-    part = text[lo:hi]
-    if _THAI.search(part):
-        gaps += [m.start() for m in _THAI_GAP.finditer(text, lo, hi)]
-    if _CJK.search(part):
-        gaps += [m.start() for m in _CJK_GAP.finditer(text, lo, hi) if _spaceless_gap(text, m.start(), m.end())]
-    starts = [a for a, _ in pairs]
-    gaps = sorted(g for g in gaps if not (n := bisect_left(starts, g)) or pairs[n - 1][1] <= g)
-    i = lo
+    opens, starts = {a for a, _ in pairs}, [a for a, _ in pairs]
+    runs = _Runs(text, lo, hi)
+    columns: list[tuple[int, float, float]] = []
+    for m in _GAP.finditer(text, lo, hi) if runs.runs else ():
+        n = bisect_left(starts, m.start())
+        if n and pairs[n - 1][1] > m.start():
+            continue  # inside a passage
+        score = (THAI_BLANK if "ก" <= text[m.end()] <= "๎" else CJK_BLANK) + runs.closing(m.start()) + runs.opening(m.end())
+        columns.append((m.start(), max(0.0, -score), max(0.0, score)))
+    gaps = [c[0] for c in columns]
+    k, i, begun = 0, lo, _skip(text, lo, hi)  # begun: where the sentence would begin if the column before ended one
     while m := _END.search(text, i, hi):
         at, i = m.start(), m.end()
         while k < len(pairs) and pairs[k][1] < at:
@@ -220,42 +271,29 @@ def _block_ends(text: str, lo: int, hi: int) -> list[int]:
         if k < len(pairs) and pairs[k][0] < at:
             opened, close = pairs[k]
             i = close + 1  # on past the whole passage
-            last = close
-            while last > opened and text[last - 1].isspace():
-                last -= 1
-            if last > opened and text[last - 1] in ".…" + _STRONG + "|":
+            last = _back(text, opened, close)
+            if last > opened and text[last - 1] in ".…" + _STRONG + "|" and not _END.match(text, close + 1):
                 n = bisect_right(gaps, opened)
-                start = _skip(text, max(ends[-1] if ends else lo, gaps[n - 1] if n else lo), hi)
+                whole = opened == max(begun, _skip(text, gaps[n - 1], hi) if n else lo)
                 nxt = _skip(text, close + 1, hi)
                 kind = _kind_at(text, nxt, hi)
-                if _END.match(text, close + 1):  # the passage's own end, then the sentence's
-                    i = close + 1
-                elif kind in ("U", "D") and (nxt > close + 1 or kind == "U") or kind == "N" and start == opened and nxt > close + 1:
-                    ends.append(close + 1)
+                ends = kind in ("U", "D") and (nxt > close + 1 or kind == "U") or kind == "N" and whole and nxt > close + 1
+                columns.append((close + 1, 0.0 if ends else 4.0, 2.5))
+                begun = nxt if ends else begun
             continue
         if "|" in marks and not ("ऀ" <= text[max(lo, _back(text, lo, at) - 1)] <= "ॿ"):
             continue
         after = i
         while after < hi and text[after] in _CLOSERS and after not in opens:
             after += 1
-        if _skip(text, after, hi) >= hi:
-            continue
         nxt = _skip(text, after, hi)
-        kind = _kind_at(text, nxt, hi)
-        if any(c in "।॥۔。！？｡|" for c in marks):
-            done = True
-        elif any(c in _STRONG for c in marks):
-            done = kind in ("U", "N", "D", "O") or kind == "-" and nxt > after
-            if kind == "D" and nxt == after:
-                done = False
-        elif len(marks) > 1 or marks == "…":
-            done = kind == "U" or kind == "D" and nxt > after
-        else:
-            done = _point_ends(text, lo, at, after, hi)
-        if done:
-            ends.append(after)
-            i = after
-    return sorted({*ends, *gaps, hi})
+        if nxt >= hi:
+            continue
+        end, on = _cluster(text, lo, at, marks, after, hi, runs)
+        columns.append((after, end, on))
+        if end < on:
+            i, begun = after, nxt
+    return cheapest_path(sorted(columns), text, lo, hi)
 
 
 def _list_starts(text: str, lo: int, hi: int) -> list[int]:

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.mixing import budgets, earliest_deadline_first, mix, shares_reached
 from tallyloom.llm.packing import pack, packing_report, sum_of_squares
-from tallyloom.llm.sentences import sentence_spans, split_sentences, word_lattice
+from tallyloom.llm.lexicon import CHINESE, JAPANESE, THAI, Lexicon
+from tallyloom.llm.sentences import _SOME_WORD, WORDLESS, cheapest_path, sentence_spans, split_sentences
 from tallyloom.llm.tokens import sized
 
 
@@ -46,10 +47,47 @@ def test_blocks_lists_and_blank_texts():
 
 
 def test_gaps_of_spaceless_scripts_need_particle_and_opening():
-    assert word_lattice("売れました", frozenset(["ました", "た"])) == ["売", "れ", "ました"]
+    assert Lexicon(["ました"], ["た"], [], [], []).segment("売れました") == ["売", "れ", "ました"]
+    assert JAPANESE.segment("雨が降った") == ["雨", "が", "降", "っ", "た"] and CHINESE.segment("我们走了吗") == ["我们", "走", "了吗"] and THAI.segment("ในเดือนนี้") == ["ใน", "เดือนนี้"]
     assert cut("注文が戻りました\n雨のあと、来た") == ["注文が戻りました", "雨のあと、来た"] and cut("注文が\n戻りました") == ["注文が\n戻りました"]
 
 
+@pytest.mark.parametrize("gap", [" ", "\n", "\u3000"])
+@pytest.mark.parametrize(
+    "sentences",
+    [["雨が降った", "彼は帰った"], ["他来了", "我走了"], ["誰も来なかった", "しかし荷物は届いた"], ["雪です", "山が白い"], ["店开了吗", "还没有"], ["値段は高いですね", "棚は空だ"], ["大家都吃过了", "后来下雨了"], ["ขอบคุณครับ", "วันนี้ฝนตก"]],
+)
+def test_sentences_of_spaceless_scripts_without_full_stops(sentences, gap):
+    assert cut(gap.join(sentences)) == sentences
+
+
+@pytest.mark.parametrize("whole", ["東京 大阪", "北京 上海 广州", "彼は\n来た", "私の 本", "他把 书", "来た\nので帰った", "え？と彼は言った。", "走吧！的声音"])
+def test_gaps_within_sentences_of_spaceless_scripts(whole):
+    assert cut(whole) == [whole]
+
+
+def test_cheapest_path_against_brute_force():
+    rng = random.Random(3)
+    for _ in range(300):
+        text = "".join(rng.choice(["ab", "7", ".", " ", "x", "9"]) for _ in range(14))
+        at = sorted(rng.sample(range(1, len(text)), min(6, len(text) - 1)))
+        columns = [(a, rng.choice([0.0, 0.5, 1.0, 2.0]), rng.choice([0.0, 0.7, 1.1, 2.5])) for a in at]
+        best = None
+        for chosen in range(1 << len(columns)):
+            ends = [c[0] for i, c in enumerate(columns) if chosen >> i & 1] + [len(text)]
+            cost = sum(c[1] if chosen >> i & 1 else c[2] for i, c in enumerate(columns))
+            cost += sum(WORDLESS for a, b in zip([0, *ends], ends) if not any(_SOME_WORD.search(text, x, y) for x, y in zip(sorted({a, *[p for p in at if a < p < b]}), sorted({*[p for p in at if a < p < b], b}))))
+            best = min(best, (round(cost, 6), ends)) if best else (round(cost, 6), ends)
+        got = cheapest_path(columns, text, 0, len(text))
+        cost = sum(c[1] if c[0] in got else c[2] for c in columns)
+        cost += sum(WORDLESS for a, b in zip([0, *got], got) if not any(_SOME_WORD.search(text, x, y) for x, y in zip(sorted({a, *[p for p in at if a < p < b]}), sorted({*[p for p in at if a < p < b], b}))))
+        assert round(cost, 6) == best[0]
+
+
+def test_readings_depend_on_one_another():
+    assert cut("It took 5. Then two left.") == ["It took 5.", "Then two left."] and len(cut("It took 5. 6. Then two left.")) == 2  # "6." alone would be no sentence
+
+
 def test_every_character_is_in_one_sentence():
     rng = random.Random(1)
     parts = ["The crew left. ", "etc. ", "\n\n", "• x\n", '"', "(", ")", "“", "”", "3.", " ", "สวัสดี ", "。", "。」", "「", "؟", "a.m.", "...", "Ltd. ", "\n", "!", " 1) "]
