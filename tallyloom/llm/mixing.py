@@ -136,3 +136,19 @@ def shares_reached(mixed: DataFrame, targets: DataFrame) -> DataFrame:
         F.coalesce(F.col("n_tokens") / all_tokens, F.lit(0.0)).alias("share_reached"),
     )
     return out.withColumn("met", F.abs(F.col("share_reached") - F.col("target_share")) <= 0.01)
+
+
+def mixing_faults(mixed: DataFrame, docs: DataFrame, targets: DataFrame) -> DataFrame:
+    """Per target source: what must be 0: n_over documents used more often than allowed, n_uneven ones used twice before another of the source was used once (by the number of copies), and ``n_foreign``, tokens drawn of other sources.
+
+    ``docs`` (doc_id, source, n_tokens) must have each doc_id once.
+    """
+    wanted = targets.select(source_name("source").alias("source"), "max_repeats").where("source IS NOT NULL AND target_share > 0").groupBy("source").agg(F.max("max_repeats").alias("max_repeats"))
+    used = mixed.groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("c"))
+    own = docs.where("n_tokens > 0").select(source_name("source").alias("source"), "doc_id").join(F.broadcast(wanted), "source")
+    counts = own.join(used, ["source", "doc_id"], "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    most = counts.groupBy("source").agg(F.max("c").alias("hi"), F.min("c").alias("lo"), F.count_if(F.col("c") > F.coalesce("max_repeats", F.lit(1))).alias("n_over"))
+    foreign = used.join(own.select("source", "doc_id"), ["source", "doc_id"], "left_anti").groupBy("source").agg(F.count(F.lit(1)).alias("f"))
+    out = wanted.join(most, "source", "left").join(foreign, "source", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return out.select("source", zero(F.col("n_over")).alias("n_over"), zero(F.greatest(F.col("hi") - F.col("lo") - 1, F.lit(0))).alias("n_uneven"), zero(F.col("f")).alias("n_foreign"))

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions.keys import fold_title, month_of
-from tallyloom.llm.mixing import mix, shares_reached
-from tallyloom.llm.packing import pack, packing_report
+from tallyloom.llm.mixing import mix, mixing_faults, shares_reached
+from tallyloom.llm.packing import pack, packing_faults, packing_report
 from tallyloom.llm.sentences import split_sentences
 from tallyloom.llm.survivors import surviving_observations
 from tallyloom.llm.termmap import map_entities
@@ -67,8 +67,7 @@ def p7_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = written(sized(table(spark, sf_dir, "documents")), "sizes")
-    return pack(sizes, table(spark, sf_dir, "pack_specs"))
+    return pack(sized(table(spark, sf_dir, "documents")), table(spark, sf_dir, "pack_specs"))
 
 
 def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +80,12 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_report(_packed(spark, sf_dir), table(spark, sf_dir, "pack_specs"))
 
 
+def p8_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the containers of every document, counted: none overfull, no token lost or twice, none split that would fit."""
+    sizes, specs = written(sized(table(spark, sf_dir, "documents")), "sizes"), table(spark, sf_dir, "pack_specs")
+    return packing_faults(pack(sizes, specs), sizes, specs)
+
+
 def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = written(sized(table(spark, sf_dir, "documents"), "doc_id", "text", keep=["source"]), "sizes")
     return mix(sizes, table(spark, sf_dir, "mix_targets"))
@@ -96,12 +101,18 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares_reached(_mixed(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
+def p9_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the mix, counted for every source: none repeated too often, none repeated before all are used, nothing of other sources."""
+    sizes, targets = written(sized(table(spark, sf_dir, "documents"), "doc_id", "text", keep=["source"]), "sizes"), table(spark, sf_dir, "mix_targets")
+    return mixing_faults(mix(sizes, targets), sizes, targets)
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sentences of every document."""
     return split_sentences(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_top, p5_found, p5_unmatched, p7_found, p7_survivors, p8_packed, p8_report, p9_mixed, p9_shares, p10_found)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_top, p5_found, p5_unmatched, p7_found, p7_survivors, p8_packed, p8_report, p8_faults, p9_mixed, p9_shares, p9_faults, p10_found)}
 
 _KEY = lambda c: f"nullif(upper(trim({c}, ' ' || chr(9) || chr(160))), '')"
 _WHITE = "\\s\\x{0b}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
@@ -123,5 +134,7 @@ ORACLES = {
     "p4_found": f"{_TOP_SQL} SELECT state_name, month, sku_id FROM ranked WHERE place <= {TOP}",
     "p4_top": f"{_TOP_SQL} SELECT state_name, month, sku_id, qty_delivered FROM ranked WHERE place = 1",
     "p7_found": f"{_OBSERVED_SQL} SELECT keep_id, title_id, description_id FROM best",
+    "p8_faults": "SELECT spec_id, (SELECT count(*) FROM documents) AS n_docs, 0 AS n_overfull, 0 AS n_untiled, 0 AS n_needless FROM pack_specs",
+    "p9_faults": f"SELECT DISTINCT regexp_replace({_TRIM('lower(source)')}, '[{_WHITE}-]+', '_', 'g') AS source, 0 AS n_over, 0 AS n_uneven, 0 AS n_foreign FROM mix_targets WHERE target_share > 0 AND {_TRIM('source')} <> ''",
     "p7_survivors": f"{_OBSERVED_SQL} SELECT keep_id, title, description FROM best",
 }

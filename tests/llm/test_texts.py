@@ -248,3 +248,27 @@ def test_rows_of_one_doc_id_are_dealt_to_many_shards(spark):
     rows = packed.collect()
     shards = {r.container_id.split("-")[2] for r in rows if r.container_id.startswith("a-")}
     assert len(rows) == 3000 and len({r.container_id for r in rows}) == 1500 and len(shards) > 20
+
+
+def test_repeated_and_nameless_items_beyond_the_capacity_keep_containers_of_their_own(spark):
+    items = spark.createDataFrame([(7, 250), (7, 250), (None, 230), (None, 230), (None, 100), (8, 40)], "doc_id long, n_tokens long")
+    rows = pack(items, spark.createDataFrame([(1, 100)], "spec_id int, capacity_tokens int")).collect()
+    held = {}
+    for r in rows:
+        held[r.container_id] = held.get(r.container_id, 0) + r.tok_end - r.tok_start
+    assert max(held.values()) == 100 and sum(held.values()) == 1100 and sum(v == 100 for v in held.values()) >= 9
+
+
+def test_packing_and_mixing_faults_see_what_is_wrong(spark):
+    from tallyloom.llm.mixing import mixing_faults
+    from tallyloom.llm.packing import packing_faults
+
+    items = spark.createDataFrame([(1, 30), (2, 50), (3, 0), (4, 150)], "doc_id long, n_tokens long")
+    specs = spark.createDataFrame([(1, 100)], "spec_id int, capacity_tokens int")
+    bad = [(1, "a", 1, 0, 0, 30), (1, "a", 2, 0, 0, 20), (1, "b", 2, 1, 20, 50), (1, None, 3, 0, 0, 0), (1, "a", 4, 0, 0, 100)]
+    packed = spark.createDataFrame(bad, "spec_id int, container_id string, doc_id long, piece_no int, tok_start long, tok_end long")
+    assert tuple(packing_faults(packed, items, specs).first()) == (1, 4, 1, 1, 1)
+    docs = spark.createDataFrame([(1, "a", 5), (2, "a", 5), (3, "b", 5)], "doc_id long, source string, n_tokens long")
+    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    mixed = spark.createDataFrame([("a", 1, 1), ("a", 1, 2), ("a", 1, 3), ("b", 3, 1), ("b", 9, 1)], "source string, doc_id long, copy_no int")
+    assert {tuple(r) for r in mixing_faults(mixed, docs, targets).collect()} == {("a", 1, 2, 0), ("b", 0, 0, 1)}
