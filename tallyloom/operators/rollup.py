@@ -7,6 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.operators.positions import number_rows, running_totals
+from tallyloom.session import small, written
+
 LAKH, CRORE = 1e5, 1e7
 
 
@@ -28,16 +31,19 @@ def pivot_sum(facts: DataFrame, keys: Sequence[str], column: str, values: Sequen
     return wide.select(*keys, *[(cell(v) if missing is None else F.coalesce(cell(v), F.lit(missing))).alias(v.lower().replace(" ", "_")) for v in values])
 
 
-def share_of(value: Column, digits: int = 4) -> Column:
-    """Percent of the total over all rows of an aggregated, small frame."""
-    return F.round(100 * value / F.sum(value).over(Window.partitionBy(F.lit(0))), digits)
+def with_shares(df: DataFrame, shares: Mapping[str, str], digits: int = 4) -> DataFrame:
+    """``df`` with a column for each of ``shares``: the percent that the named column has of its total. ``df`` is written once; the driver gets one row of totals."""
+    held = written(df, "totals")
+    total = held.agg(*[F.sum(c).cast("double").alias(n) for n, c in shares.items()]).first()
+    return held.withColumns({n: F.round(F.try_divide(100 * F.col(c), F.lit(total[n])), digits) for n, c in shares.items()})
 
 
 def rank_fraction(df: DataFrame, group: str, score: str, item: str) -> DataFrame:
-    """``rank_no`` by falling score, ties by item, and ``rank_pct``, its fraction of the group."""
-    w = Window.partitionBy(group)
-    ranked = df.withColumn("rank_no", F.row_number().over(w.orderBy(F.col(score).desc_nulls_last(), F.col(item))))
-    return ranked.withColumn("rank_pct", F.round(F.col("rank_no") / F.count(F.lit(1)).over(w), 6))
+    """``rank_no`` by falling score, ties by item, and ``rank_pct``, its fraction of the group. A global sort whose partitions are numbered, so a group may be of any size."""
+    ranked = number_rows(df, [group], [F.col(score).desc_nulls_last(), F.col(item)])
+    sizes = df.groupBy(F.col(group).alias("_group")).agg(F.count(F.lit(1)).alias("_n"))
+    held = ranked.join(small(written(sizes, "sizes")), F.col(group).eqNullSafe(F.col("_group")))
+    return held.withColumn("rank_no", (F.col("row_no") + 1).cast("int")).withColumn("rank_pct", F.round(F.col("rank_no") / F.col("_n"), 6)).drop("row_no", "_group", "_n")
 
 
 def tier_by_rank(fraction: Column) -> Column:
@@ -46,14 +52,12 @@ def tier_by_rank(fraction: Column) -> Column:
 
 
 def pareto(totals: DataFrame, item: str, value: str) -> DataFrame:
-    """Running share of ``value`` in percent by falling value, against the share of items so far; over an aggregated frame of one row per item."""
-    w = Window.partitionBy(F.lit(0))
-    order = w.orderBy(F.col(value).desc(), F.col(item))
-    return totals.select(
-        item,
-        F.round(100 * F.sum(value).over(order.rowsBetween(Window.unboundedPreceding, 0)) / F.sum(value).over(w), 6).alias("running_pct"),
-        F.round(100 * F.row_number().over(order) / F.count(F.lit(1)).over(w), 6).alias("rank_pct"),
-    )
+    """Running share of ``value`` in percent by falling value, against the share of items so far. Items are sorted over the whole cluster and summed chunk by chunk, so there may be any number."""
+    held = written(totals.select(item, value), "totals")
+    all_ = held.agg(F.sum(value).cast("double").alias("t"), F.count(F.lit(1)).alias("n")).first()
+    running = running_totals(held, [], [F.col(value).desc_nulls_last(), F.col(item)], value)
+    share = lambda c, of: F.round(F.try_divide(100 * c, F.lit(of).cast("double")), 6)
+    return running.select(item, share(F.col("running_total"), all_["t"]).alias("running_pct"), share(F.col("row_no") + 1, all_["n"]).alias("rank_pct"))
 
 
 def extremes(df: DataFrame, score: str, item: str, n: int) -> DataFrame:

@@ -2,57 +2,53 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query vectors that are held against the rows at a time.
-QUERY_BLOCK = 2_000
+#: Query vectors of a block, and rows of a part; each block is held against each part in a task of its own.
+QUERY_BLOCK, PART_ROWS = 2_000, 20_000
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK, part_rows: int = PART_ROWS) -> DataFrame:
     """query_id, vec_id, similarity (cosine) and place of the k rows of ``vectors`` nearest to each query, itself left out; ties go to the lower vec_id.
 
-    Both have vec_id and embedding. Exact: the queries go out in blocks of bounded size, every partition of the rows keeps its own best k for each query by a matrix product, and
-    these, k for each query and partition, are ranked. Null vectors, and vectors of no length, are left out.
+    Both have vec_id and embedding. Exact, as every query must meet every row: queries are dealt to blocks and rows to parts of bounded size by a hash, and each pair of a block and a part is one task,
+    which keeps the part's best k for each query of the block by a matrix product. These, k for each query and part, are ranked. Nothing passes through the driver but two counts.
+    Null vectors, and vectors of no length, are left out.
     """
-    n = queries.count()
-    parts = max(1, -(-n // block))
-    spark, out = vectors.sparkSession, None
-    for p in range(parts):
-        mine = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == p).where("embedding IS NOT NULL").select("vec_id", "embedding").collect()  # about ``block`` rows
-        ids = np.array([r[0] for r in mine], np.int64)
-        matrix = np.array([r[1] for r in mine], np.float64).reshape(len(mine), -1)
-        norms = np.linalg.norm(matrix, axis=1)
-        ids, matrix = ids[norms > 0], matrix[norms > 0] / norms[norms > 0, None]
-        held = spark.sparkContext.broadcast((ids, matrix))
-
-        def best(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            q_ids, q = held.value
-            top: pd.DataFrame | None = None
-            for b in batches:
-                b = b[b["embedding"].notna()]
-                if not len(b) or not len(q_ids):
-                    continue
-                m = np.stack(b["embedding"].to_numpy()).astype(np.float64)
-                length = np.linalg.norm(m, axis=1)
-                m, v = m[length > 0] / length[length > 0, None], b["vec_id"].to_numpy()[length > 0]
-                s = np.round(q @ m.T, 6)
-                s[q_ids[:, None] == v[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(v, s.shape), -s), axis=1)[:, :k]
-                new = pd.DataFrame({"query_id": np.repeat(q_ids, order.shape[1]), "vec_id": v[order].reshape(-1), "similarity": np.take_along_axis(s, order, 1).reshape(-1)})
-                new = new[np.isfinite(new["similarity"])]
-                top = new if top is None else pd.concat([top, new]).sort_values(["query_id", "similarity", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
-            if top is not None:
-                yield top
-
-        found = vectors.select("vec_id", "embedding").mapInPandas(best, "query_id long, vec_id long, similarity double")
-        out = found if out is None else out.unionByName(found)
+    rows = vectors.where("embedding IS NOT NULL").select("vec_id", "embedding")
+    asked = queries.where("embedding IS NOT NULL").select("vec_id", "embedding")
+    parts, blocks = max(1, -(-rows.count() // part_rows)), max(1, -(-asked.count() // block))
+    dealt = lambda d, n, own, other, m: d.withColumn(own, F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    left, right = dealt(asked, blocks, "b", "p", parts), dealt(rows, parts, "p", "b", blocks)
+
+    def units(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        ids, m = b["vec_id"].to_numpy(), np.array(b["embedding"].tolist(), np.float64).reshape(len(b), -1)
+        length = np.linalg.norm(m, axis=1)
+        return ids[length > 0], m[length > 0] / length[length > 0, None]
+
+    def best(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        (q_ids, q_rows), (v_ids, v_rows) = units(q), units(v)
+        none = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "similarity": np.zeros(0)})
+        if not len(q_ids) or not len(v_ids):
+            return none
+        found = [none]
+        order = np.argsort(v_ids, kind="stable")
+        v_ids, v_rows = v_ids[order], v_rows[order]
+        for lo in range(0, len(q_ids), 256):  # a strip of the product at a time
+            ids = q_ids[lo : lo + 256]
+            s = np.round(q_rows[lo : lo + 256] @ v_rows.T, 6)
+            s[ids[:, None] == v_ids[None, :]] = -np.inf
+            top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+            found.append(pd.DataFrame({"query_id": np.repeat(ids, top.shape[1]), "vec_id": v_ids[top].reshape(-1), "similarity": np.take_along_axis(s, top, 1).reshape(-1)}))
+        out = pd.concat(found)
+        return out[np.isfinite(out["similarity"])]
+
+    found = left.groupBy("b", "p").cogroup(right.groupBy("b", "p")).applyInPandas(best, "query_id long, vec_id long, similarity double")
     w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "vec_id")
-    return out.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
 def word_chunks(docs: DataFrame, size: int = 1200, overlap: int = 100) -> DataFrame:

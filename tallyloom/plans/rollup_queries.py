@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.keys import month_words
 from tallyloom.operators import kpi
-from tallyloom.operators.rollup import against_previous_month, deviations, extremes, pareto, pivot_sum, rank_fraction, share_of, tier_by_rank, units_revenue, with_super_group
+from tallyloom.operators.rollup import against_previous_month, deviations, extremes, pareto, pivot_sum, rank_fraction, tier_by_rank, units_revenue, with_shares, with_super_group
 from tallyloom.plans.kpi_queries import _category_table, _sales, _unit_table
 from tallyloom.sources.warehouse import WAREHOUSE_SQL, Warehouse
 
@@ -122,13 +122,13 @@ def nb_01_monthly_revenue(w):
 @query("SELECT category_name, round(100 * r / sum(r) OVER (), 4) AS revenue_pct, round(100 * u / sum(u) OVER (), 4) AS units_pct, round(r / u, 6) AS mean_price FROM (SELECT category_name, sum(revenue) AS r, sum(qty_delivered) AS u FROM facts GROUP BY 1)")
 def nb_02_category_share(w):
     t = w.facts.groupBy("category_name").agg(F.sum("revenue").alias("r"), F.sum("qty_delivered").alias("u"))
-    return t.select("category_name", share_of(F.col("r")).alias("revenue_pct"), share_of(F.col("u")).alias("units_pct"), F.round(F.try_divide(F.col("r"), F.col("u")), 6).alias("mean_price"))
+    return with_shares(t, {"revenue_pct": "r", "units_pct": "u"}).select("category_name", "revenue_pct", "units_pct", F.round(F.try_divide(F.col("r"), F.col("u")), 6).alias("mean_price"))
 
 
 def _mix(w, key):
     t = w.facts.groupBy(key).agg(F.sum("revenue").alias("r"), F.sum("qty_delivered").alias("u")).join(w.outlets.groupBy(key).agg(F.count(F.lit(1)).alias("outlets")), key)
     per = lambda c: F.round(F.col(c) / F.col("outlets"), 6)
-    return t.select(key, "outlets", share_of(F.col("outlets")).alias("outlets_pct"), share_of(F.col("r")).alias("revenue_pct"), share_of(F.col("u")).alias("units_pct"), per("r").alias("revenue_per_outlet"), per("u").alias("units_per_outlet"))
+    return with_shares(t, {"outlets_pct": "outlets", "revenue_pct": "r", "units_pct": "u"}).select(key, "outlets", "outlets_pct", "revenue_pct", "units_pct", per("r").alias("revenue_per_outlet"), per("u").alias("units_per_outlet"))
 
 
 def _mix_sql(key):
