@@ -2,96 +2,104 @@
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.session import BROADCAST_BYTES, small, written
+from tallyloom.session import BROADCAST_BYTES, measured, small, written
 
-#: Bits of the filter for each parent key, and most bits in all (8 MB). A filter past the limit lets more references through to the exact join; results are the same.
-BITS_PER_KEY, MOST_BITS, HASHES = 12, 1 << 26, 6
-#: What a parent key may take in memory when the parents are broadcast, and how often doubtful keys are copied when they are too many for that.
-PARENT_BYTES, SALTS = 160, 8
+#: Bits of the filter for each parent key, and of a segment (a power of two); how many positions of a segment a key sets, and how many of them one 64-bit hash gives.
+BITS_PER_KEY, SEGMENT_BITS, HASHES, PER_HASH = 12, 1 << 17, 6, 3
+#: References of one key that one task may meet; a key with more is met in several places.
+KEY_ROWS = 1_000_000
 
 
-def _hashes(*key: Column) -> list[Column]:
-    """Two independent 64-bit hashes of a key, from which all bit positions follow."""
-    return [F.xxhash64(*key), F.xxhash64(F.lit("second"), *key)]
+def _positions(key: Column) -> list[Column]:
+    """The bits a key sets in its segment: disjoint slices of two 64-bit hashes."""
+    width = SEGMENT_BITS.bit_length() - 1
+    hashes = [F.xxhash64(key), F.xxhash64(F.lit("second"), key)]
+    return [F.shiftrightunsigned(hashes[i // PER_HASH], width * (i % PER_HASH)).bitwiseAND(F.lit(SEGMENT_BITS - 1)).cast("int") for i in range(HASHES)]
 
 
-def _positions(h1: np.ndarray, h2: np.ndarray, bits: int) -> np.ndarray:
-    i = np.arange(HASHES, dtype=np.uint64)
-    return ((h1.astype(np.uint64)[:, None] + i * (h2.astype(np.uint64) | np.uint64(1))[:, None]) & np.uint64(bits - 1)).astype(np.int64)
+def _segment(key: Column, segments: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit("segment"), key), segments.cast("long")).cast("int")
 
 
-def bloom_filter(parents: DataFrame, n_keys: int, *key: str) -> np.ndarray:
-    """Bloom filter over the key columns of ``parents``, as a boolean array of a power of two, at most MOST_BITS.
+def bloom_filter(parents: DataFrame) -> DataFrame:
+    """The Bloom filter of (target, key) rows, each once: target, segments (how many the target has), segment, words (SEGMENT_BITS bits in 64-bit words).
 
-    The bits are set by the executors, as 64-bit words merged per word; the driver gets no more than the words.
+    A key belongs to one segment of its target by a hash, and there are as many segments as its target's keys need at BITS_PER_KEY, so the filter proves as much for a thousand million
+    keys as for a thousand. Executors set the bits; words are merged per word, then laid out as one array a segment, with all its words.
     """
-    bits = min(MOST_BITS, 1 << max(10, math.ceil(math.log2(max(1, n_keys) * BITS_PER_KEY))))
-
-    def words(batches):
-        for b in batches:
-            p = _positions(b["h1"].to_numpy(), b["h2"].to_numpy(), bits).reshape(-1)
-            yield pd.DataFrame({"word": p >> 6, "mask": (np.uint64(1) << (p & 63).astype(np.uint64)).astype(np.int64)})
-
-    h1, h2 = _hashes(*[F.col(k) for k in key])
-    found = parents.select(h1.alias("h1"), h2.alias("h2")).mapInPandas(words, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
-    out = np.zeros(bits // 64, np.uint64)
-    out[found["word"].to_numpy(np.int64)] = found["mask"].to_numpy(np.int64).astype(np.uint64)
-    return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool)
+    sizes = parents.groupBy("target").agg(F.ceil(F.count(F.lit(1)) * BITS_PER_KEY / SEGMENT_BITS).cast("int").alias("segments"))
+    at = F.explode(F.array(*_positions(F.col("key")))).alias("at")
+    bits = parents.join(F.broadcast(sizes), "target").select("target", "segments", _segment(F.col("key"), F.col("segments")).alias("segment"), at)
+    words = bits.select("target", "segments", "segment", F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, at & 63)").alias("mask"))
+    none = sizes.select("target", "segments", F.explode(F.sequence(F.lit(0), F.col("segments") - 1)).alias("segment")).withColumn("word", F.explode(F.sequence(F.lit(0), F.lit(SEGMENT_BITS // 64 - 1))))
+    merged = words.unionByName(none.withColumn("mask", F.lit(0).cast("long"))).groupBy("target", "segments", "segment", "word").agg(F.bit_or("mask").alias("mask"))
+    laid = merged.groupBy("target", "segments", "segment").agg(F.array_sort(F.collect_list(F.struct("word", "mask"))).alias("w"))
+    return laid.select("target", "segments", "segment", F.col("w.mask").alias("words"))
+
+
+def probed(asked: DataFrame, bloom: DataFrame) -> DataFrame:
+    """``asked`` (target, key, ...) with ``__maybe``, false where the filter proves that no parent has the key. The filter's segments meet the keys by a join, broadcast if they are few enough."""
+    sizes = F.broadcast(bloom.select(F.col("target").alias("__t"), "segments").distinct())
+    placed = asked.join(sizes, F.col("target") == F.col("__t"), "left").withColumn("__s", _segment(F.col("key"), F.col("segments"))).drop("__t", "segments")
+    held = bloom.select(F.col("target").alias("__t"), F.col("segment").alias("__n"), "words")
+    fits = bloom.count() * SEGMENT_BITS // 8 <= BROADCAST_BYTES
+    met = placed.join(F.broadcast(held) if fits else held, (F.col("target") == F.col("__t")) & (F.col("__s") == F.col("__n")), "left")
+    there = F.col("words").isNotNull()
+    for i, at in enumerate(_positions(F.col("key"))):
+        met = met.withColumn(f"__at{i}", at)
+        there &= F.expr(f"shiftright(get(words, shiftright(__at{i}, 6)), __at{i} & 63) & 1") == 1
+    return met.withColumn("__maybe", there).select(*asked.columns, "__maybe")
 
 
 def find_orphans(references: DataFrame, parents: DataFrame) -> DataFrame:
     """The references (target, key, made_at, ...) that name no record of their target in force, with ``reason``.
 
-    ``parents`` has target, key, known_from, known_until, one row per row of the parent tables. A reference is missing if no row has its target and key, early if the earliest
+    ``parents`` has target, key, known_from, known_until, one row per row of the parent tables; targets are a bounded list. A reference is missing if no row has its target and key, early if the earliest
     known_from is later than made_at, deleted if the earliest known_until isn't later than made_at. References without a key, and parents without one, count for nothing; a null
     made_at can't be early or deleted. All further columns of the references are kept (but a column reason is replaced), one row for each reference row that is a case.
 
-    A Bloom filter of the parents, of bounded size, proves most missing references; the rest are verified by an exact join. If the parents are few enough, they are broadcast to the
-    references. Else the references are first summed up to their distinct keys with the first and last time each was made; those are verified, and only the keys that can be a case
-    come back to the references, broadcast if few, else with the references salted, so that a key that a third of them name is met in SALTS places.
+    A Bloom filter of the parents proves most missing references; only those it can't rule out are verified by an exact join. If the parents are few enough, both are broadcast to the references. Else
+    the references are first summed up to their distinct keys with the first and last time each was made; the keys the filter rules out are cases without any join, the others are verified, and only the keys
+    that can be a case come back to the references, broadcast if few. If not, a key with over KEY_ROWS references is met in as many places as they need.
     """
-    spark = references.sparkSession
     kept = [c for c in references.columns if c != "reason"]
     terms = written(
-        parents.where(F.col("key").isNotNull()).groupBy("target", "key").agg(F.min("known_from").alias("__from"), F.min("known_until").alias("__until")),
+        parents.where(F.col("key").isNotNull() & F.col("target").isNotNull()).groupBy("target", "key").agg(F.min("known_from").alias("__from"), F.min("known_until").alias("__until")),
         "parents",
     )
-    n = terms.count()
-    bits = spark.sparkContext.broadcast(bloom_filter(terms, n, "target", "key"))
-
-    @F.pandas_udf("boolean")
-    def may_exist(h1: pd.Series, h2: pd.Series) -> pd.Series:
-        filt = bits.value
-        return pd.Series(filt[_positions(h1.to_numpy(), h2.to_numpy(), len(filt))].all(axis=1))
-
-    def verified(asked: DataFrame) -> DataFrame:
-        """``asked`` with the parent of each target and key, if there is one. The filter's verdict goes into the join key, so what it has ruled out is looked up nowhere."""
-        exact = terms.select(F.col("target").alias("__target"), F.col("key").alias("__key"), "__from", "__until", F.lit(True).alias("__there"))
-        exact = F.broadcast(exact) if n * PARENT_BYTES <= BROADCAST_BYTES else exact
-        probed = asked.withColumn("__maybe", may_exist(*_hashes(F.col("target"), F.col("key"))))
-        return probed.join(exact, (F.col("target") == F.col("__target")) & (F.when(F.col("__maybe"), F.col("key")) == F.col("__key")), "left")
-
+    bloom = written(bloom_filter(terms.select("target", "key")), "filter")
+    exact = terms.select(F.col("target").alias("__target"), F.col("key").alias("__key"), "__from", "__until", F.lit(True).alias("__there"))
+    same = F.col("target") == F.col("__target")
     asked = references.where(F.col("key").isNotNull())
-    if n * PARENT_BYTES <= BROADCAST_BYTES:
-        joined = verified(asked)
+    if measured(terms) <= BROADCAST_BYTES:
+        # What the filter rules out gets a null join key and is looked up nowhere.
+        joined = probed(asked, bloom).join(F.broadcast(exact), same & (F.when(F.col("__maybe"), F.col("key")) == F.col("__key")), "left")
     else:
-        keys = verified(asked.groupBy("target", "key").agg(F.min("made_at").alias("lo"), F.max("made_at").alias("hi")))
+        keys = written(probed(asked.groupBy("target", "key").agg(F.min("made_at").alias("lo"), F.max("made_at").alias("hi"), F.count(F.lit(1)).alias("n")), bloom), "keys")
+        found = keys.where("__maybe").join(exact, same & (F.col("key") == F.col("__key")), "left")
         doubtful = F.col("__there").isNull() | (F.col("lo") < F.col("__from")) | (F.col("hi") >= F.col("__until"))
-        troubled = written(keys.where(doubtful).select(F.col("target").alias("__target"), F.col("key").alias("__key"), "__from", "__until", "__there"), "troubled")
-        on = (F.col("target") == F.col("__target")) & (F.col("key") == F.col("__key"))
-        few = small(troubled, PARENT_BYTES)
-        if few is troubled:
-            few = troubled.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-            on &= F.pmod(F.xxhash64(*kept), F.lit(SALTS)).cast("int") == F.col("__copy")
-        joined = asked.join(few, on)
+        of_case = [F.col("target").alias("__target"), F.col("key").alias("__key"), "__from", "__until", "__there", "n"]
+        none = keys.where("NOT __maybe").withColumns({c: F.lit(None).cast(exact.schema[c].dataType) for c in ("__from", "__until", "__there")})
+        troubled = written(found.where(doubtful).select(*of_case).unionByName(none.select(*of_case)), "troubled")
+        joined = _back_to_rows(asked, kept, troubled)
     reason = (
         F.when(F.col("__there").isNull(), F.lit("missing")).when(F.col("__from") > F.col("made_at"), F.lit("early")).when(F.col("__until") <= F.col("made_at"), F.lit("deleted"))
     )
     return joined.withColumn("reason", reason).where(F.col("reason").isNotNull()).select(*kept, "reason")
+
+
+def _back_to_rows(asked: DataFrame, kept: list[str], troubled: DataFrame) -> DataFrame:
+    """The references of the troubled keys. Where those are too many to broadcast, the few keys with over KEY_ROWS references (at most all references / KEY_ROWS) are copied as often as they need."""
+    on = (F.col("target") == F.col("__target")) & (F.col("key") == F.col("__key"))
+    few = small(troubled)
+    if few is not troubled:
+        return asked.join(few, on)
+    copies = F.ceil(F.col("n") / KEY_ROWS).cast("int")
+    hot = troubled.where(F.col("n") > KEY_ROWS).select(F.col("__target").alias("__ht"), F.col("__key").alias("__hk"), copies.alias("__copies"))
+    spread = asked.join(small(hot), (F.col("target") == F.col("__ht")) & (F.col("key") == F.col("__hk")), "left")
+    salted = spread.withColumn("__salt", F.pmod(F.xxhash64(*kept), F.coalesce("__copies", F.lit(1)).cast("long")).cast("int"))
+    copied = troubled.withColumn("__copy", F.explode(F.sequence(F.lit(0), copies - 1)))
+    return salted.join(copied, on & (F.col("__salt") == F.col("__copy")))

@@ -6,8 +6,9 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Most bytes that any operator broadcasts.
 BROADCAST_BYTES = 24 << 20
@@ -16,10 +17,12 @@ _own_folder: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where that is unset (local runs, tests) a temporary one."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a temporary one, but only on a local master; a cluster must name its folder."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_folder:
         _own_folder[app] = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
@@ -34,12 +37,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, row_bytes: int = 64, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` with a broadcast hint if its counted rows, at ``row_bytes`` each, stay under ``limit``; else as it is, for a shuffled join.
+def _bytes_of(field: T.StructField) -> Column:
+    """What a value takes in a row: its text's bytes, or those of its JSON for nested values, and a word."""
+    c = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 8
+    if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) + 8
+    return F.lit(8)
 
-    ``df`` should be cheap to count, such as a written table.
+
+def measured(df: DataFrame) -> int:
+    """Bytes that the rows of ``df`` take, 16 a row and what their values take; one aggregation."""
+    row = F.lit(16).cast("long")
+    for field in df.schema.fields:
+        row = row + _bytes_of(field)
+    return df.agg(F.coalesce(F.sum(row), F.lit(0))).first()[0]
+
+
+def small(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """``df`` with a broadcast hint if its rows, measured, stay under ``limit``; else as it is, for a shuffled join.
+
+    ``df`` should be cheap to read, such as a written table.
     """
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+    return F.broadcast(df) if measured(df) <= (BROADCAST_BYTES if limit is None else limit) else df
 
 
 def release(spark: SparkSession) -> None:

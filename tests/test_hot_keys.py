@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.operators.features import feature_table
-from tallyloom.operators.orphans import bloom_filter, find_orphans
+from tallyloom.operators.orphans import bloom_filter, find_orphans, probed
 from tallyloom.operators.positions import key_totals, number_rows, running_totals
 from tallyloom.operators.rolling import rolling_totals, trailing_sums
 
@@ -82,9 +82,14 @@ def test_feature_table_of_empty_tables(spark):
 
 
 def test_bloom_filter_has_no_false_negatives_and_few_false_positives(spark):
-    keys = spark.range(3000).selectExpr("cast(id as string) k")
-    filt = bloom_filter(keys, 3000, "k")
-    assert len(filt) == 1 << 16 and 0.1 < filt.mean() < 0.35
+    keys = spark.range(30_000).selectExpr("if(id % 3 = 0, 'a', 'b') target", "cast(id as string) key").unionByName(spark.createDataFrame([("few", "x")], "target string, key string"))
+    filt = bloom_filter(keys).cache()
+    assert {r.target: r.segments for r in filt.select("target", "segments").distinct().collect()} == {"a": 1, "b": 2, "few": 1}
+    assert filt.where("size(words) <> 2048").count() == 0 and filt.count() == 4
+    assert probed(keys, filt).where("NOT __maybe").count() == 0
+    others = spark.range(30_000).selectExpr("if(id % 3 = 0, 'a', if(id % 3 = 1, 'b', 'none')) target", "concat('x', id) key", "id")
+    out = probed(others, filt)
+    assert out.columns == ["target", "key", "id", "__maybe"] and out.where("__maybe").count() < 300 and out.where("target = 'none' AND __maybe").count() == 0 and out.count() == 30_000
 
 
 def test_orphans_are_missing_early_or_deleted(spark):
@@ -109,4 +114,6 @@ def test_orphans_by_shuffled_join_are_the_same(spark, monkeypatch):
     assert rows(find_orphans(asked, known)) == a and len(a) > 1000
     monkeypatch.setattr(orphans, "small", lambda df, *_: df)
     assert rows(find_orphans(asked, known)) == a
+    monkeypatch.setattr(orphans, "KEY_ROWS", 30)  # hot keys are met in many places
+    assert rows(find_orphans(asked, known)) == a
     assert find_orphans(asked.limit(0), known).count() == 0 and find_orphans(asked, known.limit(0)).count() == 4000
