@@ -12,10 +12,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.session import small, written
+from tallyloom.session import BROADCAST_BYTES, measured, written
 
-#: Least rows of a chunk, and most chunks of a run besides one for each key.
-LEAST_CHUNK, MOST_CHUNKS = 50_000, 10_000
+#: Rows of a chunk, however many rows there are: 10^12 rows of one key make 2 x 10^7 chunk states of a few bytes each, the most that one task sorts.
+CHUNK_ROWS = 50_000
 
 
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column] = (), first: int | None = None) -> DataFrame:
@@ -43,8 +43,7 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column] = (), f
     runs = written(rows.groupBy(*keys, "__part").agg(F.min("__pos").alias("__start"), F.count(F.lit(1)).alias("__n")), "runs")
     before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = runs.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__part").alias("__p"), (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__start")).alias("__shift"))
-    hint = small(runs)  # counted; the hint is put on what is joined
-    offsets = F.broadcast(offsets) if hint is not runs else offsets
+    offsets = F.broadcast(offsets) if measured(runs) <= BROADCAST_BYTES else offsets
     same = F.col("__part") == F.col("__p")
     for i, k in enumerate(keys):
         same &= F.col(k).eqNullSafe(F.col(f"__k{i}"))
@@ -52,18 +51,22 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column] = (), f
     return (out if first is None else out.where(F.col("row_no") < first)), runs.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
 
 
-def chunked(df: DataFrame, keys: Sequence[str], order: Sequence[Column] = (), chunk_rows: int | None = None) -> DataFrame:
-    """Numbered rows with ``chunk_no``: chunk_rows rows of a key share one. By default a chunk has LEAST_CHUNK rows, or more where that would give over MOST_CHUNKS."""
+def chunked(df: DataFrame, keys: Sequence[str], order: Sequence[Column] = (), chunk_rows: int | None = None) -> tuple[DataFrame, int]:
+    """Numbered rows with ``chunk_no``: chunk_rows rows of a key share one; and the number of all rows."""
     rows, n = numbered(df, keys, order)
-    size = chunk_rows or max(LEAST_CHUNK, -(-n // MOST_CHUNKS))
-    return rows.withColumn("chunk_no", F.floor(F.col("row_no") / size))
+    return rows.withColumn("chunk_no", F.floor(F.col("row_no") / (chunk_rows or CHUNK_ROWS))), n
 
 
 def key_totals(df: DataFrame, keys: Sequence[str], value: str, chunk_rows: int | None = None) -> DataFrame:
     """Per key: n_rows and the total of ``value`` (nulls add nothing; 0 if all are null), by exact offset chunking."""
-    chunks = chunked(df.select(*keys, value), keys, (), chunk_rows)
+    return counted_totals(df, keys, value, chunk_rows)[0]
+
+
+def counted_totals(df: DataFrame, keys: Sequence[str], value: str, chunk_rows: int | None = None) -> tuple[DataFrame, int]:
+    """As ``key_totals``, with the number of all rows, which the numbering knows."""
+    chunks, n = chunked(df.select(*keys, value), keys, (), chunk_rows)
     states = chunks.groupBy(*keys, "chunk_no").agg(F.count(F.lit(1)).alias("__n"), F.sum(value).alias("__t"))
-    return states.groupBy(*keys).agg(F.sum("__n").alias("n_rows"), F.coalesce(F.sum("__t"), F.lit(0)).alias("total"))
+    return states.groupBy(*keys).agg(F.sum("__n").alias("n_rows"), F.coalesce(F.sum("__t"), F.lit(0)).alias("total")), n
 
 
 def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: str, chunk_rows: int | None = None) -> DataFrame:
@@ -71,7 +74,7 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
 
     Each chunk is summed by itself; the chunks' totals, prefix-summed in order, are what a chunk starts from. Nulls add nothing.
     """
-    rows = chunked(df, keys, order, chunk_rows)
+    rows, _ = chunked(df, keys, order, chunk_rows)
     states = rows.groupBy(*keys, "chunk_no").agg(F.sum(F.coalesce(F.col(value), F.lit(0))).alias("__t"))
     before = Window.partitionBy(*keys).orderBy("chunk_no").rowsBetween(Window.unboundedPreceding, -1)
     base = states.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("chunk_no").alias("__c"), F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__base"))

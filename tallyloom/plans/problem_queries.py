@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions.keys import clean_key, fold_title, month_of
-from tallyloom.operators.features import feature_table, heavy_entities
+from tallyloom.operators.features import MOST_KINDS, feature_table, heavy_entities
 from tallyloom.operators.orphans import find_orphans
-from tallyloom.operators.positions import key_totals, running_totals
+from tallyloom.operators.positions import counted_totals, running_totals
 from tallyloom.operators.rolling import rolling_totals
 from tallyloom.sources.tables import order_facts, table
 
@@ -25,20 +25,21 @@ def outlet_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "outlets").select(clean_key("outlet_id").alias("outlet_id")).where(F.col("outlet_id").isNotNull()).distinct()
 
 
-def _sku_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _sku_totals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     lines = order_facts(spark, sf_dir, "sku_id", "qty_delivered").where(F.col("sku_id").isNotNull())
-    return key_totals(lines, ["sku_id"], "qty_delivered").select("sku_id", F.col("n_rows").alias("n_lines"), F.col("total").alias("qty_delivered"))
+    totals, n_lines = counted_totals(lines, ["sku_id"], "qty_delivered")
+    return totals.select("sku_id", F.col("n_rows").alias("n_lines"), F.col("total").alias("qty_delivered")), n_lines
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SKUs on at least HOT_SHARE of the lines with a SKU key."""
-    totals = _sku_totals(spark, sf_dir)
-    return totals.where(F.col("n_lines") >= HOT_SHARE * totals.agg(F.sum("n_lines")).scalar()).select("sku_id")
+    totals, n_lines = _sku_totals(spark, sf_dir)
+    return totals.where(F.col("n_lines") >= HOT_SHARE * n_lines).select("sku_id")
 
 
 def p1_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines and delivered quantity of every SKU key."""
-    return _sku_totals(spark, sf_dir)
+    return _sku_totals(spark, sf_dir)[0]
 
 
 def p1_running(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +67,7 @@ def p2_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per outlet: lines, days since the latest order and delivered quantity, over all and for each SKU of products."""
-    skus = [r[0] for r in table(spark, sf_dir, "products").select(clean_key("sku_id").alias("k")).where("k IS NOT NULL").distinct().orderBy("k").collect()]  # the bounded type list
+    skus = [r[0] for r in table(spark, sf_dir, "products").select(clean_key("sku_id").alias("k")).where("k IS NOT NULL").distinct().orderBy("k").limit(MOST_KINDS + 1).collect()]  # the bounded type list; feature_table refuses more
     lines = order_facts(spark, sf_dir, "outlet_id", "sku_id", "order_date", "qty_delivered")
     heavy = heavy_entities(table(spark, sf_dir, "order_lines").select(clean_key("outlet_id").alias("outlet_id")), "outlet_id")
     return feature_table(lines, outlet_keys(spark, sf_dir), skus, "outlet_id", "sku_id", "order_date", "qty_delivered", "line_id", LAST_DAY, heavy)
