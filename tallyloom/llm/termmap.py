@@ -1,16 +1,17 @@
 """Mapping of freely typed values to the closest entry of a reference list.
 
-The entries of each kind (terms, and the other spellings of them that rules or lists give) are held in BK-trees under Levenshtein distance, a true metric. A value is
-folded and looked up; the triangle inequality prunes the tree, and every entry within the radius comes back. A transposition is one slip of the typist but two edits, so the
-radius is twice the slips allowed; the exact check after it counts slips, word by word, and digits must agree. The entries are broadcast while they are few, else sharded, and
-the shards' winners are merged.
+The entries of each kind (terms, and the other spellings of them that rules or lists give) are held in BK-trees under Levenshtein distance, a true metric: one tree for each kind, digits and
+length, since digits must agree and an entry within two slips differs by at most two in its distance to the empty text. A value is folded and looked up; the triangle inequality prunes the trees, and every
+entry within the radius comes back. A transposition is one slip of the typist but two edits, so the radius is twice the slips allowed; the exact check after it counts slips, word by word. The entries are
+broadcast while they are few; else they are sharded by the trees they belong to, a value goes only to shards that can hold an entry near it, and the shards' winners are merged.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator
+import uuid
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 
 import pandas as pd
@@ -56,8 +57,10 @@ FIRM_ENDINGS = ["DISTRIBUTORS", "DISTRIBUTOR", "DISTRIBUTION", "DSTRBTRS", "DIST
 
 _AROUND = {k: [re.compile(p) for p in ps] for k, ps in AROUND.items()}
 _TITLE_KINDS = ("STATE", "PERIOD", "DISTRIBUTOR", "CATEGORY", "FRANCHISE", "METRIC")
-#: Most terms that are broadcast, terms of a shard beyond that, and values of a task.
-BROADCAST_TERMS, SHARD_TERMS, TASK_VALUES = 20_000, 5_000, 400
+#: Most terms that are broadcast, entries of a shard beyond that, and values that one task looks up.
+BROADCAST_TERMS, SHARD_TERMS, TASK_VALUES = 20_000, 5_000, 1_000
+#: Most slips in any entry, which is how far lengths may differ.
+MOST_SLIPS = 2
 
 
 def fold(value: str) -> str:
@@ -153,89 +156,126 @@ def _allowed(key: str, kind: str) -> int:
     return 0 if n <= 4 and kind != "PERIOD" else 1 if n <= (5 if kind == "PERIOD" else 8) else 2
 
 
+_ENDINGS = [(e, levenshtein(e), range(max(3, len(e) - 2), len(e) + 3) if len(e) > 6 else (len(e),), 2 if len(e) > 8 else 0) for e in FIRM_ENDINGS]
+
+
+@lru_cache(100_000)
+def _ending_slips(tail: str, ending: int) -> int:
+    """Slips between a tail and an ending, or 3 if there are more than 2; most tails are ruled out by their Levenshtein distance, at most twice the slips."""
+    return 3 if _ENDINGS[ending][1](tail) > 4 else min(3, slips(tail, _ENDINGS[ending][0]))
+
+
 def _firm(words: list[str]) -> tuple[str, int] | None:
     """A distributor's name without its ending, squeezed, and the slips in the ending; None if nothing is left of it."""
     whole = "".join(words)
     best = (3, 0, len(whole))
-    for ending in FIRM_ENDINGS:
-        for n in range(max(3, len(ending) - 2), len(ending) + 3) if len(ending) > 6 else (len(ending),):
-            if n < len(whole) and (n == len(ending) or len(ending) > 6):
-                d = slips(whole[-n:], ending)
-                best = min(best, (d, -n, len(whole) - n)) if d <= (2 if len(ending) > 8 else 0) else best
+    for i, (_, _, lengths, most) in enumerate(_ENDINGS):
+        for n in lengths:
+            if n < len(whole) and (d := _ending_slips(whole[-n:], i)) <= most:
+                best = min(best, (d, -n, len(whole) - n))
     if best[0] == 3:
-        return (whole, 0) if whole and not any(slips(whole, e) <= 2 for e in FIRM_ENDINGS) else None
+        return (whole, 0) if whole and not any(_ending_slips(whole, i) <= 2 for i in range(len(_ENDINGS))) else None
     return whole[: best[2]], best[0]
 
 
-class TermIndex:
-    """Trees of the entries of each kind. An entry is a squeezed spelling of a term with the slips allowed in it."""
+class Entries:
+    """Trees of entries. An entry is a squeezed spelling of a term (kind, key, term_id, slips allowed in it, its words)."""
 
-    def __init__(self, terms: Iterable[tuple[int, str, str]], firsts: frozenset[str] | None = None) -> None:
-        """``firsts`` are the first words that only one distributor of the whole list has; without them ``terms`` must be the whole list."""
-        self.entries: dict[str, dict[str, list[tuple[int, int, tuple[str, ...]]]]] = {}
-        terms = sorted({(i, k, t) for i, k, t in terms if k and t})
-        self.states = sorted(("".join(words_of(fold(t))) for _, k, t in terms if k == "STATE"), key=len, reverse=True)
-        firsts = firsts if firsts is not None else single_firsts(terms)
-        for term_id, kind, term in terms:
-            for words, allowed in self._spellings(kind, words_of(fold(term)), firsts):
-                key = "".join(words)
-                if key:
-                    self.entries.setdefault(kind, {}).setdefault(key, []).append((term_id, _allowed(key, kind) if allowed is None else allowed, tuple(words)))
-        self.trees = {k: BKTree(e) for k, e in self.entries.items()}
+    def __init__(self, rows: Iterable[tuple[str, str, int, int, Sequence[str]]]) -> None:
+        self.cells: dict[tuple[str, str, int], dict[str, list[tuple[int, int, tuple[str, ...]]]]] = {}
+        for kind, key, term_id, allowed, words in rows:
+            self.cells.setdefault((kind, digits_of(key), len(key)), {}).setdefault(key, []).append((term_id, allowed, tuple(words)))
+        self.trees: dict[tuple[str, str, int], BKTree] = {}
         self.closest = lru_cache(200_000)(self._closest)
 
-    @staticmethod
-    def _spellings(kind: str, words: list[str], firsts: frozenset[str]) -> Iterator[tuple[list[str], int | None]]:
-        if kind == "DISTRIBUTOR":
-            name = words[:-1] if len(words) > 1 and words[-1] in FIRM_ENDINGS else words
-            yield name, None
-            if len(name) == 2:
-                yield name[::-1], None
-                if name[0] in firsts:
-                    yield name[:1], 0
-            return
-        yield words, None
-        for other in OTHER_NAMES.get((kind, " ".join(words)), []):
-            yield other.split(), 0
-        if kind == "PERIOD" and len(words) == 2 and words[0] in MONTHS:
-            month, year = words
-            no = f"{MONTHS.index(month) + 1:02d}"
-            yield [year, month], None
-            yield [month, "OF", year], None
-            for short in ([month[:3], year], [month[:3], year[2:]], [year, no], [no, year]):
-                yield short, 0
+    def _near(self, cell: tuple[str, str, int], query: str, radius: int) -> list[str]:
+        if cell not in self.cells:
+            return []
+        if cell not in self.trees:
+            self.trees[cell] = BKTree(self.cells[cell])
+        return [key for _, key in self.trees[cell].within(query, radius)]
 
     def _closest(self, kind: str, words: tuple[str, ...], spent: int) -> tuple[int, int] | None:
         """Slips and term of the closest entry of the kind; None if there is none within what it allows."""
         query = "".join(words)
-        entries = self.entries.get(kind)
-        if not entries or not query:
-            return None
-        best = None
-        for _, key in self.trees[kind].within(query, 2 * (2 if len(query) > 6 else 1)):
-            if re.sub(r"\D", "", key) != re.sub(r"\D", "", query):
-                continue
-            d = slips(query, key)
-            for term_id, allowed, spelt in entries[key]:
-                near = len(spelt) != len(words) or all(slips(a, b) <= (1 if len(b) <= 5 else 2) for a, b in zip(words, spelt))
-                if d + spent <= max(allowed, 2 * bool(spent and allowed)) and near and (best is None or (d + spent, term_id) < best):
-                    best = (d + spent, term_id)
+        digits, n, best = digits_of(query), len(query), None
+        for length in sorted(range(n - MOST_SLIPS, n + MOST_SLIPS + 1), key=lambda x: x != n) if query else ():
+            cell = (kind, digits, length)
+            exact = length == n and query in self.cells.get(cell, ())
+            for key in ([query] if exact else []) + self._near(cell, query, 2 * (2 if n > 6 else 1)) if best is None or best[0] > spent else ():
+                d = slips(query, key)
+                for term_id, allowed, spelt in self.cells[cell][key]:
+                    near = len(spelt) != len(words) or all(slips(a, b) <= (1 if len(b) <= 5 else 2) for a, b in zip(words, spelt))
+                    if d + spent <= max(allowed, 2 * bool(spent and allowed)) and near and (best is None or (d + spent, term_id) < best):
+                        best = (d + spent, term_id)
+                if exact and best is not None and best[0] == spent:
+                    break  # nothing is closer than an entry as it stands
         return best
 
-    def lookup(self, kind: str, value: str, rests: Iterable[str] | None = None) -> tuple[int, int] | None:
-        """Slips and id of the term of the kind that the value means, or None. ``rests``: what follows a state's name in a category's value, if ``terms`` were only a part of the list."""
-        asked: list[tuple[tuple[str, ...], int]] = [((r,), 0) for r in (rests if rests is not None else ())]
-        for words in forms_of(kind, value):
-            if kind == "DISTRIBUTOR":
-                if (firm := _firm(words)) is not None:
-                    name = words[:-1] if "".join(words[:-1]) == firm[0] else words if "".join(words) == firm[0] else [firm[0]]
-                    asked.append((tuple(name), firm[1]))
-            else:
-                asked.append((tuple(words), 0))
-                if kind == "CATEGORY" and rests is None:
-                    whole = "".join(words)
-                    asked += [((whole[len(s) :],), 0) for s in self.states if whole.startswith(s) and len(whole) > len(s)]
-        found = [x for words, spent in dict.fromkeys(asked) if (x := self.closest(kind, words, spent)) is not None]
+
+def digits_of(key: str) -> str:
+    return re.sub(r"\D", "", key)
+
+
+def entries_of(term_id: int, kind: str, term: str, single: bool) -> list[tuple[str, str, int, int, tuple[str, ...]]]:
+    """The entries of a term: (kind, key, term_id, slips allowed, words). ``single`` says that no other distributor has its first word."""
+    out = []
+    for words, allowed in _spellings(kind, words_of(fold(term)), single):
+        if key := "".join(words):
+            out.append((kind, key, term_id, _allowed(key, kind) if allowed is None else allowed, tuple(words)))
+    return out
+
+
+def _spellings(kind: str, words: list[str], single: bool) -> Iterator[tuple[list[str], int | None]]:
+    if kind == "DISTRIBUTOR":
+        name = words[:-1] if len(words) > 1 and words[-1] in FIRM_ENDINGS else words
+        yield name, None
+        if len(name) == 2:
+            yield name[::-1], None
+            if single:
+                yield name[:1], 0
+        return
+    yield words, None
+    for other in OTHER_NAMES.get((kind, " ".join(words)), []):
+        yield other.split(), 0
+    if kind == "PERIOD" and len(words) == 2 and words[0] in MONTHS:
+        month, year = words
+        no = f"{MONTHS.index(month) + 1:02d}"
+        yield [year, month], None
+        yield [month, "OF", year], None
+        for short in ([month[:3], year], [month[:3], year[2:]], [year, no], [no, year]):
+            yield short, 0
+
+
+def asked_forms(kind: str, value: str, states: Iterable[str] = (), rests: Iterable[str] = ()) -> list[tuple[tuple[str, ...], int]]:
+    """The words a value may be looked up by, and the slips already spent on what was taken off: its own, without what is written around a term, without a firm's ending, and for categories without a state's
+    name before them, which is one of ``states`` or has been taken off already in ``rests``."""
+    asked: list[tuple[tuple[str, ...], int]] = [((r,), 0) for r in rests]
+    for words in forms_of(kind, value):
+        if kind == "DISTRIBUTOR":
+            if (firm := _firm(words)) is not None:
+                name = words[:-1] if "".join(words[:-1]) == firm[0] else words if "".join(words) == firm[0] else [firm[0]]
+                asked.append((tuple(name), firm[1]))
+        else:
+            asked.append((tuple(words), 0))
+            if kind == "CATEGORY":
+                whole = "".join(words)
+                asked += [((whole[len(s) :],), 0) for s in states if whole.startswith(s) and len(whole) > len(s)]
+    return [(words, spent) for words, spent in dict.fromkeys(asked) if "".join(words)]
+
+
+class TermIndex:
+    """All terms of a list, ready for look-ups."""
+
+    def __init__(self, terms: Iterable[tuple[int, str, str]]) -> None:
+        terms = sorted({(i, k, t) for i, k, t in terms if k and t})
+        self.states = sorted(("".join(words_of(fold(t))) for _, k, t in terms if k == "STATE"), key=len, reverse=True)
+        firsts = single_firsts(terms)
+        self.entries = Entries(e for i, k, t in terms for e in entries_of(i, k, t, (words_of(fold(t)) or [""])[0] in firsts))
+
+    def lookup(self, kind: str, value: str) -> tuple[int, int] | None:
+        """Slips and id of the term of the kind that the value means, or None."""
+        found = [x for words, spent in asked_forms(kind, value, self.states) if (x := self.entries.closest(kind, words, spent)) is not None]
         return min(found) if found else None
 
 
@@ -288,44 +328,79 @@ def _with_rests(asked: DataFrame, known: DataFrame) -> DataFrame:
     return asked.join(rests, ["kind", "value"], "left").withColumn("rests", F.coalesce("rests", F.array().cast("array<string>")))
 
 
+_indexes: dict[str, TermIndex] = {}
+
+
+def _index_of(token: str, held) -> TermIndex:
+    """The index of a broadcast list, built once in each worker process; the one before it is let go."""
+    if token not in _indexes:
+        _indexes.clear()
+        _indexes[token] = TermIndex(held.value)
+    return _indexes[token]
+
+
 def map_values(values: DataFrame, terms: DataFrame, broadcast_terms: int = BROADCAST_TERMS, shard_terms: int = SHARD_TERMS) -> DataFrame:
     """For each distinct (kind, value): term_id of the entry of that kind it means, or 0, and ``slips``, the slips found (null for 0).
 
     ``values`` has kind and value, ``terms`` has term_id, kind, term. Null or blank values and null kinds are left out; kinds without terms match nothing; among equally close
-    entries the lowest term_id counts. Distinct values are looked up once, however often they occur. Up to ``broadcast_terms`` terms are
-    broadcast as one index; more are dealt to shards of ``shard_terms``, each value asks every shard, and the closest answer counts. What depends on the whole list (first words that
-    only one distributor has, states before a category) is found before the terms are dealt, and goes along with the terms and the values.
+    entries the lowest term_id counts. Distinct values are looked up once, however often they occur. Up to ``broadcast_terms`` terms are broadcast as one index; more are sharded, see ``_map_sharded``.
     """
     spark = values.sparkSession
     asked = written(values.select("kind", "value").where(F.col("kind").isNotNull() & (F.trim(F.regexp_replace("value", r"(?U)\s+", " ")) != "")).distinct(), "values")
     known = terms.select("term_id", "kind", "term").where(F.col("term").isNotNull() & F.col("kind").isNotNull()).distinct()
     n_values, n_terms = asked.count(), known.count()
-    tasks = max(1, min(10_000, -(-n_values // TASK_VALUES)))
+    if n_terms > broadcast_terms:
+        return _map_sharded(asked, known, shard_terms)
+    held, token = spark.sparkContext.broadcast([tuple(r) for r in known.collect()]), uuid.uuid4().hex
+
+    def by_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index = _index_of(token, held)
+        for b in batches:
+            got = [index.lookup(k, v) for k, v in zip(b["kind"], b["value"])]
+            yield pd.DataFrame({"kind": b["kind"], "value": b["value"], "slips": pd.array([g[0] if g else None for g in got], "Int32"), "term_id": pd.array([g[1] if g else 0 for g in got], "int64")})
 
-    def answers(index: TermIndex, b: pd.DataFrame) -> pd.DataFrame:
-        got = [index.lookup(k, v, r) for k, v, r in zip(b["kind"], b["value"], b["rests"] if "rests" in b else [None] * len(b))]
-        return pd.DataFrame({"kind": b["kind"], "value": b["value"], "slips": pd.array([g[0] if g else None for g in got], "Int32"), "term_id": pd.array([g[1] if g else 0 for g in got], "int64")})
+    return asked.repartition(max(1, -(-n_values // TASK_VALUES))).mapInPandas(by_batch, "kind string, value string, slips int, term_id long")
 
-    schema = "kind string, value string, slips int, term_id long"
-    if n_terms <= broadcast_terms:
-        held = spark.sparkContext.broadcast([tuple(r) for r in known.collect()])
 
-        def by_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            index = TermIndex(held.value)
-            for b in batches:
-                yield answers(index, b)
+def _map_sharded(asked: DataFrame, known: DataFrame, shard_terms: int) -> DataFrame:
+    """map_values() for more terms than can be broadcast.
 
-        return asked.repartition(tasks).mapInPandas(by_batch, schema)
-    shards = -(-n_terms // shard_terms)
-    dealt = _with_single(known).withColumn("shard", F.pmod(F.xxhash64("term_id"), F.lit(shards)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
-    spread = _with_rests(asked, known).withColumn("part", F.pmod(F.xxhash64("value"), F.lit(tasks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    Entries and the forms of values are laid out as rows. Entries are sharded by kind, digits and length, and dealt further by a hash where such a cell has over ``shard_terms``; a form goes
+    to the cells at most MOST_SLIPS longer or shorter, and there to each shard, in as many parts as the forms there need, so that no task has more than about TASK_VALUES forms and ``shard_terms`` entries. What depends on the whole list (first
+    words that only one distributor has, states before a category) is found before. The closest answer of a value counts.
+    """
+    cell = ["kind", "digits", "length"]
 
-    def by_shard(v: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        return answers(TermIndex(t[["term_id", "kind", "term"]].itertuples(index=False, name=None), frozenset(t["single"].dropna())), v)
+    def lay_entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(k, digits_of(key), len(key), key, i, n, list(w)) for t, kind, term, single in b.itertuples(index=False) for k, key, i, n, w in entries_of(t, kind, term, single is not None)]
+            yield pd.DataFrame(rows, columns=[*cell, "key", "term_id", "allowed", "words"])
 
-    each = spread.groupBy("part", "shard").cogroup(dealt.groupBy("part", "shard")).applyInPandas(by_shard, schema)
-    winner = F.min(F.struct(F.coalesce("slips", F.lit(99)).alias("s"), F.col("term_id").alias("t")))
-    return each.groupBy("kind", "value").agg(winner.alias("w")).select("kind", "value", F.when(F.col("w.s") < 99, F.col("w.s")).alias("slips"), F.col("w.t").alias("term_id"))
+    def lay_forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(k, v, list(w), spent, digits_of("".join(w)), len("".join(w))) for k, v, rests in zip(b["kind"], b["value"], b["rests"]) for w, spent in asked_forms(k, v, rests=rests)]
+            yield pd.DataFrame(rows, columns=["kind", "value", "words", "spent", "digits", "own"])
+
+    entries = written(_with_single(known).mapInPandas(lay_entries, "kind string, digits string, length int, key string, term_id long, allowed int, words array<string>"), "entries")
+    laid = written(_with_rests(asked, known).mapInPandas(lay_forms, "kind string, value string, words array<string>, spent int, digits string, own int"), "forms")
+    forms = laid.withColumn("length", F.explode(F.sequence(F.col("own") - MOST_SLIPS, F.col("own") + MOST_SLIPS)))
+    sizes = entries.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / shard_terms).cast("int").alias("shards"))
+    needs = forms.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / TASK_VALUES).cast("int").alias("parts"))
+    cells = small(written(sizes.join(needs, cell), "cells"))  # a row for each length and digits that both have
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = lambda key, n: F.pmod(F.xxhash64(key), F.col(n).cast("long")).cast("int")
+    dealt = entries.join(cells, cell).withColumn("shard", one("key", "shards")).withColumn("part", every("parts")).drop("shards", "parts")
+    spread = forms.join(cells, cell).withColumn("part", one("value", "parts")).withColumn("shard", every("shards")).drop("shards", "parts")
+
+    def by_shard(f: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        index = Entries(e[["kind", "key", "term_id", "allowed", "words"]].itertuples(index=False, name=None)) if len(f) and len(e) else None
+        got = [index.closest(k, tuple(w), s) if index else None for k, w, s in zip(f["kind"], f["words"], f["spent"])]
+        return pd.DataFrame([(k, v, *g) for k, v, g in zip(f["kind"], f["value"], got) if g], columns=["kind", "value", "slips", "term_id"]).astype({"slips": "int32", "term_id": "int64"})
+
+    keys = [*cell, "shard", "part"]
+    found = spread.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInPandas(by_shard, "kind string, value string, slips int, term_id long")
+    winner = found.groupBy("kind", "value").agg(F.min(F.struct("slips", "term_id")).alias("w"))
+    return asked.join(winner, ["kind", "value"], "left").select("kind", "value", F.col("w.slips").alias("slips"), F.coalesce("w.term_id", F.lit(0).cast("long")).alias("term_id"))
 
 
 def map_entities(entities: DataFrame, terms: DataFrame) -> DataFrame:
@@ -336,12 +411,12 @@ def map_entities(entities: DataFrame, terms: DataFrame) -> DataFrame:
     """
     rows = entities.select(F.col("id").alias("entity_id"), "type", "title")
     types = map_values(rows.select(F.lit("TYPE").alias("kind"), F.col("type").alias("value")), terms)
-    names = terms.where("kind = 'TYPE'").select(F.col("term_id").alias("type_id"), F.upper("term").alias("title_kind")).distinct()
-    kinds = written(types.withColumnRenamed("term_id", "type_id").join(F.broadcast(names), "type_id", "left").select(F.col("value").alias("type"), "type_id", "title_kind"), "kinds")
+    names = written(terms.where("kind = 'TYPE'").select(F.col("term_id").alias("type_id"), F.upper("term").alias("title_kind")).distinct(), "names")
+    kinds = written(types.withColumnRenamed("term_id", "type_id").join(small(names), "type_id", "left").select(F.col("value").alias("type"), "type_id", "title_kind"), "kinds")
     typed = rows.join(small(kinds), "type")
     titled = typed.where(F.col("title_kind").isin(*_TITLE_KINDS)).select("entity_id", F.col("title_kind").alias("kind"), F.col("title").alias("value"))
     meant = written(map_values(titled, terms), "meant")
-    titles = titled.join(small(meant, 160), ["kind", "value"]).select("entity_id", F.lit("title").alias("field_name"), "kind", "value", "term_id")
+    titles = titled.join(small(meant), ["kind", "value"]).select("entity_id", F.lit("title").alias("field_name"), "kind", "value", "term_id")
     both = typed.select("entity_id", F.lit("type").alias("field_name"), F.lit("TYPE").alias("kind"), F.col("type").alias("value"), F.col("type_id").alias("term_id")).unionByName(titles)
-    exact = terms.select("kind", F.col("term").alias("value"), F.lit(True).alias("exact")).distinct()
-    return both.join(small(exact, 160), ["kind", "value"], "left").withColumn("exact", F.coalesce("exact", F.lit(False))).distinct()
+    exact = written(terms.select("kind", F.col("term").alias("value"), F.lit(True).alias("exact")).distinct(), "exact")
+    return both.join(small(exact), ["kind", "value"], "left").withColumn("exact", F.coalesce("exact", F.lit(False))).distinct()

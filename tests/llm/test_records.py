@@ -60,10 +60,13 @@ def test_lookup(kind, value, term):
 
 
 def test_shards_give_the_same_as_the_broadcast_index(spark):
-    terms = spark.createDataFrame([t for t in TERMS if t[1] != "DISTRIBUTOR"], "term_id long, kind string, term string")
+    terms = spark.createDataFrame(TERMS, "term_id long, kind string, term string")
     values = spark.createDataFrame([(k, v) for _, k, t in TERMS for v in (t, t.lower(), t[:-1], t + "x", "zzz")] + [("STATE", None), ("STATE", " \t"), (None, "x"), ("STATE", "Meghvan" * 400)], "kind string, value string")
-    a, b = map_values(values, terms), map_values(values, terms, broadcast_terms=0, shard_terms=4)
-    assert sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, b.collect()), key=str) and a.count() > 40
+    values = values.unionByName(spark.createDataFrame([("CATEGORY", f"{s} {c}") for s in ("Meghvan", "dakshin_shila", "Nowhere") for c in ("Mintline", "mintlnie", "Others")], values.schema))
+    a = sorted(map(tuple, map_values(values, terms).collect()), key=str)
+    assert len(a) > 60 and sum(r[0] == "DISTRIBUTOR" and r[3] > 0 for r in a) > 8
+    for shard_terms in (1, 4, 50):
+        assert sorted(map(tuple, map_values(values, terms, broadcast_terms=0, shard_terms=shard_terms).collect()), key=str) == a
     assert map_values(values.limit(0), terms).count() == 0
     assert {r.term_id for r in map_values(values, terms.limit(0)).collect()} == {0}
 
@@ -117,3 +120,20 @@ def test_top_n_of_hot_groups_with_ties_and_nulls(spark):
         want = sorted((d for d in data if d[0] == g), key=lambda d: (d[1] is None, -(d[1] or 0), d[2] is None, d[2] or ""))[:4]
         assert [(r.s, r.i) for r in sorted(out.where(F.col("g").eqNullSafe(F.lit(g))).collect(), key=lambda r: r.place)] == [(w[1], w[2]) for w in want]
     assert top_n(df, ["g"], "s", "i", 0).count() == 0 and top_n(df.limit(0), ["g"], "s", "i", 3).count() == 0
+
+
+def test_every_entry_within_the_slips_is_found():
+    from tallyloom.llm.termmap import Entries, _allowed, digits_of, slips
+
+    rng = random.Random(8)
+    names = ["".join(rng.choice("abcd12"[: rng.choice([4, 6])]) for _ in range(rng.randint(5, 12))).upper() for _ in range(300)]
+    held = Entries([("K", n, i, _allowed(n, "K"), (n,)) for i, n in enumerate(names)])
+    for n in names[:200]:
+        q = list(n)
+        i = rng.randrange(len(q) - 1)
+        q[i], q[i + 1] = q[i + 1], q[i]
+        if rng.random() < 0.5:
+            del q[rng.randrange(len(q))]
+        q = "".join(q)
+        near = [(slips(q, m), i) for i, m in enumerate(names) if slips(q, m) <= min(_allowed(m, "K"), 1 if len(m) <= 5 else 2) and digits_of(m) == digits_of(q)]
+        assert held.closest("K", (q,), 0) == (min(near) if near else None)
