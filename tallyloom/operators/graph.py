@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.keys import fold_title
-from tallyloom.session import written
+from tallyloom.operators.positions import number_rows
+from tallyloom.session import small, written
 
 #: Columns a graph table must have; types no entity may have.
 REQUIRED = {
@@ -69,9 +70,37 @@ def first_per_check(violations: DataFrame, n: int = 10) -> DataFrame:
     return violations.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).join(counts, "check")
 
 
-def resolve_category(titles: DataFrame, terms: DataFrame) -> DataFrame:
-    """title, category and reason: exact, state_prefix ('<STATE> <CATEGORY>'), or unresolved; three small vocabularies, looked up by join."""
-    t = titles.select("title").where("title IS NOT NULL").distinct().withColumn("k", fold_title("title"))
+def vocabulary_map(terms: DataFrame, kind: str) -> DataFrame:
+    """k and term of each term of a kind, by its folded title."""
+    return terms.where(F.col("kind") == kind).select(fold_title("term").alias("k"), "term").where("k IS NOT NULL").groupBy("k").agg(F.min("term").alias("term"))
+
+
+def aliases(words: DataFrame) -> DataFrame:
+    """alias and term of other ways to write the folded titles of a vocabulary map: without or with the plural's S, with its words run together or joined by hyphens. An alias that two terms have means neither, and a
+    term's own title is no alias."""
+    k = F.col("k")
+    plural = F.when(k.endswith("S"), F.substring(k, F.lit(1), F.length(k) - 1)).otherwise(F.concat(k, F.lit("S")))
+    ways = words.select("term", F.explode(F.array_distinct(F.array(plural, F.replace(k, F.lit(" "), F.lit("")), F.replace(k, F.lit(" "), F.lit("-"))))).alias("alias"))
+    single = ways.groupBy("alias").agg(F.min("term").alias("term"), F.countDistinct("term").alias("n")).where("n = 1").drop("n")
+    return single.join(words.select(k.alias("alias")), "alias", "left_anti")
+
+
+def _titles(titles: DataFrame) -> DataFrame:
+    return titles.select("title").where("title IS NOT NULL").distinct().withColumn("k", fold_title("title"))
+
+
+def resolve_franchise(titles: DataFrame, terms: DataFrame) -> DataFrame:
+    """title, franchise and reason: normalised (its folded title is a term's), alias, or unresolved."""
+    words = written(vocabulary_map(terms, "FRANCHISE"), "words")
+    other = written(aliases(words), "aliases")
+    out = _titles(titles).join(small(words), "k", "left").join(small(other.select(F.col("alias").alias("k"), F.col("term").alias("other"))), "k", "left")
+    reason = F.when(F.col("term").isNotNull(), "normalised").when(F.col("other").isNotNull(), "alias").otherwise("unresolved")
+    return out.select("title", F.coalesce("term", "other").alias("franchise"), reason.alias("reason"))
+
+
+def resolve_category(titles: DataFrame, terms: DataFrame, with_aliases: bool = False) -> DataFrame:
+    """title, category and reason: exact, alias (only ``with_aliases``), state_prefix ('<STATE> <CATEGORY>'), or unresolved; small vocabularies, looked up by join."""
+    t = _titles(titles)
     words = terms.where("kind = 'CATEGORY'").select(fold_title("term").alias("k"), F.col("term").alias("category"))
     states = terms.where("kind = 'STATE'").select(fold_title("term").alias("state")).distinct()
     # Every way to cut the title in two at a blank, looked up by equality on both sides.
@@ -80,14 +109,31 @@ def resolve_category(titles: DataFrame, terms: DataFrame) -> DataFrame:
     halves = cuts.select("title", F.array_join(F.slice("w", F.lit(1), F.col("i")), " ").alias("state"), F.array_join(F.slice("w", F.col("i") + 1, F.size("w")), " ").alias("k"))
     prefixed = halves.join(states, "state", "left_semi").join(words, "k").groupBy("title").agg(F.min("category").alias("prefixed"))
     out = t.join(words, "k", "left").join(prefixed, "title", "left")
-    reason = F.when(F.col("category").isNotNull(), "exact").when(F.col("prefixed").isNotNull(), "state_prefix").otherwise("unresolved")
-    return out.select("title", F.coalesce("category", "prefixed").alias("category"), reason.alias("reason"))
-
-
-def survivors(entities: DataFrame) -> DataFrame:
-    """title (folded), id and human_readable_id of the entity that survives among those of the title: lowest human_readable_id, nulls last, then id. One minimum a title, merged from partial ones."""
-    row = F.struct(F.col("human_readable_id").isNull().alias("n"), "human_readable_id", "id")
-    g = entities.select(fold_title("title").alias("title"), row.alias("r")).where("title IS NOT NULL").groupBy("title").agg(F.min("r").alias("r"))
+    if with_aliases:
+        other = written(aliases(vocabulary_map(terms, "CATEGORY")), "aliases").select(F.col("alias").alias("k"), F.col("term").alias("other"))
+        out = out.join(small(other), "k", "left")
+    else:
+        out = out.withColumn("other", F.lit(None).cast("string"))
+    reason = F.when(F.col("category").isNotNull(), "exact").when(F.col("other").isNotNull(), "alias").when(F.col("prefixed").isNotNull(), "state_prefix").otherwise("unresolved")
+    return out.select("title", F.coalesce("category", "other", "prefixed").alias("category"), reason.alias("reason"))
+
+
+def one_to_one(left: DataFrame, right: DataFrame, key: str, names: tuple[str, str]) -> DataFrame:
+    """Violations of 'each row of one table has exactly one of the other': keys that a side lacks, or has more than once."""
+    n = lambda d, c: d.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(c))
+    both = n(left, "a").join(n(right, "b"), key, "full")
+    a, b = F.coalesce("a", F.lit(0)), F.coalesce("b", F.lit(0))
+    detail = F.concat(F.lit(f"{names[0]}: "), a.cast("string"), F.lit(f", {names[1]}: "), b.cast("string"))
+    return both.where((a != 1) | (b != 1)).select(*violation("cardinality", "medium", F.col(key), detail))
+
+
+def survivors(entities: DataFrame, exact_first: bool = False) -> DataFrame:
+    """title (folded), id and human_readable_id of the entity that survives among those of the title: lowest human_readable_id, nulls last, then id; with ``exact_first`` entities whose title is written in the
+    folded way come before all others. One minimum a title, merged from partial ones."""
+    other = (F.col("_raw") != F.col("title")) if exact_first else F.lit(False)
+    e = entities.select(F.col("title").alias("_raw"), fold_title("title").alias("title"), "id", "human_readable_id").where("title IS NOT NULL")
+    row = F.struct(other.alias("o"), F.col("human_readable_id").isNull().alias("n"), "human_readable_id", "id")
+    g = e.groupBy("title").agg(F.min(row).alias("r"))
     return g.select("title", F.col("r.id").alias("id"), F.col("r.human_readable_id").alias("human_readable_id"))
 
 
@@ -208,8 +254,67 @@ def removable(entities: DataFrame, relationships: DataFrame) -> DataFrame:
     return e.join(n, "k", "left").select("id", F.coalesce("n", F.lit(0)).alias("n_edges"), F.col("n").isNull().alias("removed"))
 
 
+def without_removed(entities: DataFrame, relationships: DataFrame) -> DataFrame:
+    """Entities without those of forbidden types that no edge has at its ends."""
+    gone = removable(entities, relationships).where("removed").select("id")
+    return entities.join(gone, "id", "left_anti")
+
+
 def backfill(entities: DataFrame, missing: DataFrame, kind: str) -> DataFrame:
-    """New entities for missing names (subject): id from the name, human_readable_ids on from the highest, in the names' order. The missing names are few: one per name of a bounded list."""
-    highest = entities.agg(F.coalesce(F.max("human_readable_id"), F.lit(0))).scalar()
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("subject"))
-    return missing.select(F.concat(F.lit("new-"), F.lower(F.replace(F.col("subject"), F.lit(" "), F.lit("-")))).alias("id"), (highest + place).alias("human_readable_id"), F.upper("subject").alias("title"), F.lit(kind).alias("type"))
+    """New entities for missing names (subject): id from the name, human_readable_ids on from the highest, in the names' order."""
+    highest = entities.agg(F.coalesce(F.max("human_readable_id"), F.lit(0))).first()[0]
+    placed = number_rows(missing, [], [F.col("subject")])
+    return placed.select(F.concat(F.lit("new-"), F.lower(F.replace(F.col("subject"), F.lit(" "), F.lit("-")))).alias("id"), (F.lit(highest) + F.col("row_no") + 1).alias("human_readable_id"), F.upper("subject").alias("title"), F.lit(kind).alias("type"))
+
+
+#: What links a backfilled state to entities of its documents, by their type: the label, and whether the state is the source.
+STATE_EDGES = {"DISTRIBUTOR": ("SERVES", False), "OBSERVATION": ("HAS_OBSERVATION", True)}
+
+
+def backfill_edges(entities: DataFrame, units: DataFrame, missing: DataFrame) -> DataFrame:
+    """Edges (source, target, label, n_units) of missing states (subject): from distributors, and to observations, that occur in a text unit of a document of the state.
+
+    ``units`` has id and state_name, one row per text unit; n_units counts the units that an edge rests on. Only the units of missing states travel, broadcast if they are few.
+    """
+    of_state = written(units.join(F.broadcast(missing.select(F.col("subject").alias("state_name")).distinct()), "state_name").select(F.col("id").alias("unit"), fold_title("state_name").alias("state")).distinct(), "units")
+    kind = F.upper(F.trim("type"))
+    held = entities.where(kind.isin(list(STATE_EDGES))).select(fold_title("title").alias("title"), kind.alias("type"), F.explode("text_unit_ids").alias("unit")).where("title IS NOT NULL").distinct()
+    met = held.join(small(of_state), "unit").groupBy("state", "title", "type").agg(F.countDistinct("unit").alias("n_units"))
+    label, first = None, None
+    for t, (name, state_first) in STATE_EDGES.items():
+        is_it = F.col("type") == t
+        label = F.when(is_it, name) if label is None else label.when(is_it, name)
+        first = F.when(is_it, F.lit(state_first)) if first is None else first.when(is_it, F.lit(state_first))
+    return met.select(F.when(first, F.col("state")).otherwise(F.col("title")).alias("source"), F.when(first, F.col("title")).otherwise(F.col("state")).alias("target"), label.alias("label"), "n_units")
+
+
+def unit_lists(units: DataFrame, missing: DataFrame, kind: str = "new-") -> DataFrame:
+    """Long form of what a backfilled state is added to: unit and the new entity's id, a row for each text unit of a document of a missing state."""
+    return units.join(F.broadcast(missing.select(F.col("subject").alias("state_name")).distinct()), "state_name").select(F.col("id").alias("unit"), F.concat(F.lit(kind), F.lower(F.replace(F.col("state_name"), F.lit(" "), F.lit("-")))).alias("entity_id")).distinct()
+
+
+#: Checks that merging, remapping, backfilling and removing can't settle, as they need someone's decision.
+KNOWN_REMAINING = ("dangling_edge", "category_unknown", "franchise_unknown", "forbidden_type", "orphaned_reference")
+
+
+def canonicalised(entities: DataFrame, relationships: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entities (id, human_readable_id, title, type) and relationships (id, source, target) after the whole run: forbidden entities without edges removed, titles merged, missing states backfilled with
+    their edges, and edges remapped and collapsed. Running it on its own result changes nothing."""
+    kept = without_removed(entities, relationships)
+    first = survivors(kept)
+    typed = kept.select("id", "human_readable_id", "type", fold_title("title").alias("title")).groupBy("title", "id").agg(F.min("type").alias("type"))
+    merged = written(first.join(typed, ["title", "id"]).select("id", "human_readable_id", "title", F.upper(F.trim("type")).alias("type")), "merged")
+    missing = written(missing_entities(documents.select("state_name"), merged, "STATE"), "missing")
+    new = backfill(entities, missing, "STATE").select("id", "human_readable_id", fold_title("title").alias("title"), "type")
+    edges = remap_relationships(relationships).select("id", "source", "target")
+    units = documents.where("state_name IS NOT NULL").select(F.concat(F.lit("tu-"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("id"), "state_name")
+    added = backfill_edges(kept, units, missing).select(F.concat_ws("|", F.lit("new"), "source", "target").alias("id"), "source", "target")
+    return merged.unionByName(new), edges.unionByName(added.join(edges.select("source", "target"), ["source", "target"], "left_anti"))
+
+
+def run_report(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Per check: n_before and n_after violations, and status: clean, known_remaining (none of the checks left is one the run should have settled), or failed (more than before, or left though settled by the run)."""
+    n = lambda d, c: d.groupBy("check").agg(F.count(F.lit(1)).alias(c))
+    both = n(before, "n_before").join(n(after, "n_after"), "check", "full").select("check", F.coalesce("n_before", F.lit(0)).alias("n_before"), F.coalesce("n_after", F.lit(0)).alias("n_after"))
+    known = F.col("check").isin(list(KNOWN_REMAINING)) & (F.col("n_after") <= F.col("n_before"))
+    return both.withColumn("status", F.when(F.col("n_after") == 0, "clean").when(known, "known_remaining").otherwise("failed"))

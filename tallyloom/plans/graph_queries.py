@@ -42,7 +42,12 @@ def _units(t: Tables) -> DataFrame:
     return t.documents.select(F.concat(F.lit("tu-"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("id"))
 
 
-@query()
+_REQUIRED = ", ".join(f"('{t}', '{c}')" for t, cols in graph.REQUIRED.items() for c in cols)
+_SIZES = " UNION ALL ".join(f"SELECT '{t}' AS subject, count(*) AS n_rows FROM {t}" for t in graph.REQUIRED)
+
+
+@query(f"""SELECT s.subject, n_rows, 'lacks ' || c AS detail FROM ({_SIZES}) s
+LEFT JOIN (SELECT t, c FROM (VALUES {_REQUIRED}) r(t, c) WHERE NOT EXISTS (SELECT 1 FROM duckdb_columns() d WHERE d.table_name = t AND d.column_name = c)) m ON m.t = s.subject""")
 def gv_01_schema(t):
     """The columns that each graph table lacks, with the table's rows."""
     have = {name: getattr(t, name) for name in graph.REQUIRED}
@@ -178,13 +183,19 @@ def _components(t):
     return graph.components(t.relationships.select(fold_title("source").alias("source"), fold_title("target").alias("target")))
 
 
-@query()
+#: Labels of nodes fall to the smallest within reach; a key keeps its last label, so the recursion ends when none falls further.
+_COMPONENTS = f"""WITH RECURSIVE ends AS (SELECT DISTINCT {_FOLD('source')} AS s, {_FOLD('target')} AS t FROM relationships WHERE {_FOLD('source')} IS NOT NULL AND {_FOLD('target')} IS NOT NULL),
+pairs AS MATERIALIZED (SELECT s AS a, t AS b FROM ends UNION SELECT t, s FROM ends), cc(node, component) USING KEY (node) AS (
+SELECT a, least(a, min(b)) FROM pairs GROUP BY a UNION SELECT p.a, min(l.component) FROM pairs p JOIN cc l ON l.node = p.b JOIN recurring.cc mine ON mine.node = p.a WHERE l.component < mine.component GROUP BY p.a)"""
+
+
+@query(f"{_COMPONENTS} SELECT node, component FROM cc")
 def gx_04_components(t):
     """Connected components of the graph of folded titles."""
     return _components(t)
 
 
-@query()
+@query(f"{_COMPONENTS} SELECT component, count(*) AS n_lost FROM cc JOIN (SELECT {_FOLD('title')} AS node FROM (SELECT DISTINCT id, {_FOLD('title')} AS title FROM entities) GROUP BY 1 HAVING count(*) > 1) USING (node) GROUP BY 1")
 def gc_04_affected(t):
     """Components with titles of which several entities were merged."""
     twice = t.entities.select("id", fold_title("title").alias("title")).distinct().groupBy("title").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
