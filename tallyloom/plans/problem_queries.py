@@ -161,6 +161,15 @@ cases AS (
   SELECT r.*, CASE WHEN p.k IS NULL THEN 'missing' WHEN p.a > r.loaded_at THEN 'early' WHEN p.u <= r.loaded_at THEN 'deleted' END AS reason
   FROM refs r LEFT JOIN parents p ON p.target = r.target AND p.k = r.k WHERE r.k IS NOT NULL)"""
 
+_LONG = f"""WITH {LINES_SQL}, {OUTLETS_SQL}, ours AS (SELECT * FROM lines WHERE outlet_id IS NOT NULL),
+everyone AS (SELECT outlet_id FROM known_outlets UNION SELECT outlet_id FROM ours), types AS (SELECT DISTINCT {_KEY('sku_id')} AS sku_id FROM products),
+marks AS (SELECT outlet_id, sku_id, order_date, qty_delivered FROM ours WHERE sku_id IN (SELECT sku_id FROM types) UNION ALL SELECT outlet_id, 'ALL', order_date, qty_delivered FROM ours)
+SELECT e.outlet_id, t.sku_id, count(m.outlet_id) AS n_lines, date_diff('day', max(m.order_date), DATE '2026-07-31') AS days_since, CAST(coalesce(sum(m.qty_delivered), 0) AS BIGINT) AS qty_delivered
+FROM everyone e CROSS JOIN (SELECT sku_id FROM types UNION ALL SELECT 'ALL') t LEFT JOIN marks m ON m.outlet_id = e.outlet_id AND m.sku_id = t.sku_id GROUP BY e.outlet_id, t.sku_id"""
+_NAMED = "CASE WHEN sku_id = 'ALL' THEN '{0}' ELSE '{0}_' || sku_id END"
+_WIDE = f"""WITH cells AS MATERIALIZED ({_LONG}), named AS (SELECT outlet_id, {_NAMED.format('n')} AS name, n_lines AS v FROM cells UNION ALL SELECT outlet_id, {_NAMED.format('days')}, days_since FROM cells UNION ALL SELECT outlet_id, {_NAMED.format('total')}, qty_delivered FROM cells)
+SELECT * FROM (PIVOT named ON name USING max(v) GROUP BY outlet_id)"""
+
 ORACLES = {
     "p1_found": f"WITH {LINES_SQL} SELECT sku_id FROM lines WHERE sku_id IS NOT NULL GROUP BY sku_id HAVING count(*) >= {HOT_SHARE} * (SELECT count(*) FROM lines WHERE sku_id IS NOT NULL)",
     "p1_totals": f"WITH {LINES_SQL} SELECT sku_id, count(*) AS n_lines, CAST(coalesce(sum(qty_delivered), 0) AS BIGINT) AS qty_delivered FROM lines WHERE sku_id IS NOT NULL GROUP BY sku_id",
@@ -168,11 +177,8 @@ ORACLES = {
 FROM lines WHERE sku_id IS NOT NULL AND order_date IS NOT NULL WINDOW w AS (PARTITION BY sku_id ORDER BY order_date, line_id ROWS UNBOUNDED PRECEDING)""",
     "p2_found": f"{_ROLLING} SELECT outlet_id, strftime(day, '%Y-%m-%d') AS month_end FROM rolled WHERE day >= DATE '2024-08-01' AND day = last_day(day) AND total_7 = 0 AND total_30 > 0",
     "p2_rolling": f"{_ROLLING} SELECT outlet_id, day, total_7, CAST(total_7 AS DOUBLE) / 7 AS avg_7, total_30, CAST(total_30 AS DOUBLE) / 30 AS avg_30 FROM rolled WHERE day >= DATE '2024-08-01'",
-    "p3_long": f"""WITH {LINES_SQL}, {OUTLETS_SQL}, ours AS (SELECT * FROM lines WHERE outlet_id IS NOT NULL),
-everyone AS (SELECT outlet_id FROM known_outlets UNION SELECT outlet_id FROM ours), types AS (SELECT DISTINCT {_KEY('sku_id')} AS sku_id FROM products),
-marks AS (SELECT outlet_id, sku_id, order_date, qty_delivered FROM ours WHERE sku_id IN (SELECT sku_id FROM types) UNION ALL SELECT outlet_id, 'ALL', order_date, qty_delivered FROM ours)
-SELECT e.outlet_id, t.sku_id, count(m.outlet_id) AS n_lines, date_diff('day', max(m.order_date), DATE '2026-07-31') AS days_since, CAST(coalesce(sum(m.qty_delivered), 0) AS BIGINT) AS qty_delivered
-FROM everyone e CROSS JOIN (SELECT sku_id FROM types UNION ALL SELECT 'ALL') t LEFT JOIN marks m ON m.outlet_id = e.outlet_id AND m.sku_id = t.sku_id GROUP BY e.outlet_id, t.sku_id""",
+    "p3_features": _WIDE,
+    "p3_long": _LONG,
     "p6_found": f"{_ORPHANS} SELECT DISTINCT table_name, field_name, record_id FROM cases WHERE reason IS NOT NULL",
     "p6_report": f"""{_ORPHANS} SELECT table_name, field_name, strftime(loaded_at, '%Y-%m') AS month, reason, count(DISTINCT record_id) AS n_records
 FROM cases WHERE reason IS NOT NULL GROUP BY ALL""",

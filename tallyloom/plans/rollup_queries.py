@@ -319,6 +319,13 @@ def dv_03_channel_metrics(w):
     return deviations(kpi.category_table(w, [*keys, "channel_type"], False), kpi.category_table(w, keys, False), keys, _CHANNEL_RULES)
 
 
+@query(_deviations_sql(_category_table("state_name, month, category_name, channel_type", False), _category_table("state_name, month, category_name"), "state_name, month, category_name, channel_type", "state_name, month, category_name", _CHANNEL_RULES).replace("gap > 10", "gap > 0.25"))
+def dv_03_channel_metrics_near(w):
+    """Channels off their category's value by more than a quarter of a point."""
+    keys = ["state_name", "month", "category_name"]
+    return deviations(kpi.category_table(w, [*keys, "channel_type"], False), kpi.category_table(w, keys, False), keys, _CHANNEL_RULES, 0.25)
+
+
 @query(f""", hits AS ({_WD_STATE_SQL}) SELECT state_name, month, string_agg(metric, ', ' ORDER BY metric) AS quiet_metrics FROM (SELECT DISTINCT state_name, month FROM ({_unit_table('state_name, month')})) s
 CROSS JOIN (SELECT unnest(['productivity', 'service_level', 'dropsize']) AS metric) m ANTI JOIN hits USING (state_name, month, metric) GROUP BY 1, 2""")
 def dv_02_no_hit_labels(w):
@@ -343,7 +350,7 @@ def dv_05_franchises(w):
 
 _STATE_METRICS = ["productivity", "service_level", "skus_per_transaction", "dropsize", "inventory_turns", "inventory_days"]
 _LONG = " UNION ALL ".join(f"SELECT state_name, month, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM a" for m in _STATE_METRICS)
-_PREVIOUS = f""", a AS ({_unit_table('state_name, month')}), l AS ({_LONG}),
+_PREVIOUS = f""", a AS MATERIALIZED ({_unit_table('state_name, month')}), l AS MATERIALIZED ({_LONG}),
 compared AS (SELECT x.state_name, x.month, x.metric, x.value, y.value AS previous, CASE WHEN x.value - y.value > 1e-9 THEN 'up' WHEN x.value - y.value < -1e-9 THEN 'down' WHEN x.value - y.value IS NOT NULL THEN 'flat' END AS direction
 FROM l x LEFT JOIN l y ON x.state_name = y.state_name AND x.metric = y.metric AND y.month = strftime(strptime(x.month || '-01', '%Y-%m-%d') - INTERVAL 1 MONTH, '%Y-%m'))"""
 

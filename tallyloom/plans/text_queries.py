@@ -12,7 +12,7 @@ from tallyloom.operators import documents, grounding, kpi, questions
 from tallyloom.plans import rollup_queries
 from tallyloom.plans.kpi_queries import _category_table, _sales, _unit_table
 from tallyloom.plans.rollup_queries import _WD_STATE_SQL
-from tallyloom.session import written
+from tallyloom.session import written_once
 from tallyloom.sources.warehouse import WAREHOUSE_SQL, Warehouse
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,9 +31,14 @@ def query(sql: str | None = None) -> Callable:
 
 
 def rendered(w: Warehouse) -> DataFrame:
-    keys = ["state_name", "month"]
-    off = rollup_queries._wd_state_deviations(w).join(w.outlets.select("wd_id", "wd_name").distinct(), "wd_id")
-    return written(documents.render(kpi.unit_table(w, keys), kpi.category_table(w, [*keys, "category_name"]), off), "documents")
+    """The documents of a folder, rendered once an application."""
+
+    def render() -> DataFrame:
+        keys = ["state_name", "month"]
+        off = rollup_queries._wd_state_deviations(w).join(w.outlets.select("wd_id", "wd_name").distinct(), "wd_id")
+        return documents.render(kpi.unit_table(w, keys), kpi.category_table(w, [*keys, "category_name"]), off)
+
+    return written_once(w.spark, "documents", w.sf_dir, render)
 
 
 _PCT, _NUM = "round({0} * 100, 1)", "round({0}, 2)"
@@ -59,6 +64,16 @@ def dv_06_document_texts(spark, sf_dir):
 
 
 QUERIES["dv_06_document_texts"] = dv_06_document_texts
+_PRINT = lambda c, pct: f"printf('%.1f', round({c} * 100, 1)) || '%'" if pct else f"printf('%.2f', round({c}, 2))"
+_PLACE = "' in ' || state_name || ', ' || strftime(strptime(month || '-01', '%Y-%m-%d'), '%B %Y')"
+_SENTENCES = lambda labels, sep, end: f"concat_ws('{sep}', " + ", ".join(f"CASE WHEN {m} IS NOT NULL THEN '{label} was ' || {_PRINT(m, pct)} || '{end}' END" for m, (label, pct) in labels.items()) + ")"
+_OFF_SQL = "CASE metric WHEN 'dropsize' THEN " + _PRINT("{0}", False) + " ELSE " + _PRINT("{0}", True) + " END"
+ORACLES["dv_06_document_texts"] = WAREHOUSE_SQL + f""", a AS ({_unit_table('state_name, month')}), c AS ({_category_table('state_name, month, category_name')}), hits AS ({_WD_STATE_SQL}),
+cp AS (SELECT state_name, month, string_agg('Category ' || category_name || {_PLACE} || ': ' || {_SENTENCES(documents.CATEGORY_LABELS, '; ', '')} || '.', chr(10) || chr(10) ORDER BY category_name) AS p FROM c GROUP BY 1, 2),
+dp AS (SELECT state_name, month, string_agg('Distributor ' || wd_name || ' was off on ' || CASE metric WHEN 'productivity' THEN 'Productivity' WHEN 'service_level' THEN 'Service Level' ELSE 'Dropsize' END || {_PLACE} || ': ' || {_OFF_SQL.format('value')} || ' against a state value of ' || {_OFF_SQL.format('peer_value')} || ', a gap of ' || printf('%.1f', round(gap, 1)) || '.', chr(10) || chr(10) ORDER BY metric, wd_id) AS p
+  FROM hits JOIN (SELECT DISTINCT wd_id, wd_name FROM sd_outlets) USING (wd_id) GROUP BY 1, 2)
+SELECT {_ID} AS doc_id, state_name, month, concat_ws(chr(10) || chr(10), 'State: ' || state_name || chr(10) || 'Period: ' || strftime(strptime(month || '-01', '%Y-%m-%d'), '%B %Y'), nullif({_SENTENCES(documents.STATE_LABELS, ' ', '.')}, ''), cp.p, dp.p) AS text
+FROM a LEFT JOIN cp USING (state_name, month) LEFT JOIN dp USING (state_name, month)"""
 
 
 @query(f"{_A} SELECT doc_id, state_name, month, metric, value FROM f")
@@ -163,6 +178,11 @@ def gr_42_coverage(w):
     return grounding.coverage(sold.withColumn("k", place).where("k <= 3"), sold, ["state_name", "month"], "category_name")
 
 
+_WHITE_SPLIT = "str_split(regexp_replace(regexp_replace(text, '([Vv][Ss])\\.', '\\1' || chr(2), 'g'), '([.!?])[ \\t\\n\\x0B\\f\\r]+|\\n\\n+', '\\1' || chr(1), 'g'), chr(1))"
+_HAS = lambda words: f"list_has_any(regexp_extract_all(lower(s), '[a-z]+'), [{', '.join(repr(x) for x in words)}])"
+ORACLES["gr_31_directions"] = f"""WITH s AS (SELECT month, replace(x, chr(2), '.') AS s FROM (SELECT month, unnest({_WHITE_SPLIT}) AS x FROM documents WHERE text IS NOT NULL) WHERE trim(x, ' ') <> '')
+SELECT month, CASE WHEN {_HAS(grounding.UP)} AND NOT {_HAS(grounding.DOWN)} THEN 'up' WHEN {_HAS(grounding.DOWN)} AND NOT {_HAS(grounding.UP)} THEN 'down' END AS direction, count(*) AS n_sentences,
+count(*) FILTER (regexp_matches(s, '{grounding.CAUSAL}')) AS n_causal, count(*) FILTER (regexp_matches(s, '{grounding.PRESCRIPTIVE}')) AS n_prescriptive FROM s GROUP BY 1, 2"""
 QUERIES["gr_31_directions"] = lambda spark, sf_dir: _directions(spark, sf_dir)
 
 

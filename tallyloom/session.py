@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from pyspark.sql import types as T
 BROADCAST_BYTES = 24 << 20
 
 _own_folder: dict[str, str] = {}
+_kept: dict[tuple[str, ...], DataFrame] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,6 +39,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_once(spark: SparkSession, name: str, sf_dir: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table of a data folder that several queries read, written at its first use in an application and read by the later ones."""
+    key = (spark.sparkContext.applicationId, name, sf_dir)
+    if key not in _kept:
+        _kept[key] = written(make(), name)
+    return _kept[key]
+
+
 def _bytes_of(field: T.StructField) -> Column:
     """What a value takes in a row: its text's bytes, or those of its JSON for nested values, and a word."""
     c = F.col(f"`{field.name}`")
@@ -65,5 +75,6 @@ def small(df: DataFrame, limit: int | None = None) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Deletes the tables that this application has written to the shared folder; results that still read them can't be used any more."""
+    _kept.clear()
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
