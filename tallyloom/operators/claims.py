@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.operators.grounding import TOLERANCE, direction_word, mentions, numbers_in, sentences_of, stem, tokens, value_in, words_present
+from tallyloom.operators.grounding import NUMBER, TOLERANCE, direction_word, mentions, numbers_in, sentences_of, stem, tokens, words_present
 
 # Word lists ---------------------------------------------------------------------------------------------------------------------------------
 #: Words that judge instead of stating a figure.
@@ -70,7 +70,7 @@ def without_tags(text: Column) -> Column:
 def cited_records(tag: Column) -> Column:
     """The records that a citation names, as an array of (dataset, id): 'Sources (3, 7); Reports (2)'. A bare id is one of sources; '+more' and blanks are none."""
     named = F.arrays_zip(F.regexp_extract_all(tag, F.lit(r"([A-Za-z][A-Za-z ]*?)\s*\(([^)]*)\)"), F.lit(1)).alias("d"), F.regexp_extract_all(tag, F.lit(r"([A-Za-z][A-Za-z ]*?)\s*\(([^)]*)\)"), F.lit(2)).alias("i"))
-    ids = lambda s: F.filter(F.transform(F.split(s, ","), F.btrim), lambda x: (x != "") & ~x.startswith("+"))
+    ids = lambda s: F.filter(F.transform(F.split(s, ","), lambda x: F.btrim(x)), lambda x: (x != "") & ~x.startswith("+"))
     each = F.flatten(F.transform(named, lambda n: F.transform(ids(n["i"]), lambda x: F.struct(dataset_name(n["d"]).alias("dataset"), x.alias("id")))))
     bare = F.transform(ids(tag), lambda x: F.struct(F.lit("sources").alias("dataset"), x.alias("id")))
     return F.when(F.size(named) > 0, each).otherwise(bare)
@@ -101,9 +101,18 @@ def is_cause(text: Column) -> Column:
     return text.rlike(CAUSE) & ~text.rlike(NO_CAUSE)
 
 
-def fused_names(entity: Column, text: Column) -> Column:
-    """Distributors that the text names and the entity holds, if it fuses two or more of them; a name within a longer one doesn't count. Else null."""
-    known = F.array_distinct(F.regexp_extract_all(text, F.lit(_OFF_NAMES), F.lit(1)))
+def names(text: Column, term: Column) -> Column:
+    """Whether a text names the term, in any case, not merely as part of a longer word or name."""
+    return mentions(text, term) & F.rlike(text, F.concat(F.lit(r"(?i)(?<![A-Za-z0-9])\Q"), term, F.lit(r"\E(?![A-Za-z0-9])")))
+
+
+def off_names(text: Column) -> Column:
+    """The distributors that a text says are off, as an array."""
+    return F.regexp_extract_all(text, F.lit(_OFF_NAMES), F.lit(1))
+
+
+def fused_names(entity: Column, known: Column) -> Column:
+    """Distributors of an array that the entity holds, if it fuses two or more of them; a name within a longer one doesn't count. Else null."""
     held = F.filter(known, lambda k: (F.length(k) >= 4) & F.contains(entity, k))
     alone = F.filter(held, lambda k: ~F.exists(held, lambda x: (x != k) & F.contains(x, k)))
     return F.when(F.size(alone) >= 2, F.array_join(F.array_sort(alone), ", "))
@@ -127,10 +136,20 @@ def evidence_index(sources: Mapping[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def resolved(claims: DataFrame, evidence: DataFrame) -> DataFrame:
-    """claim_id, dataset, id and text of each record that a claim's citations name and that exists."""
-    asked = claims.select("claim_id", F.explode("citations").alias("c")).select("claim_id", F.explode(cited_records(F.col("c"))).alias("r")).select("claim_id", "r.dataset", "r.id").distinct()
-    return asked.join(evidence, ["dataset", "id"])
+def evidence_sentences(evidence: DataFrame) -> DataFrame:
+    """dataset, id and each sentence of the evidence with what rules ask of it: its numbers, whether it states a deviation, a cause or a definition, the distributors it says are off, the stems of its judging words."""
+    s = F.col("s")
+    cut = evidence.select("dataset", "id", F.explode(sentences_of(F.col("text"))).alias("s"))
+    return cut.select("dataset", "id", "s", numbers_in(s).alias("numbers"), s.rlike(OFF).alias("off"), s.rlike(CAUSE).alias("cause"), s.rlike(DEFINES).alias("defines"), off_names(s).alias("off_names"), F.transform(qualitative_terms(s), stem).alias("stems"))
+
+
+def citations_of(rows: DataFrame, key: str, citations: str) -> DataFrame:
+    """key, dataset and id of each record that the citations of a row name."""
+    return rows.select(key, F.explode(citations).alias("c")).select(key, F.explode(cited_records(F.col("c"))).alias("r")).select(key, "r.dataset", "r.id").distinct()
+
+
+def near(numbers: Column, value: Column) -> Column:
+    return F.exists(numbers, lambda x: F.abs(x - value) <= TOLERANCE + 1e-9)
 
 
 # Claims
@@ -151,40 +170,40 @@ def validate_claims(claims: DataFrame, evidence: DataFrame, states: Sequence[str
     c = claims.withColumn("claim_type", claim_type()).withColumn("noun", group_noun(F.col("entity")))
     part = lambda i: F.nullif(F.regexp_extract("entity", pattern, i), F.lit(""))
     c = c.withColumn("p1", part(1)).withColumn("p2", part(2))
-    met = c.join(resolved(claims, evidence).select("claim_id", "text"), "claim_id")
-    text, col = F.col("text"), F.col
-    whole = lambda t, e: mentions(t, e)
-    both_parts = lambda t: mentions(t, col("p1")) & mentions(t, col("p2"))
-    of_entity = lambda t: F.coalesce(whole(t, col("entity")), F.lit(True)) | F.coalesce(both_parts(t), F.lit(False))
+    met = c.join(citations_of(claims, "claim_id", "citations"), "claim_id").join(evidence_sentences(evidence), ["dataset", "id"])
+    text, col = F.col("s"), F.col
+    yes = lambda c: F.coalesce(c, F.lit(False))
     if_given = lambda c, test: F.when(c.isNotNull(), test).otherwise(F.lit(True))
-    fact = lambda value, entity, period: F.exists(
-        sentences_of(text), lambda s: value_in(s, value) & entity(s) & if_given(col("metric"), words_present(s, col("metric"))) & if_given(period, mentions(s, period))
-    )
+    parts = yes(names(text, col("p1")) & names(text, col("p2")))
     other = F.coalesce("comparison_entity", "entity")
+    has_metric = if_given(col("metric"), words_present(text, col("metric")))
+    fact = near(col("numbers"), col("value")) & (if_given(col("entity"), names(text, col("entity"))) | parts) & has_metric & if_given(col("period"), mentions(text, col("period")))
+    other_period = F.coalesce("comparison_period", "period")
+    other_fact = near(col("numbers"), col("comparison_value")) & (if_given(other, names(text, other)) | (parts & col("comparison_entity").isNull())) & has_metric & if_given(other_period, mentions(text, other_period))
     flags = met.groupBy("claim_id").agg(
-        F.bool_or(value_in(text, col("value"))).alias("has_value"),
-        F.bool_or(value_in(text, col("comparison_value"))).alias("has_other_value"),
-        F.bool_or(mentions(text, col("entity"))).alias("has_entity"),
-        F.bool_or(mentions(text, col("p1"))).alias("has_p1"),
-        F.bool_or(mentions(text, col("p2"))).alias("has_p2"),
+        F.bool_or(near(col("numbers"), col("value"))).alias("has_value"),
+        F.bool_or(near(col("numbers"), col("comparison_value"))).alias("has_other_value"),
+        F.bool_or(names(text, col("entity"))).alias("has_entity"),
+        F.bool_or(names(text, col("p1"))).alias("has_p1"),
+        F.bool_or(names(text, col("p2"))).alias("has_p2"),
         F.sum(word_count(text, col("noun")) + word_count(text, singular(col("noun")))).alias("n_noun"),
-        F.max(fused_names(col("entity"), text)).alias("fused"),
-        F.bool_or(fact(col("value"), of_entity, col("period"))).alias("has_fact"),
-        F.bool_or(fact(col("comparison_value"), lambda s: if_given(other, mentions(s, other)) | F.coalesce(both_parts(s) & col("comparison_entity").isNull(), F.lit(False)), F.coalesce("comparison_period", "period"))).alias("has_other_fact"),
-        F.bool_or(mentions(text, col("comparison_entity"))).alias("has_other_entity"),
+        F.array_distinct(F.flatten(F.collect_list(F.filter("off_names", lambda n: F.contains(col("entity"), n))))).alias("held"),  # names within the claim's own entity
+        F.bool_or(fact).alias("has_fact"),
+        F.bool_or(other_fact).alias("has_other_fact"),
+        F.bool_or(names(text, col("comparison_entity"))).alias("has_other_entity"),
         F.bool_or(mentions(text, col("period"))).alias("has_period"),
         F.bool_or(mentions(text, col("comparison_period"))).alias("has_other_period"),
-        F.bool_or(text.rlike(OFF)).alias("has_off"),
-        F.bool_or(text.rlike(CAUSE)).alias("has_cause"),
-        F.array_distinct(F.flatten(F.collect_list(F.transform(qualitative_terms(text), stem)))).alias("stems"),  # of a bounded word list
+        F.bool_or("off").alias("has_off"),
+        F.bool_or("cause").alias("has_cause"),
+        F.array_distinct(F.flatten(F.collect_set("stems"))).alias("stems"),  # of a bounded word list
     )
-    j = c.join(flags, "claim_id", "left")
-    later = F.try_to_date(col("comparison_period"), F.lit("MMMM yyyy")) > F.try_to_date(col("period"), F.lit("MMMM yyyy"))
+    j = c.join(flags, "claim_id", "left").withColumn("fused", fused_names(F.col("entity"), F.col("held")))
+    later = F.try_to_date("comparison_period", "MMMM yyyy") > F.try_to_date("period", "MMMM yyyy")
     change = F.when(later, col("comparison_value") - col("value")).otherwise(col("value") - col("comparison_value"))
     actual = F.when(change > 1e-9, "up").when(change < -1e-9, "down").when(change.isNotNull(), "flat")
     trend = col("claim_type").isin("trend", "comparison")
     gap = F.when(col("metric").contains("Dropsize") & (col("claim_type") == "deviation"), F.try_divide(F.abs(change), F.abs("comparison_value")) * 100).otherwise(F.abs(change))
-    no = lambda c: ~F.coalesce(c, F.lit(False))
+    no = lambda c: ~yes(c)
     named_one = col("entity").isNotNull() & col("noun").isNull()
     composite = named_one & no(col("has_entity")) & col("p1").isNotNull()
     rules = [
@@ -231,18 +250,18 @@ def entity_numbers(sentences: DataFrame, names: DataFrame) -> DataFrame:
     months = r"(?i)\b(January|February|March|April|May|June|July|August|September|October|November|December) \d{4}\b"
     s = sentences.select("answer_id", "pos", F.regexp_replace("sentence", months, "$1").alias("sentence"))
     held = s.join(names.distinct(), "answer_id").where(F.contains("sentence", F.col("entity")))
-    # A name within a longer one that stands in the sentence isn't named.
-    found = held.groupBy("answer_id", "pos", "sentence").agg(F.collect_set("entity").alias("es"))
-    spans = found.withColumn("es", F.filter("es", lambda e: ~F.exists("es", lambda x: (x != e) & F.contains(x, e))))
-    named = s.join(spans.drop("sentence"), ["answer_id", "pos"], "left")
-    last = F.try_element_at(F.array_sort(F.transform("es", lambda e: F.struct((F.length("sentence") - F.length(F.substring_index("sentence", e, -1))).alias("at"), e.alias("e")))), F.lit(-1))["e"]
+    spans = held.groupBy("answer_id", "pos").agg(F.collect_set("entity").alias("es"))
+    named = s.join(spans, ["answer_id", "pos"], "left")
+    ends = lambda text, e: F.length(text) - F.length(F.call_function("substring_index", text, e, F.lit(-1)))  # where a name last ends
+    at = lambda text, e: F.struct(ends(text, e).alias("at"), F.length(e).alias("n"), e.alias("e"))  # of names that end at one place, the longest is the one
+    last = F.try_element_at(F.array_sort(F.transform("es", lambda e: at(F.col("sentence"), e))), F.lit(-1))["e"]
     before = Window.partitionBy("answer_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     carried = named.withColumn("prior", F.last(F.when(F.size("es") > 0, last), True).over(before))
-    pieces = F.regexp_extract_all("sentence", F.lit(r"(.*?)(-?\d+(?:,\d{3})*(?:\.\d+)?)"), F.lit(1))
-    numbers = carried.withColumn("n", numbers_in(F.col("sentence"))).where("size(n) > 0").withColumn("p", pieces)
-    each = numbers.select("answer_id", "pos", "es", "prior", F.posexplode("n").alias("i", "number"), "p")
-    lead = F.array_join(F.slice("p", F.lit(1), F.col("i") + 1), "\u0001")  # all that stands before the number, without numbers
-    near = F.filter(F.transform(F.coalesce("es", F.array().cast("array<string>")), lambda e: F.struct((F.length(lead) - F.length(F.substring_index(lead, e, -1))).alias("at"), e.alias("e"))), lambda x: F.contains(lead, x["e"]))
+    part = lambda i: F.regexp_extract_all("sentence", F.lit(rf"(?s)(.*?)({NUMBER})"), F.lit(i))  # what stands before a number, and the number; digits of a name are none
+    numbers = carried.select("answer_id", "pos", "es", "prior", part(1).alias("p"), F.posexplode(part(2)).alias("i", "n"))
+    each = numbers.withColumn("number", F.replace(F.col("n"), F.lit(","), F.lit("")).cast("double"))
+    lead = F.array_join(F.slice("p", F.lit(1), F.col("i") + 1), "\u0001")  # all that stands before the number
+    near = F.filter(F.transform(F.coalesce("es", F.array().cast("array<string>")), lambda e: at(lead, e)), lambda x: F.contains(lead, x["e"]))
     return each.select("answer_id", "pos", "number", F.coalesce(F.try_element_at(F.array_sort(near), F.lit(-1))["e"], F.col("prior")).alias("entity"))
 
 
@@ -268,15 +287,15 @@ def scan_language(sentences: DataFrame, evidence: DataFrame) -> DataFrame:
     Judging words must share their stem with the evidence that the sentence cites; causes and definitions must be the evidence's too; numbers in a recommendation must be stated there; and no abbreviation
     may be expanded wrongly. A sentence that cites nothing that exists has no evidence, and fails where it needs some.
     """
-    kept = sentences.withColumn("key", F.struct("answer_id", "pos"))
-    asked = kept.select("key", F.explode("tags").alias("t")).select("key", F.explode(cited_records(F.col("t"))).alias("r")).select("key", "r.dataset", "r.id").distinct().join(evidence, ["dataset", "id"])
-    needed = asked.join(kept.select("key", "sentence"), "key")
-    text, s = F.col("text"), F.col("sentence")
+    kept = sentences.withColumn("key", F.struct("answer_id", "pos")).withColumn("own", numbers_in(F.col("sentence")))
+    asked = citations_of(kept, "key", "tags").join(evidence_sentences(evidence), ["dataset", "id"])
+    needed = asked.join(kept.select("key", "own"), "key")
+    s = F.col("sentence")
     of = needed.groupBy("key").agg(
-        F.array_distinct(F.flatten(F.collect_list(F.transform(qualitative_terms(text), stem)))).alias("stems"),  # of a bounded word list
-        F.bool_or(text.rlike(CAUSE)).alias("has_cause"),
-        F.bool_or(text.rlike(DEFINES)).alias("has_definition"),
-        F.array_distinct(F.flatten(F.collect_list(F.filter(numbers_in(s), lambda n: value_in(text, n))))).alias("stated"),  # of the sentence's own numbers
+        F.array_distinct(F.flatten(F.collect_set("stems"))).alias("stems"),  # of a bounded word list
+        F.bool_or("cause").alias("has_cause"),
+        F.bool_or("defines").alias("has_definition"),
+        F.array_distinct(F.flatten(F.collect_list(F.filter("own", lambda n: near(F.col("numbers"), n))))).alias("stated"),  # of the sentence's own numbers
     )
     j = kept.join(of, "key", "left")
     none = lambda t: F.array().cast(f"array<{t}>")
@@ -285,5 +304,5 @@ def scan_language(sentences: DataFrame, evidence: DataFrame) -> DataFrame:
     wrong = [F.when(s.rlike(rf"\b{a}\b") & F.contains(F.lower(s), F.lit(w)), issue("wrong_expansion", F.lit(f"{a}: {w}"))) for a, w in WRONG_EXPANSIONS]
     single = F.array_compact(F.array(F.when(is_cause(s) & no(F.col("has_cause")), issue("unsupported_cause", F.lit("cause"))), F.when(s.rlike(DEFINES) & no(F.col("has_definition")), issue("unsupported_definition", F.lit("definition"))), *wrong))
     judged = F.transform(unsupported_terms(s, F.coalesce("stems", none("string"))), lambda w: issue("unsupported_qualifier", w))
-    advice = F.when(s.rlike(AHEAD), F.transform(F.array_except(F.array_distinct(numbers_in(s)), F.coalesce("stated", none("double"))), lambda n: issue("unsupported_advice_number", n.cast("string")))).otherwise(F.array().cast("array<struct<issue_type: string, term: string>>"))
+    advice = F.when(s.rlike(AHEAD), F.transform(F.array_except(F.array_distinct("own"), F.coalesce("stated", none("double"))), lambda n: issue("unsupported_advice_number", n.cast("string")))).otherwise(F.array().cast("array<struct<issue_type: string, term: string>>"))
     return j.select("answer_id", "pos", F.explode(F.concat(single, judged, advice)).alias("i")).select("answer_id", "pos", "i.*")
