@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.keys import month_words, words_month
@@ -78,3 +78,60 @@ def fact_graph(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     links = facts.select(F.explode(edges).alias("e")).select("e.*").distinct()
     known = entities.where("type = 'PERIOD'").select(F.col("title").alias("target"))
     return entities, links.where("label <> 'PRECEDES'").unionByName(links.where("label = 'PRECEDES'").join(known, "target", "left_semi").select(links.columns))
+
+
+def glossary_rows(mentions: DataFrame, terms: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, id (glossary-...) and text of the terms that each text mentions. ``mentions`` has key and term; ``terms`` kind and term, a bounded list."""
+    known = terms.select("term", F.concat(F.lit("glossary-"), F.lower(F.replace("term", F.lit(" "), F.lit("-")))).alias("id"), F.concat("term", F.lit(": a "), F.lower("kind"), F.lit(" of the reference list.")).alias("text")).distinct()
+    return mentions.join(known, "term").select(key, "id", "text")
+
+
+def with_prefix(rows: DataFrame, prefix: str) -> DataFrame:
+    """The rows of evidence whose id begins with a prefix, such as glossary- or sku-ranking-."""
+    return rows.where(F.startswith("id", F.lit(prefix)))
+
+
+def context(key: str, parts: Mapping[str, DataFrame]) -> DataFrame:
+    """key, dataset, id and text of all evidence for each question: parts (key, id, text) by data set, in order of rank. A record that several parts bring stays in the first; records without text are left out."""
+    frames = [d.select(key, F.lit(i).alias("rank"), F.lit(n).alias("dataset"), F.col("id").cast("string").alias("id"), "text") for i, (n, d) in enumerate(parts.items())]
+    every = frames[0]
+    for f in frames[1:]:
+        every = every.unionByName(f)
+    best = every.where("text IS NOT NULL").groupBy(key, "id").agg(F.min(F.struct("rank", "dataset", "text")).alias("b"))
+    return best.select(key, "b.dataset", "id", "b.text")
+
+
+def source_id(state: Column, period: Column) -> Column:
+    """The id of evidence made for a state and a period: sku-STATE-period, blanks as underscores."""
+    return F.concat(F.lit("sku-"), F.translate(F.concat_ws("-", state, period), " ", "_"))
+
+
+def year_label(year: Column, n_months: Column) -> Column:
+    """A year as a period: '2025', or '2025 (5 months)' where not all are there."""
+    y = year.cast("string")
+    return F.when(n_months >= 12, y).otherwise(F.concat(y, F.lit(" ("), n_months.cast("string"), F.when(n_months == 1, " month)").otherwise(" months)")))
+
+
+def range_label(first: Column, last: Column) -> Column:
+    """'March 2025 to May 2026' of two months; one month stands alone; null without months."""
+    return F.when(first == last, month_words(first)).otherwise(F.concat(month_words(first), F.lit(" to "), month_words(last)))
+
+
+def first_document(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """The first document, by doc_id, of each asked state and month (state_name in any case); none where there is none."""
+    found = docs.select(F.upper("state_name").alias("state_name"), "month", "doc_id").groupBy("state_name", "month").agg(F.min("doc_id").alias("doc_id"))
+    return asked.select(F.upper("state_name").alias("state_name"), "month").distinct().join(found, ["state_name", "month"])
+
+
+def all_facts(kinds: Mapping[str, tuple[DataFrame, Column, Column]], doc_id: str = "doc_id") -> DataFrame:
+    """kind, doc_id, entity, metric and figures of facts of several kinds: each a data frame with doc_id and metric, its entity and its array of figures; null figures are left out."""
+    frames = [d.select(F.lit(k).alias("kind"), F.col(doc_id).alias("doc_id"), entity.cast("string").alias("entity"), "metric", F.array_compact(figures).alias("figures")) for k, (d, entity, figures) in kinds.items()]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def numbered_lists(facts: DataFrame) -> DataFrame:
+    """all_facts with fact_no, the number of a fact in its document's list of its kind, by entity and metric."""
+    return facts.withColumn("fact_no", F.row_number().over(Window.partitionBy("doc_id", "kind").orderBy("entity", "metric", "figures")))

@@ -67,3 +67,43 @@ def upsert(store: DataFrame, changes: DataFrame, key: str, gone: DataFrame | Non
     """A keyed store after changes: rows of ``changes`` replace those of the same key, and keys of ``gone`` are left out."""
     out = store.join(changes.select(key), key, "left_anti").unionByName(changes)
     return out if gone is None else out.join(gone.select(key), key, "left_anti")
+
+
+def write_document_subset(docs: DataFrame, folder: str, wanted: DataFrame) -> None:
+    """The documents of the wanted states and months (state_name, month) alone, without a manifest."""
+    docs.join(wanted.select("state_name", "month").distinct(), ["state_name", "month"], "left_semi").write.mode("overwrite").partitionBy("month").parquet(f"{folder}/documents")
+
+
+def write_text_files(docs: DataFrame, folder: str) -> None:
+    """Each document as a text of its own: a folder for each doc_id that holds its text in one file, and the manifest beside them."""
+    docs.select("doc_id", "text").write.mode("overwrite").option("lineSep", "\n").partitionBy("doc_id").text(f"{folder}/texts")
+    docs.select("doc_id", "state_name", "month").write.mode("overwrite").option("header", True).csv(f"{folder}/manifest")
+
+
+def write_preview(df: DataFrame, path: str, rows: int = 50) -> None:
+    """The first rows of a table as one CSV file: a preview, whose limit is its purpose."""
+    write_csv(df.limit(rows).coalesce(1), path)
+
+
+def read_preview(spark: SparkSession, folder: str, name: str, rows: int = 50) -> DataFrame | None:
+    """The first rows of folder/NAME, or None where there is none."""
+    df, there = read_table_if_there(spark, folder, name, "id string")
+    return df.limit(rows) if there else None
+
+
+#: The tables of an index, and those that may be missing.
+INDEX_TABLES, OPTIONAL_TABLES = ["entities", "relationships", "documents", "text_units", "communities", "community_reports"], ["covariates"]
+
+
+def read_index(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The tables of an index folder by name; a missing one raises, an optional one is just left out."""
+    found = {n: read_table_if_there(spark, folder, n, "id string") for n in [*INDEX_TABLES, *OPTIONAL_TABLES]}
+    if missing := [n for n in INDEX_TABLES if not found[n][1]]:
+        raise FileNotFoundError(f"{folder} lacks {', '.join(missing)}")
+    return {n: df for n, (df, there) in found.items() if there}
+
+
+def write_violations(violations: DataFrame, path: str) -> int:
+    """Violations as JSON lines; 1 if any is critical or high, else 0: the status to end with."""
+    violations.write.mode("overwrite").json(path)
+    return 1 if violations.where(F.col("severity").isin("critical", "high")).limit(1).count() else 0
