@@ -71,8 +71,9 @@ class _Runs:
     """First and last words of the runs of spaceless letters in a text, each run segmented once."""
 
     def __init__(self, text: str, lo: int, hi: int) -> None:
-        self.text, self.kana = text, bool(_KANA.search(text, lo, hi))
+        self.text = text
         self.runs = [(m.start(), m.end()) for m in _SPACELESS.finditer(text, lo, hi)]
+        self.kana = bool(self.runs and _KANA.search(text, lo, hi))
         self.starts, self.ends = [a for a, _ in self.runs], [b for _, b in self.runs]
         self.known: dict[int, list[str]] = {}
 
@@ -230,6 +231,8 @@ def _point(text: str, lo: int, at: int, after: int, hi: int) -> tuple[float, flo
 
 def _cluster(text: str, lo: int, at: int, marks: str, after: int, hi: int, runs: _Runs) -> tuple[float, float]:
     """Costs of the readings of a cluster of terminators at text[at], closed up to ``after``."""
+    if marks == ".":
+        return _point(text, lo, at, after, hi)
     nxt = _skip(text, after, hi)
     kind = _kind_at(text, nxt, hi)
     if any(c in "।॥۔|" for c in marks):
@@ -238,9 +241,7 @@ def _cluster(text: str, lo: int, at: int, marks: str, after: int, hi: int, runs:
         return 0.0, (FULL_STOP if any(c in "。｡" for c in marks) else OTHER_STOP) + runs.opening(nxt)
     if any(c in _STRONG for c in marks):
         return (4.0 if kind == "l" or nxt == after and kind in "D-" else 0.0), 2.5
-    if len(marks) > 1 or marks == "…":
-        return (0.0 if kind == "U" or kind == "D" and nxt > after else 4.0), 2.5
-    return _point(text, lo, at, after, hi)
+    return (0.0 if kind == "U" or kind == "D" and nxt > after else 4.0), 2.5
 
 
 def _back(text: str, lo: int, at: int) -> int:
