@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator, Mapping
+from collections.abc import Mapping
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.session import small, written
+from tallyloom.session import written
 
-#: Tokens of a block, most slots of a slice of the schedule, documents of a bucket, and most sources of a mix.
+#: Most tokens of a block, slots of a period of the schedule (at most a slot more for each source), documents of a bucket, and most sources of a mix.
 BLOCK_TOKENS, MOST_SLOTS, BUCKET_DOCS, MOST_SOURCES = 8192, 50_000, 50_000, 1000
 
 
@@ -37,38 +36,38 @@ def budgets(shares: Mapping[str, float], supply: Mapping[str, int], repeats: Map
     return drawn
 
 
-def schedule(blocks: list[int], done: list[int], at: int, to: int) -> Iterator[tuple[int, int, int]]:
-    """(slot, source, block) of the slots from ``at`` to before ``to`` of a mix of ``blocks`` blocks of each source, of which ``done`` were taken before slot ``at``.
+def earliest_deadline_first(blocks: list[int]) -> list[tuple[int, int, int]]:
+    """(slot, source, block) of a mix of ``blocks`` blocks of each source.
 
     Block k of a source with b of the n blocks is released at slot floor(k n / b) and due by ceil((k + 1) n / b); each slot takes, of the released blocks, the one due first. A source is
-    then never as much as a block away from its share. What is taken from a slot on depends only on what was taken before it, so a schedule may be cut anywhere.
+    then never as much as a block away from its share.
     """
-    n = sum(blocks)
+    n, out = sum(blocks), []
     due = lambda i, k: -(-(k + 1) * n // blocks[i])
-    waiting, ready = [(k * n // blocks[i], i, k) for i, k in enumerate(done) if k < blocks[i]], []
+    waiting, ready = [(0, i, 0) for i, b in enumerate(blocks) if b], []
     heapq.heapify(waiting)
-    for t in range(at, to):
+    for t in range(n):
         while waiting and (waiting[0][0] <= t or not ready):
             _, i, k = heapq.heappop(waiting)
             heapq.heappush(ready, (due(i, k), i, k))
         _, i, k = heapq.heappop(ready)
-        yield t, i, k
+        out.append((t, i, k))
         if k + 1 < blocks[i]:
             heapq.heappush(waiting, ((k + 1) * n // blocks[i], i, k + 1))
+    return out
 
 
-def earliest_deadline_first(blocks: list[int]) -> list[tuple[int, int, int]]:
-    """(slot, source, block) of the whole mix; see schedule()."""
-    return list(schedule(blocks, [0] * len(blocks), 0, sum(blocks)))
+def periods(blocks: list[int], slots: int) -> tuple[int, list[int]]:
+    """How many equal periods a mix of at least ``blocks`` blocks of each source has, and the blocks of each source in one, about ``slots`` in all.
 
-
-def slices(blocks: list[int], slots: int) -> Iterator[tuple[int, int, list[int]]]:
-    """First slot, end and blocks taken before of each slice of at most ``slots`` slots: one pass over the schedule that keeps a count per source."""
-    n, done = sum(blocks), [0] * len(blocks)
-    for t, i, _ in schedule(blocks, done[:], 0, n):
-        if t % slots == 0:
-            yield t, min(n, t + slots), done[:]
-        done[i] += 1
+    Every source gets a multiple of the number of periods, in blocks that are the smaller for it; so its share falls on a whole block at each period's end, no release or deadline reaches over it, and the
+    schedule of one period, repeated, is the schedule of the whole mix.
+    """
+    n = sum(blocks)
+    if n <= slots:
+        return 1, blocks
+    each = [-(-b * slots // n) for b in blocks]
+    return max(-(-b // q) for b, q in zip(blocks, each) if q), each
 
 
 def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -79,9 +78,9 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, bl
     every document at most max_repeats times; the whole source once before any second copy. What a source lacks, the others take over by their shares as far as they can. A source's last document may
     exceed its share by less than its own length. Repeated rows are documents of their own.
 
-    The source's tokens are prefix-summed in hash buckets of bounded size and cut to blocks of ``block_tokens``; each block has a release and a deadline from its source's share, and slots are given earliest
-    deadline first, with less than one block of deviation however long the mix is. The driver runs through the schedule once, keeping a count per source, and notes the counts at the edges of slices of
-    MOST_SLOTS slots; the executors write each slice's slots from its counts, so that no list as long as the mix is ever held. That pass takes time in proportion to the blocks.
+    The source's tokens are prefix-summed in hash buckets of bounded size and cut to equal blocks of at most ``block_tokens``; each block has a release and a deadline from its source's share, and slots are given earliest
+    deadline first, so that at any slot a source is less than one of its blocks from its share, however long the mix is. A long mix consists of equal periods (see ``periods``): one period of about MOST_SLOTS slots is
+    scheduled, and a block finds its slot by its place in its period, in a join with that bounded list.
     """
     spark = docs.sparkSession
     wanted = targets.select(source_name("source").alias("source"), "target_share", "max_repeats").where("source IS NOT NULL AND target_share > 0").groupBy("source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
@@ -98,8 +97,12 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, bl
     shares = {r["source"]: float(r["target_share"]) for r in rows}
     repeats = {r["source"]: int(r["max_repeats"] if r["max_repeats"] is not None else 1) for r in rows}
     drawn = budgets(shares, supply, repeats, sum(supply.values()) if total_tokens is None else total_tokens)
-    blocks = [-(-int(drawn[s]) // block_tokens) for s in names]
-    plan = spark.createDataFrame([(s, i, supply[s], -(-int(drawn[s]) // supply[s]), int(drawn[s]), blocks[i]) for i, s in enumerate(names) if drawn.get(s, 0) >= 1], "source string, source_no int, supply long, copies int, draw long, blocks long")
+    n_periods, each = periods([-(-int(drawn[s]) // block_tokens) for s in names], MOST_SLOTS)
+    plan = spark.createDataFrame(
+        [(s, i, supply[s], -(-int(drawn[s]) // supply[s]), int(drawn[s]), each[i], n_periods * each[i]) for i, s in enumerate(names) if drawn.get(s, 0) >= 1],
+        "source string, source_no int, supply long, copies int, draw long, each long, blocks long",
+    )
+    period = spark.createDataFrame(earliest_deadline_first(each) if sum(each) else [], "place long, source_no int, in_period long")
 
     inside = Window.partitionBy("source", "bucket").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     starts = hashed.withColumn("start", F.sum("n_tokens").over(inside) - F.col("n_tokens")).join(F.broadcast(before) if buckets <= 1000 else before, ["source", "bucket"])
@@ -108,16 +111,10 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, bl
         .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
         .withColumn("source_start", F.col("base") + F.col("start") + F.col("copy") * F.col("supply"))
         .where("source_start < draw")
-        .withColumn("block", F.floor(F.col("source_start") / block_tokens))
+        .withColumn("block", F.least(F.floor(F.col("source_start") / (F.col("draw") / F.col("blocks"))), F.col("blocks") - 1))
+        .withColumn("in_period", F.col("block") % F.col("each"))
     )
-    edges = spark.createDataFrame(slices(blocks, MOST_SLOTS), "at long, to long, done array<long>") if sum(blocks) else spark.createDataFrame([], "at long, to long, done array<long>")
-
-    def slots_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for at, to, done in zip(b["at"].tolist(), b["to"].tolist(), b["done"]):
-                yield pd.DataFrame(schedule(blocks, [int(x) for x in done], at, to), columns=["slot", "source_no", "block"])
-
-    timed = copies.join(small(written(edges.repartition(max(1, min(10_000, -(-sum(blocks) // MOST_SLOTS)))).mapInPandas(slots_of, "slot long, source_no int, block long"), "slots")), ["source_no", "block"])
+    timed = copies.join(F.broadcast(period), ["source_no", "in_period"]).withColumn("slot", F.floor(F.col("block") / F.col("each")) * sum(each) + F.col("place"))
     return timed.select("slot", "source", "doc_id", (F.col("copy") + 1).alias("copy_no"), "n_tokens", "source_start")
 
 

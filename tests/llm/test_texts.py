@@ -180,28 +180,38 @@ def test_schedule_is_never_a_block_off():
             assert all(abs(a * n - (t + 1) * b) < n for a, b in zip(at, blocks))
 
 
-@pytest.mark.parametrize("blocks", [[400] + [16] * 40, [3, 1, 777, 20, 20, 0, 500], [1]])
-def test_slices_give_the_whole_schedule(blocks):
-    from tallyloom.llm.mixing import schedule, slices
+@pytest.mark.parametrize("blocks", [[400] + [16] * 40, [3, 1, 777, 20, 20, 0, 500], [1], [6_000] + [4] * 100])
+@pytest.mark.parametrize("slots", [1, 50, 333, 10_000])
+def test_a_period_repeated_is_the_schedule_of_the_whole_mix(blocks, slots):
+    from tallyloom.llm.mixing import periods
 
-    for slots in (1, 50, 333, 10_000):
-        assert [x for at, to, done in slices(blocks, slots) for x in schedule(blocks, done, at, to)] == earliest_deadline_first(blocks)
+    n, each = periods(blocks, slots)
+    assert all(n * q >= b and (q > 0) == (b > 0) for q, b in zip(each, blocks)) and sum(each) <= max(slots, 1) + len(blocks)
+    one = earliest_deadline_first(each)
+    assert [(p * sum(each) + t, i, p * each[i] + k) for p in range(n) for t, i, k in one] == earliest_deadline_first([n * q for q in each])
 
 
-def test_a_long_mix_of_many_sources_is_never_a_block_off(spark, monkeypatch):
+@pytest.mark.parametrize("n_small, small_docs", [(40, 31), (500, 4), (6, 300)])
+def test_a_long_mix_of_many_sources_is_never_a_block_off(spark, monkeypatch, n_small, small_docs):
     from tallyloom.llm import mixing
 
     monkeypatch.setattr(mixing, "MOST_SLOTS", 100)
-    names = [f"s{i}" for i in range(41)]
-    n_docs = [800] + [31] * 40
-    docs = spark.createDataFrame([(1000 * i + k, names[i], 10) for i, n in enumerate(n_docs) for k in range(n)], "doc_id long, source string, n_tokens long")
+    names = [f"s{i}" for i in range(n_small + 1)]
+    n_docs = [800] + [small_docs] * n_small
+    docs = spark.createDataFrame([(1000 * i + k, names[i]) for i, n in enumerate(n_docs) for k in range(n)], "doc_id long, source string").withColumn("n_tokens", F.lit(1).cast("long"))
     targets = spark.createDataFrame([(s, n / sum(n_docs), 1) for s, n in zip(names, n_docs)], "source string, target_share double, max_repeats int")
-    rows = sorted(mix(docs, targets, block_tokens=10).collect(), key=lambda r: r.slot)
-    assert [r.slot for r in rows] == list(range(sum(n_docs)))
-    so_far = dict.fromkeys(names, 0)
+    rows = mix(docs, targets, block_tokens=10).collect()
+    assert len(rows) == sum(n_docs) == len({r.doc_id for r in rows})
+    each = mixing.periods([-(-n // 10) for n in n_docs], 100)
+    blocks = {s: each[0] * q for s, q in zip(names, each[1])}
+    slots = sum(blocks.values())
+    assert all(n / blocks[s] <= 10 for s, n in zip(names, n_docs)) and max(r.slot for r in rows) < slots
+    taken = np.zeros((len(names), slots))
     for r in rows:
-        so_far[r.source] += 1
-        assert all(abs(so_far[s] - (r.slot + 1) * n / sum(n_docs)) < 1 for s, n in zip(names, n_docs))
+        taken[int(r.source[1:]), r.slot] += 1
+    fluid = np.array(n_docs)[:, None] * np.arange(1, slots + 1)[None, :] / slots
+    size = np.array([n / blocks[s] for s, n in zip(names, n_docs)])[:, None]
+    assert (np.abs(taken.cumsum(axis=1) - fluid) < size + 1).all()  # less than a block, and the document that its edge cuts
 
 
 def test_budgets_pass_on_what_a_source_lacks():
