@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.operators.grounding import NUMBER, TOLERANCE, direction_word, mentions, numbers_in, sentences_of, stem, tokens, words_present
+from tallyloom.operators.grounding import NUMBER, TOLERANCE, direction_word, figures_in, mentions, sentences_of, stem, tokens, words_present
 
 # Word lists ---------------------------------------------------------------------------------------------------------------------------------
 #: Words that judge instead of stating a figure.
@@ -140,7 +140,7 @@ def evidence_sentences(evidence: DataFrame) -> DataFrame:
     """dataset, id and each sentence of the evidence with what rules ask of it: its numbers, whether it states a deviation, a cause or a definition, the distributors it says are off, the stems of its judging words."""
     s = F.col("s")
     cut = evidence.select("dataset", "id", F.explode(sentences_of(F.col("text"))).alias("s"))
-    return cut.select("dataset", "id", "s", numbers_in(s).alias("numbers"), s.rlike(OFF).alias("off"), s.rlike(CAUSE).alias("cause"), s.rlike(DEFINES).alias("defines"), off_names(s).alias("off_names"), F.transform(qualitative_terms(s), stem).alias("stems"))
+    return cut.select("dataset", "id", "s", figures_in(s).alias("numbers"), s.rlike(OFF).alias("off"), s.rlike(CAUSE).alias("cause"), s.rlike(DEFINES).alias("defines"), off_names(s).alias("off_names"), F.transform(qualitative_terms(s), stem).alias("stems"))
 
 
 def citations_of(rows: DataFrame, key: str, citations: str) -> DataFrame:
@@ -287,7 +287,7 @@ def scan_language(sentences: DataFrame, evidence: DataFrame) -> DataFrame:
     Judging words must share their stem with the evidence that the sentence cites; causes and definitions must be the evidence's too; numbers in a recommendation must be stated there; and no abbreviation
     may be expanded wrongly. A sentence that cites nothing that exists has no evidence, and fails where it needs some.
     """
-    kept = sentences.withColumn("key", F.struct("answer_id", "pos")).withColumn("own", numbers_in(F.col("sentence")))
+    kept = sentences.withColumn("key", F.struct("answer_id", "pos")).withColumn("own", figures_in(F.col("sentence")))
     asked = citations_of(kept, "key", "tags").join(evidence_sentences(evidence), ["dataset", "id"])
     needed = asked.join(kept.select("key", "own"), "key")
     s = F.col("sentence")

@@ -318,3 +318,17 @@ def run_report(before: DataFrame, after: DataFrame) -> DataFrame:
     both = n(before, "n_before").join(n(after, "n_after"), "check", "full").select("check", F.coalesce("n_before", F.lit(0)).alias("n_before"), F.coalesce("n_after", F.lit(0)).alias("n_after"))
     known = F.col("check").isin(list(KNOWN_REMAINING)) & (F.col("n_after") <= F.col("n_before"))
     return both.withColumn("status", F.when(F.col("n_after") == 0, "clean").when(known, "known_remaining").otherwise("failed"))
+
+
+def related_edges(found: DataFrame, entities: DataFrame, relationships: DataFrame, n: int) -> DataFrame:
+    """query_id, edge_id and place of the n heaviest edges at the entities that a search found (query_id, vec_id): of equal weights the lower id first, null weights last.
+
+    Edges are laid out by their ends and met by title; an edge that both of its ends bring counts once. What is ranked is cut to n of each query and end's title before, so a title at the end of very many edges brings n.
+    """
+    named = entities.select(F.col("human_readable_id").alias("vec_id"), fold_title("title").alias("title")).where("vec_id IS NOT NULL AND title IS NOT NULL").distinct()
+    ends = relationships.select("id", "weight", F.explode(F.array_distinct(F.array(fold_title("source"), fold_title("target")))).alias("title")).where("title IS NOT NULL").groupBy("id", "title").agg(F.max("weight").alias("weight"))
+    best = number_rows(ends, ["title"], [F.col("weight").desc_nulls_last(), F.col("id")], first=n).drop("row_no")
+    met = found.select("query_id", "vec_id").join(named, "vec_id").join(best, "title").groupBy("query_id", F.col("id").alias("edge_id")).agg(F.max("weight").alias("weight"))
+    w = Window.partitionBy("query_id").orderBy(F.col("weight").desc_nulls_last(), "edge_id")
+    return met.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).select("query_id", "edge_id", "place")
+

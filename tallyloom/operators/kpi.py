@@ -123,3 +123,16 @@ def sku_table(w: Warehouse) -> DataFrame:
     sales = sku_sales(w, keys).join(active_outlets(w, ["state_name"]).drop("weights"), "state_name", "left").join(w.products.select("sku_id", "sku_name"), "sku_id", "left")
     sales = sales.withColumn("numeric_distribution", ratio(F.col("billed_outlets"), F.col("outlets"))).drop("outlets")
     return outer([sales, oos(w, keys)], keys)
+
+
+def all_tables(w: Warehouse) -> dict[str, DataFrame]:
+    """The six KPI tables: by state and by distributor, each also with category, the first also with channel, and by SKU."""
+    state, wd = ["state_name", "month"], ["wd_id", "month"]
+    return {
+        "state_month": unit_table(w, state),
+        "state_month_category": category_table(w, [*state, "category_name"]),
+        "state_month_category_channel": category_table(w, [*state, "category_name", "channel_type"], False),
+        "wd_month": unit_table(w, wd),
+        "wd_month_category": category_table(w, [*wd, "category_name"]),
+        "state_month_sku": sku_table(w),
+    }

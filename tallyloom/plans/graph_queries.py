@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions.keys import fold_title
+from tallyloom.functions.tokens import token_chunks
 from tallyloom.operators import graph, vectors
 from tallyloom.plans.problem_queries import _FOLD
 from tallyloom.sources.tables import table
@@ -219,6 +220,24 @@ def gx_01_chunks(t):
     return vectors.word_chunks(t.documents, 100, 10).select("doc_id", "chunk_no", F.size(F.split("text", " ")).alias("n_words"))
 
 
+@query()
+def gx_01_token_chunks(t):
+    """Chunks of 1,200 tokens with an overlap of 100, over the whole texts."""
+    return token_chunks(t.documents)
+
+
+_NEAREST = """SELECT query_id, vec_id, similarity, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS place FROM (
+SELECT q.vec_id AS query_id, v.vec_id AS vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0)) WHERE place <= 10"""
+
+
+@query(f"""WITH near AS ({_NEAREST}), e AS (SELECT DISTINCT human_readable_id AS vec_id, {_FOLD('title')} AS title FROM entities WHERE human_readable_id IS NOT NULL AND {_FOLD('title')} IS NOT NULL),
+r AS (SELECT id, {_FOLD('source')} AS s, {_FOLD('target')} AS t, weight FROM relationships), met AS (SELECT query_id, r.id, max(weight) AS weight FROM near JOIN e USING (vec_id) JOIN r ON r.s = e.title OR r.t = e.title GROUP BY 1, 2)
+SELECT query_id, id AS edge_id, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC NULLS LAST, id) AS place FROM met) WHERE place <= 10""")
+def gx_08_local_search(t):
+    """The ten heaviest edges at the entities that a query's nearest vectors stand for, an entity's vector being that of its human_readable_id."""
+    return graph.related_edges(gx_08_nearest(t), t.entities, t.relationships, 10)
+
+
 @query("""SELECT query_id, vec_id, similarity, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS place FROM (
 SELECT q.vec_id AS query_id, v.vec_id AS vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0)) WHERE place <= 10""")
 def gx_08_nearest(t):

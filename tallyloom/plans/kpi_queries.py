@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyloom.operators import kpi
 from tallyloom.sources.warehouse import WAREHOUSE_SQL, Warehouse
@@ -118,3 +119,16 @@ _add(
     f"""SELECT * FROM (SELECT s.*, sku_name, {_ratio('billed_outlets', 'outlets')} AS numeric_distribution FROM ({_sales(_K)}) s LEFT JOIN ({_active('state_name')}) a USING (state_name)
 LEFT JOIN sd_products p USING (sku_id)) x FULL JOIN ({_oos(_K)}) o USING ({_K})""",
 )
+
+
+def _year_means(w: Warehouse) -> DataFrame:
+    """Distribution and out-of-stock rate of each SKU, averaged over the months of a year that have them."""
+    mean = lambda c: F.round(F.avg(c), 6).alias(c)
+    return kpi.sku_table(w).groupBy("state_name", F.substring("month", 1, 4).alias("year"), "sku_id").agg(mean("numeric_distribution"), mean("oos_pct"), F.count(F.lit(1)).alias("n_months"))
+
+
+_add(
+    "sk_02_state_year_means",
+    _year_means,
+    f"SELECT state_name, substr(month, 1, 4) AS year, sku_id, round(avg(numeric_distribution), 6) AS numeric_distribution, round(avg(oos_pct), 6) AS oos_pct, count(*) AS n_months FROM ({ORACLES['kpi_29_state_month_sku'].removeprefix(WAREHOUSE_SQL)}) t GROUP BY 1, 2, 3",
+)

@@ -11,6 +11,7 @@ from tallyloom.functions.keys import month_words
 from tallyloom.operators import kpi
 from tallyloom.operators.rollup import against_previous_month, deviations, extremes, pareto, pivot_sum, rank_fraction, tier_by_rank, units_revenue, with_shares, with_super_group
 from tallyloom.plans.kpi_queries import _category_table, _sales, _unit_table
+from tallyloom.session import written
 from tallyloom.sources.warehouse import WAREHOUSE_SQL, Warehouse
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,8 +85,15 @@ def ag_18_grouping_sets(w):
 
 @query("SELECT state_name, round((v - min(v) OVER ()) / (max(v) OVER () - min(v) OVER ()), 6) AS scaled FROM (SELECT state_name, sum(revenue) AS v FROM facts GROUP BY state_name)")
 def ag_23_min_max(w):
-    t, every = w.facts.groupBy("state_name").agg(F.sum("revenue").alias("v")), Window.partitionBy(F.lit(0))
-    return t.select("state_name", F.round((F.col("v") - F.min("v").over(every)) / (F.max("v").over(every) - F.min("v").over(every)), 6).alias("scaled"))
+    t = written(w.facts.groupBy("state_name").agg(F.sum("revenue").alias("v")), "totals")
+    lo, hi = t.agg(F.min("v"), F.max("v")).first()
+    return t.select("state_name", F.round(F.try_divide(F.col("v") - F.lit(lo), F.lit(hi) - F.lit(lo)), 6).alias("scaled"))
+
+
+@query("SELECT state_name, sum(qty_delivered) AS units, count(DISTINCT month) AS n_months FROM facts WHERE starts_with(month, '1995-') GROUP BY 1")
+def pf_06_year_prefix(w):
+    """Units of one year, its months found by their prefix; the filter reaches the orders' scan as one on the month's text."""
+    return w.facts.where(F.startswith("month", F.lit("1995-"))).groupBy("state_name").agg(F.sum("qty_delivered").alias("units"), F.countDistinct("month").alias("n_months"))
 
 
 @query("SELECT DISTINCT outlet_id, sku_id FROM facts f WHERE EXISTS (SELECT 1 FROM sd_visits v WHERE v.visit_id = f.order_id AND v.visit_outcome = 'Order Placed')")

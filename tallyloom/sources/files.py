@@ -19,6 +19,19 @@ CSV_SCHEMAS = {
 }
 
 
+_UNIT_KPIS = "productivity double, skus_per_transaction double, service_level double, dropsize double, inventory_turns double, inventory_days double"
+_CATEGORY_KPIS = "numeric_distribution double, acv double, range_billing double"
+#: Schemas of the KPI tables' CSV files; months stay text.
+KPI_SCHEMAS = {
+    "state_month": f"state_name string, month string, {_UNIT_KPIS}",
+    "state_month_category": f"state_name string, month string, category_name string, {_CATEGORY_KPIS}, oos_pct double",
+    "state_month_category_channel": f"state_name string, month string, category_name string, channel_type string, {_CATEGORY_KPIS}",
+    "wd_month": f"wd_id int, month string, {_UNIT_KPIS}",
+    "wd_month_category": f"wd_id int, month string, category_name string, {_CATEGORY_KPIS}, oos_pct double",
+    "state_month_sku": "state_name string, month string, sku_id long, qty_ordered double, qty_delivered double, revenue double, service_level double, billed_outlets long, sku_name string, numeric_distribution double, oos_pct double",
+}
+
+
 def read_csv(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     """A CSV table with a header, by an explicit schema; malformed cells are null."""
     return spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", False).csv(path)
@@ -33,6 +46,18 @@ def read_csv_tables(spark: SparkSession, folder: str, names: list[str] | None =
     return {n: read_csv(spark, f"{folder}/{n}.csv", CSV_SCHEMAS[n]) for n in names or CSV_SCHEMAS}
 
 
+def read_kpi_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The KPI tables that write_tables has written to folder/NAME as CSV."""
+    return {n: read_csv(spark, f"{folder}/{n}", schema) for n, schema in KPI_SCHEMAS.items()}
+
+
+def missing_tables(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
+    """A critical violation for each table that the folder lacks."""
+    lost = [(n,) for n in names if not read_table_if_there(spark, folder, n, "id string")[1]]
+    rows = spark.createDataFrame(lost, "subject string")
+    return rows.select(F.lit("missing_table").alias("check"), F.lit("critical").alias("severity"), "subject", F.lit("no such table").alias("detail"))
+
+
 def write_tables(tables: Mapping[str, DataFrame], folder: str, kind: str = "parquet") -> None:
     """Each table to folder/NAME, as parquet, json or csv: one data set for each sheet of a report."""
     for name, df in tables.items():

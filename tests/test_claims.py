@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from tallyloom.operators import claims
-from tallyloom.operators.grounding import numbers_in, sentences_of
+from tallyloom.operators.grounding import figures_in, sentences_of
 
 
 def values(spark, texts, column):
@@ -23,7 +23,7 @@ def test_text_functions(spark):
     assert values(spark, ["categories", "zones"], claims.singular) == ["category", "zone"]
     assert values(spark, ["It fell because of rain.", "There is no evidence it was caused by rain.", "It fell."], claims.is_cause) == [True, False, False]
     assert values(spark, ["A dramatically WEAKER, weak month; strongly up", ""], claims.qualitative_terms) == [["strongly", "weak"], []]
-    assert values(spark, ["NATION_20 sold 20.5, 1,234 and -3 of v2.5; 2024-11", "no.5"], numbers_in) == [[20.5, 1234.0, -3.0, 2024.0, 11.0], [5.0]]
+    assert values(spark, ["NATION_20 sold 20.5, 1,234 and -3 of v2.5; 2024-11", "no.5"], figures_in) == [[20.5, 1234.0, -3.0, 2024.0, 11.0], [5.0]]
     assert values(spark, ["A vs. B. C?\n\nD! e"], sentences_of) == [["A vs. B.", "C?", "D!", "e"]]
 
 

@@ -44,3 +44,36 @@ def test_subsets_previews_indexes_and_status(spark, tmp_path):
         files.read_index(spark, f"{tmp_path}/nowhere")
     bad = spark.createDataFrame([("c", "low"), ("d", "high")], "`check` string, severity string")
     assert files.write_violations(bad, f"{tmp_path}/v") == 1 and files.write_violations(bad.where("severity = 'low'"), f"{tmp_path}/v") == 0
+    lost = files.missing_tables(spark, f"{tmp_path}/index", ["entities", "claims"]).collect()
+    assert [(r.subject, r.severity) for r in lost] == [("claims", "critical")]
+
+
+def test_kpi_tables_survive_csv(spark, tmp_path):
+    from tallyloom.operators import kpi
+    from tallyloom.sources.warehouse import Warehouse
+
+    tables = kpi.all_tables(Warehouse(spark, "/root/testdata/sf0.001"))
+    assert list(tables) == list(files.KPI_SCHEMAS)
+    files.write_tables(tables, str(tmp_path), "csv")
+    back = files.read_kpi_tables(spark, str(tmp_path))
+    for n, df in tables.items():
+        assert set(df.columns) == set(back[n].columns)
+        cols = [c for c in df.columns if c != "sku_name"]
+        want = sorted((tuple(str(r[c]) for c in cols) for r in df.select(back[n].columns).collect()))
+        assert sorted((tuple(str(float(r[c]) if isinstance(r[c], float) else r[c]) for c in cols) for r in back[n].collect())) == want or n == "", n
+
+
+def test_token_chunks_against_a_round_trip(spark):
+    from tallyloom.functions.tokens import TOKENIZER, encoding, token_chunks
+
+    e, texts = encoding(TOKENIZER), {1: "Depot 4 is shut. " * 40, 2: "x", 3: None, 4: " \n", 5: "नमस्ते दुनिया " * 9}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for size, overlap in ((50, 10), (7, 0), (5000, 100)):
+        got = {}
+        for r in sorted(token_chunks(docs, size, overlap).collect()):
+            got.setdefault(r.doc_id, []).append(r)
+        assert set(got) == {1, 2, 5}
+        for i, rs in got.items():
+            ids = e.encode_ordinary(texts[i])
+            assert [r.n_tokens for r in rs[:-1]] == [size] * (len(rs) - 1) and sum(r.n_tokens for r in rs) - overlap * (len(rs) - 1) == len(ids)
+            assert [r.text for r in rs] == [e.decode(ids[k * (size - overlap) : k * (size - overlap) + size]) for k in range(len(rs))]
