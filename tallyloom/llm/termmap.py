@@ -11,7 +11,8 @@ from __future__ import annotations
 import re
 import unicodedata
 import uuid
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import pandas as pd
@@ -33,7 +34,7 @@ OTHER_NAMES = {
     ("TYPE", "FRANCHISE"): ["BRAND"],
     ("TYPE", "METRIC"): ["KPI", "METRIC NAME"],
     ("TYPE", "DOCUMENT"): ["FILE", "SOURCE DOCUMENT"],
-    ("METRIC", "PRODUCTIVITY"): ["PROD", "PRODUCTVTY"],
+    ("METRIC", "PRODUCTIVITY"): ["PROD"],
     ("METRIC", "SERVICE LEVEL"): ["SVC LEVEL", "SERV LEVEL", "SERVICE LVL"],
     ("METRIC", "SKUS PER TRANSACTION"): ["SKU PER TRANS", "SKUS PER TXN", "SKUS TRANSACTION"],
     ("METRIC", "INVENTORY TURNS"): ["INV TURNS", "INVTRY TURNS", "INVENTORY TURN"],
@@ -55,7 +56,22 @@ AROUND = {
 FIRM_ENDINGS = ["DISTRIBUTORS", "DISTRIBUTOR", "DISTRIBUTION", "DSTRBTRS", "DISTR", "DIST"]
 # --------------------------------------------------------------------------------------------------------------------------------------------
 
-_AROUND = {k: [re.compile(p) for p in ps] for k, ps in AROUND.items()}
+
+
+@dataclass(frozen=True)
+class Rules:
+    """What is known of a list's terms beyond their spelling: other names by kind and term, and patterns of what may be written around a term, by kind. The defaults serve sales vocabularies; give others for other lists."""
+
+    other_names: Mapping[tuple[str, str], Sequence[str]] = field(default_factory=lambda: OTHER_NAMES)
+    around: Mapping[str, Sequence[str]] = field(default_factory=lambda: AROUND)
+
+    def terms_in(self, kind: str, folded: str) -> list[str]:
+        """A folded value, and the term in it where something is written around it."""
+        found = [re.fullmatch(p, folded) for p in self.around.get(kind, [])]
+        return [folded, *(m.group(1).strip() for m in found if m)]
+
+
+RULES = Rules()
 _TITLE_KINDS = ("STATE", "PERIOD", "DISTRIBUTOR", "CATEGORY", "FRANCHISE", "METRIC")
 #: Most terms that are broadcast, entries of a shard beyond that, and values that one task looks up.
 BROADCAST_TERMS, SHARD_TERMS, TASK_VALUES = 20_000, 5_000, 1_000
@@ -217,16 +233,16 @@ def digits_of(key: str) -> str:
     return re.sub(r"\D", "", key)
 
 
-def entries_of(term_id: int, kind: str, term: str, single: bool) -> list[tuple[str, str, int, int, tuple[str, ...]]]:
+def entries_of(term_id: int, kind: str, term: str, single: bool, rules: Rules = RULES) -> list[tuple[str, str, int, int, tuple[str, ...]]]:
     """The entries of a term: (kind, key, term_id, slips allowed, words). ``single`` says that no other distributor has its first word."""
     out = []
-    for words, allowed in _spellings(kind, words_of(fold(term)), single):
+    for words, allowed in _spellings(kind, words_of(fold(term)), single, rules):
         if key := "".join(words):
             out.append((kind, key, term_id, _allowed(key, kind) if allowed is None else allowed, tuple(words)))
     return out
 
 
-def _spellings(kind: str, words: list[str], single: bool) -> Iterator[tuple[list[str], int | None]]:
+def _spellings(kind: str, words: list[str], single: bool, rules: Rules) -> Iterator[tuple[list[str], int | None]]:
     if kind == "DISTRIBUTOR":
         name = words[:-1] if len(words) > 1 and words[-1] in FIRM_ENDINGS else words
         yield name, None
@@ -236,7 +252,7 @@ def _spellings(kind: str, words: list[str], single: bool) -> Iterator[tuple[list
                 yield name[:1], 0
         return
     yield words, None
-    for other in OTHER_NAMES.get((kind, " ".join(words)), []):
+    for other in rules.other_names.get((kind, " ".join(words)), []):
         yield other.split(), 0
     if kind == "PERIOD" and len(words) == 2 and words[0] in MONTHS:
         month, year = words
@@ -247,11 +263,11 @@ def _spellings(kind: str, words: list[str], single: bool) -> Iterator[tuple[list
             yield short, 0
 
 
-def asked_forms(kind: str, value: str, states: Iterable[str] = (), rests: Iterable[str] = ()) -> list[tuple[tuple[str, ...], int]]:
+def asked_forms(kind: str, value: str, states: Iterable[str] = (), rests: Iterable[str] = (), rules: Rules = RULES) -> list[tuple[tuple[str, ...], int]]:
     """The words a value may be looked up by, and the slips already spent on what was taken off: its own, without what is written around a term, without a firm's ending, and for categories without a state's
     name before them, which is one of ``states`` or has been taken off already in ``rests``."""
     asked: list[tuple[tuple[str, ...], int]] = [((r,), 0) for r in rests]
-    for words in forms_of(kind, value):
+    for words in forms_of(kind, value, rules):
         if kind == "DISTRIBUTOR":
             if (firm := _firm(words)) is not None:
                 name = words[:-1] if "".join(words[:-1]) == firm[0] else words if "".join(words) == firm[0] else [firm[0]]
@@ -267,23 +283,23 @@ def asked_forms(kind: str, value: str, states: Iterable[str] = (), rests: Iterab
 class TermIndex:
     """All terms of a list, ready for look-ups."""
 
-    def __init__(self, terms: Iterable[tuple[int, str, str]]) -> None:
+    def __init__(self, terms: Iterable[tuple[int, str, str]], rules: Rules = RULES) -> None:
+        self.rules = rules
         terms = sorted({(i, k, t) for i, k, t in terms if k and t})
         self.states = sorted(("".join(words_of(fold(t))) for _, k, t in terms if k == "STATE"), key=len, reverse=True)
         firsts = single_firsts(terms)
-        self.entries = Entries(e for i, k, t in terms for e in entries_of(i, k, t, (words_of(fold(t)) or [""])[0] in firsts))
+        self.entries = Entries(e for i, k, t in terms for e in entries_of(i, k, t, (words_of(fold(t)) or [""])[0] in firsts, rules))
 
     def lookup(self, kind: str, value: str) -> tuple[int, int] | None:
         """Slips and id of the term of the kind that the value means, or None."""
-        found = [x for words, spent in asked_forms(kind, value, self.states) if (x := self.entries.closest(kind, words, spent)) is not None]
+        found = [x for words, spent in asked_forms(kind, value, self.states, rules=self.rules) if (x := self.entries.closest(kind, words, spent)) is not None]
         return min(found) if found else None
 
 
-def forms_of(kind: str, value: str) -> list[list[str]]:
+def forms_of(kind: str, value: str, rules: Rules = RULES) -> list[list[str]]:
     """The words of a value, and of the term in it where something is written around it."""
     folded = fold(value).replace("®", "").strip().strip("\"'“”«»").strip()
-    found = [p.fullmatch(folded) for p in _AROUND.get(kind, [])]
-    return [words_of(form) for form in [folded, *(m.group(1).strip() for m in found if m)]]
+    return [words_of(form) for form in rules.terms_in(kind, folded)]
 
 
 def single_firsts(terms: Iterable[tuple[int, str, str]]) -> frozenset[str]:
@@ -308,7 +324,7 @@ def _with_single(known: DataFrame) -> DataFrame:
     return firsts.join(single, "first", "left").select("term_id", "kind", "term", "single")
 
 
-def _with_rests(asked: DataFrame, known: DataFrame) -> DataFrame:
+def _with_rests(asked: DataFrame, known: DataFrame, rules: Rules) -> DataFrame:
     """Values with ``rests``: what follows the name of any state of the whole list in a category's value; the value's beginnings are looked up among the states by equality."""
 
     def names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -320,7 +336,7 @@ def _with_rests(asked: DataFrame, known: DataFrame) -> DataFrame:
 
     def halves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            wholes = [(v, w) for v in b["value"] for w in {"".join(f) for f in forms_of("CATEGORY", v)}]
+            wholes = [(v, w) for v in b["value"] for w in {"".join(f) for f in forms_of("CATEGORY", v, rules)}]
             yield pd.DataFrame([(v, w[:n], w[n:]) for v, w in wholes for n in lengths if n < len(w)], columns=["value", "state", "rest"])
 
     cut = asked.where("kind = 'CATEGORY'").select("value").mapInPandas(halves, "value string, state string, rest string")
@@ -331,15 +347,15 @@ def _with_rests(asked: DataFrame, known: DataFrame) -> DataFrame:
 _indexes: dict[str, TermIndex] = {}
 
 
-def _index_of(token: str, held) -> TermIndex:
+def _index_of(token: str, held, rules: Rules) -> TermIndex:
     """The index of a broadcast list, built once in each worker process; the one before it is let go."""
     if token not in _indexes:
         _indexes.clear()
-        _indexes[token] = TermIndex(held.value)
+        _indexes[token] = TermIndex(held.value, rules)
     return _indexes[token]
 
 
-def map_values(values: DataFrame, terms: DataFrame, broadcast_terms: int = BROADCAST_TERMS, shard_terms: int = SHARD_TERMS) -> DataFrame:
+def map_values(values: DataFrame, terms: DataFrame, broadcast_terms: int = BROADCAST_TERMS, shard_terms: int = SHARD_TERMS, rules: Rules = RULES) -> DataFrame:
     """For each distinct (kind, value): term_id of the entry of that kind it means, or 0, and ``slips``, the slips found (null for 0).
 
     ``values`` has kind and value, ``terms`` has term_id, kind, term. Null or blank values and null kinds are left out; kinds without terms match nothing; among equally close
@@ -350,11 +366,11 @@ def map_values(values: DataFrame, terms: DataFrame, broadcast_terms: int = BROAD
     known = terms.select("term_id", "kind", "term").where(F.col("term").isNotNull() & F.col("kind").isNotNull()).distinct()
     n_values, n_terms = asked.count(), known.count()
     if n_terms > broadcast_terms:
-        return _map_sharded(asked, known, shard_terms)
+        return _map_sharded(asked, known, shard_terms, rules)
     held, token = spark.sparkContext.broadcast([tuple(r) for r in known.collect()]), uuid.uuid4().hex
 
     def by_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = _index_of(token, held)
+        index = _index_of(token, held, rules)
         for b in batches:
             got = [index.lookup(k, v) for k, v in zip(b["kind"], b["value"])]
             yield pd.DataFrame({"kind": b["kind"], "value": b["value"], "slips": pd.array([g[0] if g else None for g in got], "Int32"), "term_id": pd.array([g[1] if g else 0 for g in got], "int64")})
@@ -362,7 +378,7 @@ def map_values(values: DataFrame, terms: DataFrame, broadcast_terms: int = BROAD
     return asked.repartition(max(1, -(-n_values // TASK_VALUES))).mapInPandas(by_batch, "kind string, value string, slips int, term_id long")
 
 
-def _map_sharded(asked: DataFrame, known: DataFrame, shard_terms: int) -> DataFrame:
+def _map_sharded(asked: DataFrame, known: DataFrame, shard_terms: int, rules: Rules) -> DataFrame:
     """map_values() for more terms than can be broadcast.
 
     Entries and the forms of values are laid out as rows. Entries are sharded by kind, digits and length, and dealt further by a hash where such a cell has over ``shard_terms``; a form goes
@@ -373,16 +389,16 @@ def _map_sharded(asked: DataFrame, known: DataFrame, shard_terms: int) -> DataFr
 
     def lay_entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(k, digits_of(key), len(key), key, i, n, list(w)) for t, kind, term, single in b.itertuples(index=False) for k, key, i, n, w in entries_of(t, kind, term, single is not None)]
+            rows = [(k, digits_of(key), len(key), key, i, n, list(w)) for t, kind, term, single in b.itertuples(index=False) for k, key, i, n, w in entries_of(t, kind, term, single is not None, rules)]
             yield pd.DataFrame(rows, columns=[*cell, "key", "term_id", "allowed", "words"])
 
     def lay_forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(k, v, list(w), spent, digits_of("".join(w)), len("".join(w))) for k, v, rests in zip(b["kind"], b["value"], b["rests"]) for w, spent in asked_forms(k, v, rests=rests)]
+            rows = [(k, v, list(w), spent, digits_of("".join(w)), len("".join(w))) for k, v, rests in zip(b["kind"], b["value"], b["rests"]) for w, spent in asked_forms(k, v, rests=rests, rules=rules)]
             yield pd.DataFrame(rows, columns=["kind", "value", "words", "spent", "digits", "own"])
 
     entries = written(_with_single(known).mapInPandas(lay_entries, "kind string, digits string, length int, key string, term_id long, allowed int, words array<string>"), "entries")
-    laid = written(_with_rests(asked, known).mapInPandas(lay_forms, "kind string, value string, words array<string>, spent int, digits string, own int"), "forms")
+    laid = written(_with_rests(asked, known, rules).mapInPandas(lay_forms, "kind string, value string, words array<string>, spent int, digits string, own int"), "forms")
     forms = laid.withColumn("length", F.explode(F.sequence(F.col("own") - MOST_SLIPS, F.col("own") + MOST_SLIPS)))
     sizes = entries.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / shard_terms).cast("int").alias("shards"))
     needs = forms.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / TASK_VALUES).cast("int").alias("parts"))
@@ -403,19 +419,19 @@ def _map_sharded(asked: DataFrame, known: DataFrame, shard_terms: int) -> DataFr
     return asked.join(winner, ["kind", "value"], "left").select("kind", "value", F.col("w.slips").alias("slips"), F.coalesce("w.term_id", F.lit(0).cast("long")).alias("term_id"))
 
 
-def map_entities(entities: DataFrame, terms: DataFrame) -> DataFrame:
+def map_entities(entities: DataFrame, terms: DataFrame, rules: Rules = RULES) -> DataFrame:
     """Every typed value of entities with the term it means: entity_id, field_name (type or title), kind, value, term_id (0: none), exact.
 
     A type is looked up among the terms of kind TYPE; a title among those of the kind its type means, if that kind has terms of its own (STATE, PERIOD, DISTRIBUTOR, CATEGORY,
     FRANCHISE, METRIC). ``exact`` says that the value is a term as it stands. Null and blank values give no row; repeated rows of an id give one.
     """
     rows = entities.select(F.col("id").alias("entity_id"), "type", "title")
-    types = map_values(rows.select(F.lit("TYPE").alias("kind"), F.col("type").alias("value")), terms)
+    types = map_values(rows.select(F.lit("TYPE").alias("kind"), F.col("type").alias("value")), terms, rules=rules)
     names = written(terms.where("kind = 'TYPE'").select(F.col("term_id").alias("type_id"), F.upper("term").alias("title_kind")).distinct(), "names")
     kinds = written(types.withColumnRenamed("term_id", "type_id").join(small(names), "type_id", "left").select(F.col("value").alias("type"), "type_id", "title_kind"), "kinds")
     typed = rows.join(small(kinds), "type")
     titled = typed.where(F.col("title_kind").isin(*_TITLE_KINDS)).select("entity_id", F.col("title_kind").alias("kind"), F.col("title").alias("value"))
-    meant = written(map_values(titled, terms), "meant")
+    meant = written(map_values(titled, terms, rules=rules), "meant")
     titles = titled.join(small(meant), ["kind", "value"]).select("entity_id", F.lit("title").alias("field_name"), "kind", "value", "term_id")
     both = typed.select("entity_id", F.lit("type").alias("field_name"), F.lit("TYPE").alias("kind"), F.col("type").alias("value"), F.col("type_id").alias("term_id")).unionByName(titles)
     exact = written(terms.select("kind", F.col("term").alias("value"), F.lit(True).alias("exact")).distinct(), "exact")

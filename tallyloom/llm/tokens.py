@@ -2,39 +2,12 @@
 
 from __future__ import annotations
 
-import base64
-from functools import lru_cache
-from pathlib import Path
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Ranks of a byte-level BPE for many languages.
-TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-
-
-@lru_cache(2)
-def encoding(path: str):
-    """The tokenizer of a rank file, once per process."""
-    import public_tokenizers
-    import tiktoken
-
-    ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, Path(path).read_bytes().splitlines())}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-
-def token_count(text: Column | str, tokenizer: str = TOKENIZER) -> Column:
-    """Tokens of the whole text; 0 for null and empty ones."""
-
-    @F.pandas_udf("long")
-    def count(texts: pd.Series) -> pd.Series:
-        e = encoding(tokenizer)
-        return pd.Series([len(e.encode_ordinary(t)) if t else 0 for t in texts], dtype="int64")
-
-    return count(text)
+from tallyloom.functions.tokens import TOKENIZER, token_count
 
 
-def sized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER, keep: list[str] = ()) -> DataFrame:
+def sized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER, keep: list[str] = (), pattern: str | None = None) -> DataFrame:
     """doc_id, n_tokens and the columns to keep, without the texts."""
-    return docs.select(F.col(doc_id).alias("doc_id"), *keep, token_count(text, tokenizer).alias("n_tokens"))
+    return docs.select(F.col(doc_id).alias("doc_id"), *keep, token_count(text, tokenizer, pattern).alias("n_tokens"))
