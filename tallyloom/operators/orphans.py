@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.session import BROADCAST_BYTES, measured, small, written
+from tallyloom.session import BROADCAST_BYTES, looked_up, measured, written
 
 #: Bits of the filter for each parent key, and of a segment (a power of two); how many positions of a segment a key sets, and how many of them one 64-bit hash gives.
 BITS_PER_KEY, SEGMENT_BITS, HASHES, PER_HASH = 12, 1 << 17, 6, 3
-#: References of one key that one task may meet; a key with more is met in several places.
-KEY_ROWS = 1_000_000
 
 
 def _positions(key: Column) -> list[Column]:
@@ -63,7 +61,7 @@ def find_orphans(references: DataFrame, parents: DataFrame) -> DataFrame:
 
     A Bloom filter of the parents proves most missing references; only those it can't rule out are verified by an exact join. If the parents are few enough, both are broadcast to the references. Else
     the references are first summed up to their distinct keys with the first and last time each was made; the keys the filter rules out are cases without any join, the others are verified, and only the keys
-    that can be a case come back to the references, broadcast if few. If not, a key with over KEY_ROWS references is met in as many places as they need.
+    that can be a case come back to the references, broadcast if few. If not, a key with very many references is met in as many places as they need (see ``looked_up``).
     """
     kept = [c for c in references.columns if c != "reason"]
     terms = written(
@@ -78,28 +76,15 @@ def find_orphans(references: DataFrame, parents: DataFrame) -> DataFrame:
         # What the filter rules out gets a null join key and is looked up nowhere.
         joined = probed(asked, bloom).join(F.broadcast(exact), same & (F.when(F.col("__maybe"), F.col("key")) == F.col("__key")), "left")
     else:
-        keys = written(probed(asked.groupBy("target", "key").agg(F.min("made_at").alias("lo"), F.max("made_at").alias("hi"), F.count(F.lit(1)).alias("n")), bloom), "keys")
+        keys = written(probed(asked.groupBy("target", "key").agg(F.min("made_at").alias("lo"), F.max("made_at").alias("hi")), bloom), "keys")
         found = keys.where("__maybe").join(exact, same & (F.col("key") == F.col("__key")), "left")
         doubtful = F.col("__there").isNull() | (F.col("lo") < F.col("__from")) | (F.col("hi") >= F.col("__until"))
-        of_case = [F.col("target").alias("__target"), F.col("key").alias("__key"), "__from", "__until", "__there", "n"]
+        of_case = ["target", "key", "__from", "__until", "__there"]
         none = keys.where("NOT __maybe").withColumns({c: F.lit(None).cast(exact.schema[c].dataType) for c in ("__from", "__until", "__there")})
         troubled = written(found.where(doubtful).select(*of_case).unionByName(none.select(*of_case)), "troubled")
-        joined = _back_to_rows(asked, kept, troubled)
+        joined = looked_up(asked, troubled, ["target", "key"])
     reason = (
         F.when(F.col("__there").isNull(), F.lit("missing")).when(F.col("__from") > F.col("made_at"), F.lit("early")).when(F.col("__until") <= F.col("made_at"), F.lit("deleted"))
     )
     return joined.withColumn("reason", reason).where(F.col("reason").isNotNull()).select(*kept, "reason")
 
-
-def _back_to_rows(asked: DataFrame, kept: list[str], troubled: DataFrame) -> DataFrame:
-    """The references of the troubled keys. Where those are too many to broadcast, the few keys with over KEY_ROWS references (at most all references / KEY_ROWS) are copied as often as they need."""
-    on = (F.col("target") == F.col("__target")) & (F.col("key") == F.col("__key"))
-    few = small(troubled)
-    if few is not troubled:
-        return asked.join(few, on)
-    copies = F.ceil(F.col("n") / KEY_ROWS).cast("int")
-    hot = troubled.where(F.col("n") > KEY_ROWS).select(F.col("__target").alias("__ht"), F.col("__key").alias("__hk"), copies.alias("__copies"))
-    spread = asked.join(small(hot), (F.col("target") == F.col("__ht")) & (F.col("key") == F.col("__hk")), "left")
-    salted = spread.withColumn("__salt", F.pmod(F.xxhash64(*kept), F.coalesce("__copies", F.lit(1)).cast("long")).cast("int"))
-    copied = troubled.withColumn("__copy", F.explode(F.sequence(F.lit(0), copies - 1)))
-    return salted.join(copied, on & (F.col("__salt") == F.col("__copy")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,6 +73,28 @@ def small(df: DataFrame, limit: int | None = None) -> DataFrame:
     return F.broadcast(df) if measured(df) <= (BROADCAST_BYTES if limit is None else limit) else df
 
 
+#: Rows of one key that one task of a shuffled join may meet.
+KEY_ROWS = 1_000_000
+
+
+def looked_up(rows: DataFrame, table: DataFrame, on: Sequence[str], how: str = "inner", key_rows: int | None = None) -> DataFrame:
+    """``rows`` joined (inner or left) with a written ``table`` that has each key ``on`` at most once, however often rows have it.
+
+    A small table is broadcast. Else both are shuffled, but the few keys with over ``key_rows`` rows (of which there are at most all rows / key_rows) are met in as many places as they need: rows are dealt to them
+    by a hash, and the table's row is copied to each.
+    """
+    few = small(table)
+    if few is not table:
+        return rows.join(few, list(on), how)
+    most = key_rows or KEY_ROWS
+    counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > most)
+    hot = written(counts.select(*on, F.ceil(F.col("__n") / most).cast("int").alias("__copies")), "hot")
+    one = F.coalesce("__copies", F.lit(1))
+    salted = rows.join(small(hot), list(on), "left").withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), one.cast("long")).cast("int")).drop("__copies")
+    copied = table.join(small(hot), list(on), "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), one - 1))).drop("__copies")
+    return salted.join(copied, [*on, "__salt"], how).drop("__salt")
+
+
 def release(spark: SparkSession) -> None:
     """Deletes the tables that this application has written to the shared folder; results that still read them can't be used any more."""
     _kept.clear()

@@ -105,6 +105,7 @@ def test_orphans_are_missing_early_or_deleted(spark):
 
 
 def test_orphans_by_shuffled_join_are_the_same(spark, monkeypatch):
+    from tallyloom import session
     from tallyloom.operators import orphans
 
     known = spark.range(50).selectExpr("'t' target", "concat('k', id) key", "id known_from", "id + 100 known_until")
@@ -112,8 +113,19 @@ def test_orphans_by_shuffled_join_are_the_same(spark, monkeypatch):
     a = rows(find_orphans(asked, known))
     monkeypatch.setattr(orphans, "BROADCAST_BYTES", 0)
     assert rows(find_orphans(asked, known)) == a and len(a) > 1000
-    monkeypatch.setattr(orphans, "small", lambda df, *_: df)
+    monkeypatch.setattr(session, "small", lambda df, *_: df)
     assert rows(find_orphans(asked, known)) == a
-    monkeypatch.setattr(orphans, "KEY_ROWS", 30)  # hot keys are met in many places
+    monkeypatch.setattr(session, "KEY_ROWS", 30)  # hot keys are met in many places
     assert rows(find_orphans(asked, known)) == a
     assert find_orphans(asked.limit(0), known).count() == 0 and find_orphans(asked, known.limit(0)).count() == 4000
+
+
+def test_hot_keys_are_met_in_many_places(spark, monkeypatch):
+    from tallyloom import session
+
+    events = spark.range(3000).selectExpr("if(id % 3 = 0, 'hot', concat('k', id % 40)) k", "id").unionByName(spark.createDataFrame([(None, -1), ("absent", -2)], "k string, id long"))
+    table = session.written(spark.range(40).selectExpr("concat('k', id) k", "id v").unionByName(spark.createDataFrame([("hot", 99), ("idle", 5)], "k string, v long")), "table")
+    want = {how: rows(events.join(table, ["k"], how)) for how in ("inner", "left")}
+    monkeypatch.setattr(session, "small", lambda df, *_: df)
+    for how in want:
+        assert rows(session.looked_up(events, table, ["k"], how, 100)) == want[how] and rows(session.looked_up(events, table, ["k"], how)) == want[how]
