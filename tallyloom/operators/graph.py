@@ -332,3 +332,52 @@ def related_edges(found: DataFrame, entities: DataFrame, relationships: DataFram
     w = Window.partitionBy("query_id").orderBy(F.col("weight").desc_nulls_last(), "edge_id")
     return met.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).select("query_id", "edge_id", "place")
 
+
+def communities(edges: DataFrame, max_size: int = 10, levels: int = 3, rounds: int = 3) -> DataFrame:
+    """level, node and community (named after one of its nodes) of the undirected graph of edges (source, target, weight): at level 0 of nodes, at each further level of the communities of the one before; none
+    has more than ``max_size`` members, and levels end where none can be joined any more. A null weight is 1; loops join nothing; nodes stay alone where all around them is full.
+
+    In each round a coin (a hash) makes half of those that are alone wait; the others each ask the community they have the most weight to, of equal ones the lowest, and a community takes the
+    heaviest asking, as many as it has room for. Asking is sorted and numbered over the cluster, so a hub may be asked by any number. Every round's members are written, which cuts the lineage.
+    """
+    ends = edges.where("source IS NOT NULL AND target IS NOT NULL")
+    place = written(ends.select(F.explode(F.array("source", "target")).alias("node")).distinct().select("node", F.col("node").alias("unit")), "place")
+    one_way = ends.where("source <> target").select(F.least("source", "target").alias("u"), F.greatest("source", "target").alias("v"), F.coalesce("weight", F.lit(1.0)).alias("w"))
+    both = lambda d: d.unionByName(d.select(F.col("v").alias("u"), F.col("u").alias("v"), "w"))
+    links = written(both(one_way.groupBy("u", "v").agg(F.round(F.sum("w"), 6).alias("w"))), "links")
+    out = []
+    for level in range(levels):
+        member = written(place.select("unit").distinct().withColumn("c", F.col("unit")), "member")
+        for r in range(rounds):
+            sized = written(member.join(member.groupBy("c").agg(F.count(F.lit(1)).alias("size")), "c").withColumn("waits", F.pmod(F.xxhash64("c", F.lit(level * rounds + r)), F.lit(2)) == 1), "sized")
+            free = sized.where("size = 1 AND NOT waits").select(F.col("unit").alias("u"))
+            open_ = sized.where((F.col("size") < max_size) & ((F.col("size") > 1) | F.col("waits"))).select(F.col("unit").alias("v"), F.col("c").alias("to"), "size")
+            offers = links.join(free, "u").join(open_, "v").groupBy("u", "to", "size").agg(F.round(F.sum("w"), 6).alias("w"))
+            best = offers.groupBy("u").agg(F.min(F.struct((-F.col("w")).alias("w"), "to", "size")).alias("b")).select("u", "b.w", "b.to", "b.size")
+            taken = number_rows(best, ["to"], [F.col("w"), F.col("u")], first=max_size - 1).where(F.col("row_no") < max_size - F.col("size"))
+            member = written(member.join(taken.select(F.col("u").alias("unit"), "to"), "unit", "left").select("unit", F.coalesce("to", "c").alias("c")), "member")
+        place = written(place.join(member, "unit").select("node", F.col("c").alias("unit")), "place")
+        out.append(place.select(F.lit(level).alias("level"), "node", F.col("unit").alias("community")))
+        of = lambda end: member.select(F.col("unit").alias(end), F.col("c").alias(f"c{end}"))
+        joined = links.join(of("u"), "u").join(of("v"), "v").where("cu <> cv")
+        before, links = links, written(joined.groupBy(F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.round(F.sum("w"), 6).alias("w")), "links")
+        if links.limit(1).count() == 0 or (level and links.count() == before.count()):
+            break
+    return union_all(out)
+
+
+def community_faults(found: DataFrame, edges: DataFrame, max_size: int = 10) -> DataFrame:
+    """Per level: n_nodes, and what must be 0: n_over communities with more than max_size members, n_torn nodes whose community of the level before is split, n_apart nodes of a larger community without an edge into it (level 0)."""
+    below = found.select((F.col("level") + 1).alias("level"), "node", F.col("community").alias("unit"))
+    nodes = found.where("level = 0").select("level", "node", F.col("node").alias("unit")).unionByName(below)
+    held = found.join(nodes, ["level", "node"])
+    over = held.groupBy("level", "community").agg(F.countDistinct("unit").alias("n")).groupBy("level").agg(F.count_if(F.col("n") > max_size).alias("n_over"))
+    torn = held.groupBy("level", "unit").agg(F.countDistinct("community").alias("n")).groupBy("level").agg(F.count_if(F.col("n") > 1).alias("n_torn"))
+    first = found.where("level = 0").select("node", "community")
+    both = edges.select("source", "target").unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target"))).where("source <> target").distinct()
+    near = both.join(first.select(F.col("node").alias("source"), "community"), "source").join(first.select(F.col("node").alias("target"), F.col("community").alias("other")), "target")
+    inside = near.where("community = other").select(F.col("source").alias("node")).distinct()
+    many = first.join(first.groupBy("community").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "community", "left_semi")
+    apart = many.join(inside, "node", "left_anti").agg(F.count(F.lit(1)).alias("n_apart")).withColumn("level", F.lit(0))
+    sizes = found.groupBy("level").agg(F.count(F.lit(1)).alias("n_nodes"))
+    return sizes.join(over, "level").join(torn, "level").join(apart, "level", "left").select("level", "n_nodes", "n_over", "n_torn", F.coalesce("n_apart", F.lit(0)).alias("n_apart"))

@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.functions.keys import fold_title
 from tallyloom.operators import graph
 from tallyloom.plans.graph_queries import _MISSING, _TITLES, Tables, _units, _violations, _vocabulary
 from tallyloom.plans.graph_queries import _ALL as _BEFORE
 from tallyloom.plans.problem_queries import _FOLD
+from tallyloom.session import written_once
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -149,3 +151,45 @@ def gc_08_report(t):
         ]
     )
     return graph.run_report(_violations(t).where(F.col("check").isin(list(_CHECKS))), after)
+
+
+def _folded(t: Tables) -> DataFrame:
+    return t.relationships.select(fold_title("source").alias("source"), fold_title("target").alias("target"), "weight")
+
+
+def _communities(t: Tables) -> DataFrame:
+    return written_once(t.spark, "communities", t.sf_dir, lambda: graph.communities(_folded(t)))
+
+
+def gx_04_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Communities of at most ten, and of those again, of the graph of folded titles."""
+    return _communities(Tables(spark, sf_dir))
+
+
+QUERIES["gx_04_communities"] = gx_04_communities
+
+
+@query(f"SELECT count(DISTINCT k) AS n_nodes, 0 AS n_over, 0 AS n_torn, 0 AS n_apart FROM (SELECT unnest([{_FOLD('source')}, {_FOLD('target')}]) AS k FROM relationships WHERE {_FOLD('source')} IS NOT NULL AND {_FOLD('target')} IS NOT NULL)")
+def gx_04_community_faults(t):
+    """What must hold of communities, counted over their levels: each node in one, none too large, none torn, none apart."""
+    faults = graph.community_faults(_communities(t), _folded(t))
+    return faults.agg(F.max("n_nodes").alias("n_nodes"), F.sum("n_over").alias("n_over"), F.sum("n_torn").alias("n_torn"), F.sum("n_apart").alias("n_apart"))
+
+
+def rp_17_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Communities and their nodes per level: the distribution of levels."""
+    c = _communities(Tables(spark, sf_dir)).groupBy("level", "community").agg(F.count(F.lit(1)).alias("n"))
+    return c.groupBy("level").agg(F.count(F.lit(1)).alias("n_communities"), F.max("n").alias("most_nodes"), F.round(F.avg("n"), 4).alias("mean_nodes"))
+
+
+QUERIES["rp_17_levels"] = rp_17_levels
+
+
+def gc_04_affected_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Communities of level 0 with titles of which several entities were merged."""
+    t = Tables(spark, sf_dir)
+    twice = t.entities.select("id", fold_title("title").alias("title")).where("title IS NOT NULL").distinct().groupBy("title").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return graph.affected(_communities(t).where("level = 0").select("node", F.col("community").alias("component")), twice.select("title")).withColumnRenamed("component", "community")
+
+
+QUERIES["gc_04_affected_communities"] = gc_04_affected_communities

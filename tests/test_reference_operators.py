@@ -223,3 +223,13 @@ def test_stream_over_many_files_equals_the_batch(spark, tmp_path):
     df.repartition(40).write.parquet(f"{tmp_path}/order_lines.parquet")
     want = df.select(clean_key("outlet_id").alias("o"), "qty_delivered").where("o IS NOT NULL").groupBy("o").agg(F.sum("qty_delivered"), F.count(F.lit(1)))
     assert rows(running_outlet_totals(spark, str(tmp_path))) == rows(want)
+
+
+def test_communities_are_bounded_whole_and_nested(spark):
+    edges = [("hub", f"n{i}", 1.0 + i % 3) for i in range(30)] + [("a", "b", 5.0), ("b", "c", None), ("c", "c", 1.0), ("loop", "loop", 1.0), (None, "x", 1.0), ("a", "b", 1.0), ("c", "n1", 0.5)]
+    e = spark.createDataFrame(edges, "source string, target string, weight double")
+    found = graph.communities(e, 4, 3).cache()
+    assert [tuple(r)[2:] for r in graph.community_faults(found, e, 4).collect()] == [(0, 0, 0)] * found.select("level").distinct().count()
+    first = {r.node: r.community for r in found.where("level = 0").collect()}
+    assert set(first) == {x for s, t, _ in edges if s and t for x in (s, t)} and first["loop"] == "loop" and len(set(first.values())) < len(first)
+    assert graph.communities(e.limit(0)).count() == 0
