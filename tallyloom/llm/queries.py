@@ -52,18 +52,18 @@ def p5_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapped.where("term_id = 0").groupBy("kind", "value").agg(F.countDistinct("entity_id").alias("n_entities"))
 
 
-def _observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surviving_observations(table(spark, sf_dir, "entities"), fold_title("title"))
+def _observations(spark: SparkSession, sf_dir: str, with_values: bool) -> DataFrame:
+    return surviving_observations(table(spark, sf_dir, "entities"), fold_title("title"), with_values)
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which copies of a repeated observation give its id, title and description."""
-    return _observations(spark, sf_dir).select("keep_id", "title_id", "description_id")
+    return _observations(spark, sf_dir, False).select("keep_id", "title_id", "description_id")
 
 
 def p7_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The record built for each repeated observation."""
-    return _observations(spark, sf_dir).select("keep_id", "title", "description")
+    return _observations(spark, sf_dir, True).select("keep_id", "title", "description")
 
 
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,8 +47,8 @@ def surviving(records: DataFrame, group: str, record_id: str, fields: Mapping[st
     return held.select("group", *[c for n, (_, values) in fields.items() for c in (F.col(f"best_{n}.id").alias(f"{n}_id"), *[F.col(f"best_{n}.v{i}").alias(f"{n}_{i + 1}") for i in range(len(values))])])
 
 
-def surviving_observations(entities: DataFrame, folded: Column) -> DataFrame:
-    """The surviving record of each observation among entities: keep_id, title_id, title, description_id, description, title_key.
+def surviving_observations(entities: DataFrame, folded: Column, with_values: bool = True) -> DataFrame:
+    """The surviving record of each observation among entities: keep_id, title_id, title, description_id, description, title_key; without title and description where only the ids are wanted, so that no text is shuffled.
 
     keep_id has the lowest human_readable_id (nulls last); the title is the most trusted origin's, the description the longest one, trimmed; ties go to the latest loaded_at, then
     the lowest human_readable_id (nulls last), then the lowest id. Observations are entities whose type is OBSERVATION, however written; one is known by its title in ``folded`` spelling.
@@ -61,8 +61,10 @@ def surviving_observations(entities: DataFrame, folded: Column) -> DataFrame:
         "id",
         {
             "keep": (nulls_last("human_readable_id"), []),
-            "title": ([-trust("origin"), *latest], [F.col("title")]),
-            "description": ([-F.length(trimmed("description")), *latest], [trimmed("description")]),
+            "title": ([-trust("origin"), *latest], [F.col("title")] if with_values else []),
+            "description": ([-F.length(trimmed("description")), *latest], [trimmed("description")] if with_values else []),
         },
     )
+    if not with_values:
+        return out.select("keep_id", "title_id", "description_id", F.col("group").alias("title_key"))
     return out.select("keep_id", "title_id", F.col("title_1").alias("title"), "description_id", F.col("description_1").alias("description"), F.col("group").alias("title_key"))

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.session import small, written
+from tallyloom.session import looked_up, small, written
 
 # Fixed values -------------------------------------------------------------------------------------------------------------------------------
 #: Letters of other scripts that look like Latin ones.
@@ -429,10 +429,10 @@ def map_entities(entities: DataFrame, terms: DataFrame, rules: Rules = RULES) ->
     types = map_values(rows.select(F.lit("TYPE").alias("kind"), F.col("type").alias("value")), terms, rules=rules)
     names = written(terms.where("kind = 'TYPE'").select(F.col("term_id").alias("type_id"), F.upper("term").alias("title_kind")).distinct(), "names")
     kinds = written(types.withColumnRenamed("term_id", "type_id").join(small(names), "type_id", "left").select(F.col("value").alias("type"), "type_id", "title_kind"), "kinds")
-    typed = rows.join(small(kinds), "type")
+    typed = looked_up(rows, kinds, ["type"])
     titled = typed.where(F.col("title_kind").isin(*_TITLE_KINDS)).select("entity_id", F.col("title_kind").alias("kind"), F.col("title").alias("value"))
     meant = written(map_values(titled, terms, rules=rules), "meant")
-    titles = titled.join(small(meant), ["kind", "value"]).select("entity_id", F.lit("title").alias("field_name"), "kind", "value", "term_id")
+    titles = looked_up(titled, meant, ["kind", "value"]).select("entity_id", F.lit("title").alias("field_name"), "kind", "value", "term_id")
     both = typed.select("entity_id", F.lit("type").alias("field_name"), F.lit("TYPE").alias("kind"), F.col("type").alias("value"), F.col("type_id").alias("term_id")).unionByName(titles)
     exact = written(terms.select("kind", F.col("term").alias("value"), F.lit(True).alias("exact")).distinct(), "exact")
-    return both.join(small(exact), ["kind", "value"], "left").withColumn("exact", F.coalesce("exact", F.lit(False))).distinct()
+    return looked_up(both, exact, ["kind", "value"], "left").withColumn("exact", F.coalesce("exact", F.lit(False))).distinct()
