@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 BROADCAST_BYTES = 24 << 20
 
 _own_folder: dict[str, str] = {}
-_kept: dict[tuple[str, ...], DataFrame] = {}
+_kept: dict[tuple[str, ...], tuple[str, DataFrame]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,18 +33,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: its lineage ends there, and every later pass sees the same rows."""
+    return _written_to(df, name)[1]
+
+
+def _written_to(df: DataFrame, name: str) -> tuple[str, DataFrame]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path, spark.read.schema(df.schema).parquet(path)
 
 
 def written_once(spark: SparkSession, name: str, sf_dir: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """A derived table of a data folder that several queries read, written at its first use in an application and read by the later ones."""
+    """A derived table of a data folder that several queries read, written at its first use in an application and read by the later ones, as long as it is there."""
     key = (spark.sparkContext.applicationId, name, sf_dir)
-    if key not in _kept:
-        _kept[key] = written(make(), name)
-    return _kept[key]
+    if key not in _kept or not _hadoop_path(spark, _kept[key][0])[1]:
+        _kept[key] = _written_to(make(), name)
+    return _kept[key][1]
+
+
+def _hadoop_path(spark: SparkSession, name: str) -> tuple:
+    """A path with its file system, and whether it exists."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return (path, files), files.exists(path)
 
 
 def _bytes_of(field: T.StructField) -> Column:
@@ -98,5 +109,6 @@ def looked_up(rows: DataFrame, table: DataFrame, on: Sequence[str], how: str = "
 def release(spark: SparkSession) -> None:
     """Deletes the tables that this application has written to the shared folder; results that still read them can't be used any more."""
     _kept.clear()
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    (path, files), there = _hadoop_path(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
+    if there:
+        files.delete(path, True)

@@ -129,3 +129,22 @@ def test_hot_keys_are_met_in_many_places(spark, monkeypatch):
     monkeypatch.setattr(session, "small", lambda df, *_: df)
     for how in want:
         assert rows(session.looked_up(events, table, ["k"], how, 100)) == want[how] and rows(session.looked_up(events, table, ["k"], how)) == want[how]
+
+
+def test_a_kept_table_is_made_again_when_it_is_gone(spark):
+    from tallyloom import session
+
+    made = []
+    make = lambda: made.append(1) or spark.range(5)
+    assert session.written_once(spark, "kept", "folder", make).count() == session.written_once(spark, "kept", "folder", make).count() == 5 and len(made) == 1
+    (path, files), there = session._hadoop_path(spark, session._kept[spark.sparkContext.applicationId, "kept", "folder"][0])
+    assert there and files.delete(path, True)
+    assert session.written_once(spark, "kept", "folder", make).count() == 5 and len(made) == 2
+
+
+def test_measured_bytes_and_broadcasts(spark):
+    from tallyloom import session
+
+    df = spark.createDataFrame([("abc", 1, ["x", "yy"]), (None, 2, None)], "s string, i int, a array<string>")
+    assert 60 < session.measured(df) < 200 and session.measured(df.limit(0)) == 0
+    assert session.small(df) is not df and session.small(df, 10) is df
