@@ -41,11 +41,10 @@ def _fault_sql(month: str, first: str, second: str) -> str:
     return f"((CAST(substr({month}, 6, 2) AS INT) * 7 + length({first}) * 3 + length({second})) % 8)"
 
 
-def _claim(*fields: Column) -> list[Column]:
+def _claim(**given: Column) -> list[Column]:
     """A claim's columns: what isn't given is null."""
-    given = {f._jc.toString().split(" AS ")[-1].strip("`"): f for f in fields}
     kinds = {"value": "double", "comparison_value": "double", "delta": "double", "citations": "array<string>"}
-    return [given.get(n, F.lit(None).cast(kinds.get(n, "string")).alias(n)) for n in claims.FIELDS.split(", ")]
+    return [given.get(n, F.lit(None).cast(kinds.get(n, "string"))).alias(n) for n in claims.FIELDS.split(", ")]
 
 
 def _evidence(w: Warehouse) -> DataFrame:
@@ -64,15 +63,15 @@ def _category_claims(w: Warehouse) -> DataFrame:
     entity = F.concat_ws(" ", "state_name", "category_name")
     return facts.select(
         *_claim(
-            F.concat_ws("|", "doc_id", "category_name", "metric").alias("claim_id"),
-            F.when(k == 2, F.concat("state_name", F.lit(" UNHEARD OF"))).when(k == 6, "various categories").otherwise(entity).alias("entity"),
-            F.when(k == 4, following).otherwise(label).alias("metric"),
-            F.when(k == 1, v + OFF).otherwise(v).alias("value"),
-            F.when(k == 3, "January 2031").otherwise(month_words("month")).alias("period"),
-            F.when(k == 7, v).alias("comparison_value"),
-            F.when(k == 7, month_words("month")).alias("comparison_period"),
-            F.when(k == 7, "up").alias("direction"),
-            F.array(F.when(k == 5, "Sources (nowhere.txt)").otherwise(F.concat(F.lit("Sources ("), "doc_id", F.lit(")")))).alias("citations"),
+            claim_id=F.concat_ws("|", "doc_id", "category_name", "metric"),
+            entity=F.when(k == 2, F.concat("state_name", F.lit(" UNHEARD OF"))).when(k == 6, "various categories").otherwise(entity),
+            metric=F.when(k == 4, following).otherwise(label),
+            value=F.when(k == 1, v + OFF).otherwise(v),
+            period=F.when(k == 3, "January 2031").otherwise(month_words("month")),
+            comparison_value=F.when(k == 7, v),
+            comparison_period=F.when(k == 7, month_words("month")),
+            direction=F.when(k == 7, "up"),
+            citations=F.array(F.when(k == 5, "Sources (nowhere.txt)").otherwise(F.concat(F.lit("Sources ("), "doc_id", F.lit(")")))),
         )
     )
 
@@ -115,15 +114,15 @@ def _deviation_claims(w: Warehouse) -> DataFrame:
     plain = F.concat(name, F.lit(" was off on "), "metric_label", F.lit("."))
     return j.select(
         *_claim(
-            F.concat_ws("|", "doc_id", "wd_name", "metric_label").alias("claim_id"),
-            F.when(k == 4, F.concat(name, F.lit(" fell because of rain."))).when(k == 6, F.concat(F.lit("An alarming month: "), plain)).otherwise(plain).alias("claim_text"),
-            F.when(k == 3, F.concat(name, F.lit(" and "), F.coalesce("other", F.lit("NOBODY")))).otherwise(name).alias("entity"),
-            F.col("metric_label").alias("metric"),
-            F.when(k == 7, F.coalesce("other_value", "value")).otherwise(F.col("value")).alias("value"),
-            F.when(k == 2, F.col("peer_value") + OFF).otherwise(F.col("peer_value")).alias("comparison_value"),
-            month_words("month").alias("period"),
-            F.when(k == 1, F.col("gap") + 5).when(k.isin(4, 7), None).otherwise(F.col("gap")).alias("delta"),
-            F.array(F.when(k == 5, "Reports (1)").otherwise(F.concat(F.lit("Sources ("), "doc_id", F.lit(")")))).alias("citations"),
+            claim_id=F.concat_ws("|", "doc_id", "wd_name", "metric_label"),
+            claim_text=F.when(k == 4, F.concat(name, F.lit(" fell because of rain."))).when(k == 6, F.concat(F.lit("An alarming month: "), plain)).otherwise(plain),
+            entity=F.when(k == 3, F.concat(name, F.lit(" and "), F.coalesce("other", F.lit("NOBODY")))).otherwise(name),
+            metric=F.col("metric_label"),
+            value=F.when(k == 7, F.coalesce("other_value", "value")).otherwise(F.col("value")),
+            comparison_value=F.when(k == 2, F.col("peer_value") + OFF).otherwise(F.col("peer_value")),
+            period=month_words("month"),
+            delta=F.when(k == 1, F.col("gap") + 5).when(k.isin(4, 7), None).otherwise(F.col("gap")),
+            citations=F.array(F.when(k == 5, "Reports (1)").otherwise(F.concat(F.lit("Sources ("), "doc_id", F.lit(")")))),
         )
     )
 
