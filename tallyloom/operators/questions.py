@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators.claims import sku_text
 from tallyloom.operators.grounding import tokens
+from tallyloom.session import small, written
 
 #: Fixed word lists of questions.
 DECLINE = ["decline", "declined", "drop", "dropped", "fall", "fell", "decrease", "decreased", "worsen", "worsened"]
@@ -123,13 +124,16 @@ def skus_named(questions: DataFrame, skus: DataFrame, key: str = "question_id")
     """key and sku_id of each SKU whose name a question holds as whole words; of names within one another only the longest count.
 
     ``skus`` has sku_id and sku_name, any number of them: the runs of words of a question, as long as names can be, meet the names by equality, so no question is held against every name.
+    Names are broadcast if few, by measured bytes. Beyond that both sides are sorted and merged whatever Spark estimates: it takes the runs for as few as the questions, and would gather them on the driver to broadcast them.
     """
     name = sku_text(F.col("sku_name"))
-    known = skus.select("sku_id", name.alias("run")).where("run <> ''").distinct()
+    known = written(skus.select("sku_id", name.alias("run")).where("run <> ''").distinct(), "skus")
+    few = small(known)
+    names = few if few is not known else known.hint("merge")
     widths = [r[0] for r in known.select(F.size(F.split("run", " ")).alias("n")).distinct().collect()]  # as many as names have lengths
     w = questions.select(key, F.split(sku_text(F.col("question")), " ").alias("w")).where("size(w) > 0")
     runs = w.select(key, "w", F.explode(F.array(*map(F.lit, sorted(widths))).cast("array<int>")).alias("n")).where("n <= size(w)").select(key, "w", "n", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1)).alias("at"))
-    met = runs.select(key, "at", "n", F.array_join(F.slice("w", F.col("at"), F.col("n")), " ").alias("run")).join(known, "run")
+    met = runs.select(key, "at", "n", F.array_join(F.slice("w", F.col("at"), F.col("n")), " ").alias("run")).join(names, "run")
     held = met.groupBy(key).agg(F.collect_set(F.struct("at", (F.col("at") + F.col("n")).alias("to"), "n", "sku_id")).alias("ms"))  # at most as many as a question has runs of words
     alone = F.filter("ms", lambda m: ~F.exists("ms", lambda x: (x["at"] <= m["at"]) & (x["to"] >= m["to"]) & (x["n"] > m["n"])))
     return held.select(key, F.explode(alone).alias("m")).select(key, "m.sku_id").distinct()

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tallyloom import session
 from tallyloom.operators import evidence, questions
 from tallyloom.sources import files
 
@@ -13,6 +14,19 @@ def test_skus_named_takes_the_longest_names(spark):
     assert questions.skus_named(q, skus.limit(0)).count() == 0 and questions.skus_named(q.limit(0), skus).count() == 0
 
 
+def test_many_sku_names_meet_without_a_broadcast(spark, monkeypatch):
+    skus = spark.range(300).select(F.col("id").alias("sku_id"), F.concat(F.lit("Mint Line #"), F.col("id")).alias("sku_name"))
+    q = skus.select(F.col("sku_id").alias("question_id"), F.concat(F.lit("Why did "), "sku_name", F.lit(" fall, and what comes next?")).alias("question"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 0)
+    got = questions.skus_named(q, skus)
+    assert sorted(map(tuple, got.collect())) == [(i, i) for i in range(300)]
+    assert "Broadcast" not in plan(got) and "SortMergeJoin" in plan(got)
+    monkeypatch.undo()
+    few = questions.skus_named(q, skus)  # few names are broadcast, the questions' runs of words never
+    assert sorted(map(tuple, few.collect())) == [(i, i) for i in range(300)] and "BuildRight" in plan(few)
+
+
 def test_context_keeps_the_first_of_equal_records(spark):
     a = spark.createDataFrame([("q", "1", "one"), ("q", "2", None)], "question_id string, id string, text string")
     b = spark.createDataFrame([("q", "1", "again"), ("q", "2", "two"), ("p", "1", "x")], "question_id string, id string, text string")
